@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.llm.shared import Stored, plain, release, small_batches, text_slices
-from papyra.llm.word_ids import END_ID, WordIds
+from papyra.llm.word_ids import END_ID, word_ids
 
 CAPACITY = 4096
 #: Pieces that one (length, salt) group is meant to hold.
@@ -92,7 +92,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             for cut in text_slices(batch):
                 rows: list[tuple] = []

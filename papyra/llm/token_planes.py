@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.llm.shared import Stored, ordered_key, plain, release, small_batches, text_slices
-from papyra.llm.word_ids import END_ID, WordIds, crc32_combine
+from papyra.llm.word_ids import END_ID, crc32_combine, word_ids
 
 MAGIC = b"PLN1"
 HEAD = struct.Struct("<4sBBHII")
@@ -82,7 +82,7 @@ def _chunks(tokenizer: str, end_id: int, block_ids: int, form: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), WordIds(tokenizer)
+        part, words = TaskContext.get().partitionId(), word_ids(tokenizer)
         chunk, seq, held, size, docs = 0, 0, [], 0, []
 
         def flush() -> pa.RecordBatch:

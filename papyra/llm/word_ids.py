@@ -7,6 +7,8 @@ the whole text (``tests/llm`` compares them).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Words kept; the table starts anew beyond it, which costs time but changes no id.
@@ -77,6 +79,12 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One table for each worker process: tasks that follow find the words already there."""
+    return WordIds(path)
+
+
 def crc32_combine(first: int, second: int, second_bytes: int) -> int:
     """CRC-32 of two byte strings one after the other, from their own CRCs and the second one's length."""
 
