@@ -19,7 +19,7 @@ LOCAL_FOLDER = "file:///tmp/checkpoints"
 #: Rows of one Arrow batch handed to Python; long texts make a batch of 10,000 rows too large.
 BATCH_ROWS = 1000
 #: Bytes of text that a Python function works on at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
