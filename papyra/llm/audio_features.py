@@ -46,7 +46,7 @@ class AudioSetting:
     hop: int = 96
     mels: int = 20
     tile: int = 8
-    high: float = 0.5
+    high: float = 1.0
     low: float = 0.0
     block: int = 4096
 
@@ -80,10 +80,11 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
     return media[WAV.size : WAV.size + size], rate
 
 
-def resample(x: np.ndarray, taps: np.ndarray, up: int, down: int) -> np.ndarray:
-    """x at up/down of its rate. Output m takes phase (m * down) mod up and the samples before (m * down) div up."""
+def resample(x: np.ndarray, taps: np.ndarray, s: AudioSetting) -> np.ndarray:
+    """x at up/down of its rate. Output m takes phase (m * down + centre) mod up and the samples before (m * down + centre) div up."""
+    up, down = s.up, s.down
     n_out, width = -(-len(x) * up // down), taps.shape[1]
-    centre = (width * up) // 2
+    centre = s.half_taps * max(up, down)
     held = np.concatenate([np.zeros(width, np.float32), x.astype(np.float32), np.zeros(width + down, np.float32)])
     out = np.empty(n_out, np.float32)
     for first in range(min(up, n_out)):
@@ -107,8 +108,9 @@ def log_mel(x: np.ndarray, s: AudioSetting, window: np.ndarray, filters: np.ndar
 
 
 def segments(energy: np.ndarray, high: float, low: float) -> list[tuple[int, int]]:
-    """Runs of frames above low that reach above high (thresholds in deviations from the mean)."""
-    level = (energy - energy.mean()) / (energy.std() + 1e-6)
+    """Runs of frames above low that reach above high (thresholds in median absolute deviations from the median)."""
+    level = energy - np.median(energy)
+    level = level / (np.median(np.abs(level)) + 1e-6)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], (level > low).astype(np.int8), [0]])))
     return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if level[a:b].max() > high]
 
@@ -143,7 +145,7 @@ def _store(s: AudioSetting):
 def features_of(media: bytes, s: AudioSetting, taps: np.ndarray, window: np.ndarray, filters: np.ndarray) -> dict:
     payload, rate = from_wav(media)
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mel = np.round(log_mel(resample(x, taps, s.up, s.down), s, window, filters), 3)
+    mel = np.round(log_mel(resample(x, taps, s), s, window, filters), 3)
     found, second = segments(mel.mean(axis=1), s.high, s.low), s.hop / (rate * s.up / s.down)
     tensors = tensor_stream(mel, s)
     return {
