@@ -32,7 +32,7 @@ def keywords(c: Column, stop: Sequence[str] = STOP_WORDS, longer_than: int = 2)
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"[.!?\n]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -100,7 +100,7 @@ def year(c: Column, first: int = 1900, last: int = 2030) -> Column:
 def quoted_title(c: Column) -> Column:
     """SF-06: between double quotes, else the first part between dots of 16 to 149 characters after the authors."""
     quoted = none_if_empty(F.regexp_extract(c, '"([^"]+)"', 1))
-    parts = F.filter(F.transform(F.slice(F.split(c, r"\. "), F.lit(2), F.size(F.split(c, r"\. "))), F.trim), lambda p: F.length(p).between(16, 149))
+    parts = F.filter(F.transform(F.slice(F.split(c, r"\. "), F.lit(2), F.size(F.split(c, r"\. "))), lambda s: F.trim(s)), lambda p: F.length(p).between(16, 149))
     return F.coalesce(quoted, F.get(parts, F.lit(0)))
 
 

@@ -63,10 +63,14 @@ def identifiers(text: Column) -> tuple[Column, Column]:
     return F.array_sort(F.array_distinct(dois)), F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(T.ARXIV), F.lit(1))))
 
 
+def _citing(text: Column, kind: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("cited"), F.lit(0.8).alias("confidence")))
+
+
 def in_text(docs: DataFrame, id_col: str = "source_paper_id", text: str = "text", lines: int = 100) -> DataFrame:
     """IR-29: (id, kind, cited, confidence), the best of equal texts and kinds: four patterns (0.8), context cues (0.6), reference lines (0.9)."""
     c = F.col(text)
-    found = [F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("cited"), F.lit(0.8).alias("confidence"))) for k, p in IN_TEXT.items()]
+    found = [_citing(c, k, p) for k, p in IN_TEXT.items()]
     cues = F.filter(T.sentences(c), lambda s: F.lower(s).rlike(r"according to|as shown by|proposed by"))
     found.append(F.transform(cues, lambda s: F.struct(F.lit("context").alias("kind"), s.alias("cited"), F.lit(0.6).alias("confidence"))))
     refs = F.slice(F.filter(F.split(F.regexp_extract(c, r"(?is)\n[ \t]*references[ \t]*\n(.*)$", 1), "\n"), lambda x: F.length(x) > 20), 1, lines)
@@ -77,7 +81,7 @@ def in_text(docs: DataFrame, id_col: str = "source_paper_id", text: str = "text"
 
 def numbered_entries(text: Column) -> Column:
     """IR-36: the texts after [n] marks."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[[0-9]+\] *([^\[\n]+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\[[0-9]+\] *([^\[\n]+)"), F.lit(1)), lambda s: F.trim(s))
 
 
 def sections(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:

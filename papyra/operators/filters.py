@@ -35,10 +35,14 @@ def first_matching_field(df: DataFrame, query: str, fields: Sequence[str]) -> Da
     return df.withColumn("match_field", match).where("match_field is not null")
 
 
+def _times(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def fulltext(df: DataFrame, terms: Sequence[str], column: str = "text", every: bool = True) -> DataFrame:
     """FLT-06/07: rows with all (or any) terms among their words, and ``rank`` = sum of term counts / (1 + ln words)."""
     own = T.words(F.col(column))
-    hits = [F.size(F.filter(F.col("_w"), lambda w, t=t: w == t)) for t in terms]
+    hits = [_times(F.col("_w"), t) for t in terms]
     test = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [h > 0 for h in hits])
     rank = sum(hits, F.lit(0)) / (1 + F.log(F.size("_w")))
     return df.withColumn("_w", own).where(test).withColumn("rank", rank).drop("_w")

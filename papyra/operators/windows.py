@@ -21,7 +21,7 @@ def seconds(ts: Column) -> Column:
 def snapshot_rates(snapshots: DataFrame) -> DataFrame:
     """WN-01/02: new citations, whole days, rate and acceleration against the snapshot before; all zero within a day."""
     w = _series()
-    rows = snapshots.withColumn("days", F.floor((seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(w)) / DAY))
+    rows = snapshots.withColumn("days", F.coalesce(F.floor((seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(w)) / DAY), F.lit(0)))
     rows = rows.withColumn("new_citations", F.when(F.col("days") > 0, F.col("citation_count") - F.lag("citation_count").over(w)).otherwise(0).cast("long"))
     rows = rows.withColumn("rate", F.when(F.col("days") > 0, F.col("new_citations") / F.col("days")).otherwise(0.0))
     change = (F.col("rate") - F.lag("rate").over(w)) / F.col("days")

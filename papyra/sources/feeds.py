@@ -55,7 +55,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def from_scholar(rows: DataFrame) -> DataFrame:
     """SRC-07, SF-35: records (title, authors string, year, abstract, venue, url, citations) in the papers' schema."""
-    names = F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), r" and |, "), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), r" and |, "), lambda s: F.trim(s)), lambda n: n != "")
     return rows.select(
         F.concat(F.lit("scholar_"), F.substring(F.md5("title"), 1, 12)).alias("id"), squeeze(F.col("title")).alias("title"), names.alias("authors"), F.coalesce("abstract", F.lit("")).alias("abstract"),
         F.lit(None).cast("string").alias("doi"), F.make_date("year", F.lit(1), F.lit(1)).cast("timestamp").alias("published_date"), F.lit(None).cast("timestamp").alias("updated_date"), "venue",
