@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from papyra.functions import scores as S
 from papyra.functions import text as T
@@ -19,7 +20,7 @@ from papyra.functions import text as T
 MATCH = ("citation_id", "paper_id", "match_type", "confidence", "alternatives")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """SF-17 in exact form: the ratio of matching blocks; has no counterpart among built-in functions."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -179,10 +179,10 @@ def related_depth12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # GR-13
-@query(f"""WITH RECURSIVE {N}, p AS (SELECT [3] AS path UNION ALL SELECT list_append(path, e.dst) FROM p JOIN edges e ON e.src = path[-1] WHERE len(path) <= 4 AND path[-1] <> 8 AND NOT list_contains(path, e.dst))
-SELECT array_to_string(path, '>') AS path FROM p WHERE path[-1] = 8""")
+@query(f"""WITH RECURSIVE {N}, p AS (SELECT [9] AS path UNION ALL SELECT list_append(path, e.dst) FROM p JOIN edges e ON e.src = path[-1] WHERE len(path) <= 4 AND path[-1] <> 11 AND NOT list_contains(path, e.dst))
+SELECT array_to_string(path, '>') AS path FROM p WHERE path[-1] = 11""")
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.simple_paths(tables.nation_edges(spark, sf_dir), 3, 8, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.simple_paths(tables.nation_edges(spark, sf_dir), 9, 11, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 # GR-15, JN-05
