@@ -117,23 +117,26 @@ PIECE_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("doc_id",
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every document's share of a chunk, from the chunk's decoded ids."""
     for batch in batches:
-        for part, chunk, base, docs, data in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "base", "docs")), batch.column("data")):
-            raw, rows = memoryview(decode_chunk(data.as_py()).tobytes()), []
-            for d in docs:
-                crc = zlib.crc32(raw[4 * d["at"] : 4 * (d["at"] + d["n"])])
-                rows.append({"part": part, "seq": d["seq"], "doc_id": d["doc_id"], "start": base + d["at"] if d["first"] else None, "piece": chunk, "n": d["n"], "crc": crc})
-            yield pa.RecordBatch.from_pylist(rows, schema=PIECE_SCHEMA)
+        for row, (part, chunk, base) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "base")))):
+            raw, docs = memoryview(decode_chunk(batch.column("data")[row].as_py()).tobytes()), batch.column("docs").slice(row, 1).flatten()
+            at, n, first = (np.asarray(docs.field(c)) for c in ("at", "n", "first"))
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist())]
+            same = lambda v, kind: pa.array(np.full(len(at), v), kind)
+            columns = [same(part, pa.int32()), docs.field("seq"), docs.field("doc_id"), pa.array(base + at.astype(np.int64), mask=~first), same(chunk, pa.int64()), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=PIECE_SCHEMA)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One CRC for the pieces of a document."""
     for batch in batches:
-        out = []
-        for pieces in batch.column("pieces").to_pylist():
-            crc = pieces[0]["crc"]
-            for p in pieces[1:]:
-                crc = crc32_combine(crc, p["crc"], 4 * p["n"])
-            out.append(crc)
+        lists = batch.column("pieces")
+        begin = np.asarray(lists.offsets)
+        flat = lists.values
+        crc, n = np.asarray(flat.field("crc")), np.asarray(flat.field("n"))
+        out = crc[begin[:-1]]
+        for i in np.flatnonzero(np.diff(begin) > 1):  # few documents cross a chunk's end
+            for j in range(begin[i] + 1, begin[i + 1]):
+                out[i] = crc32_combine(int(out[i]), int(crc[j]), 4 * int(n[j]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

@@ -15,17 +15,27 @@ import numpy as np
 MOST_WORDS = 800_000
 #: New words that one call to the tokenizer gets.
 CALL_WORDS = 4096
-#: Letters below this one have a lower case of one letter, whatever stands beside them.
+#: Letters below this one have a lower case of one letter and no parts, whatever stands beside them.
 SIMPLE_CASE = "\u0130"
 END_ID = 1
 MARK = "\x01"
+WORD_END = "</w>"
 
 
 def stem(word: str) -> str:
     """The word that has the same ids, but for a final stop or comma cut off."""
-    if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+    if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < SIMPLE_CASE:
         word = word[:-1]
-    return word.lower() if word.isalpha() and max(word) < SIMPLE_CASE else word
+    return word.lower() if word.isalpha() and (word.isascii() or max(word) < SIMPLE_CASE) else word
+
+
+def plain_case(text: str) -> str:
+    """Lower case where that is the tokenizer's own first step: Latin-1 letters, and no string that may be a special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
 
 
 class WordIds:
@@ -40,26 +50,43 @@ class WordIds:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.ends = {c: self._whole(c) for c in ".,"}
+        #: Whether a token ends a pre-token.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith(WORD_END)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _cut(self, part: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Take the ids of each word of a call, if there are as many as words."""
+        if len(ends) != len(part):
+            self.known.update((w, self._whole(w)) for w in part)
+            return
+        raw = ids.tobytes()
+        begins = np.append(0, ends[:-1] + gap) * 4
+        self.known.update(zip(part, map(lambda a, b: raw[a:b], begins.tolist(), (ends * 4).tolist())))
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w] if self.mark is not None else []
-        for w in words if self.mark is None else (w for w in words if MARK in w):
+        letters = [w for w in words if w.isalpha()]  # one pre-token each: its last token tells where it ends
+        for i in range(0, len(letters), CALL_WORDS):
+            part = letters[i : i + CALL_WORDS]
+            ids = self._ids(" ".join(part))
+            self._cut(part, ids, np.flatnonzero(self.last[ids]) + 1, 0)
+        others = [w for w in words if not w.isalpha()]
+        marked = [w for w in others if MARK not in w] if self.mark is not None else []
+        for i in range(0, len(marked), CALL_WORDS):
+            part = marked[i : i + CALL_WORDS]
+            ids = self._ids(f" {MARK} ".join(part))
+            self._cut(part, ids, np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
+        for w in others if self.mark is None else (w for w in others if MARK in w):
             self.known[w] = self._whole(w)
-        for i in range(0, len(plain), CALL_WORDS):
-            part = plain[i : i + CALL_WORDS]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
-                self.known.update((w, self._whole(w)) for w in part)
-                continue
-            raw, begins, ends = ids.tobytes(), np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
-            self.known.update(zip(part, map(lambda a, b: raw[a:b], begins.tolist(), ends.tolist())))
 
     def _add(self, words: set[str]) -> None:
-        """Learn words. A final stop or comma after a letter is a pre-token of its own, and case doesn't count."""
+        """Learn words. A final stop or comma after a plain letter is a pre-token of its own, and case doesn't count."""
         stems = {w: stem(w) for w in words}
         self._learn(list(set(stems.values()).difference(self.known)))
         known, ends = self.known, self.ends
@@ -69,7 +96,7 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers; null is empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [plain_case(t or "").replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
         if len(self.known) + len(new) > MOST_WORDS:
             self.known = {"": b""}
