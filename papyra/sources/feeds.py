@@ -16,11 +16,11 @@ CATEGORIES = {
     "cs.IR": "Information Retrieval", "cs.RO": "Robotics", "stat.ML": "Machine Learning (Statistics)", "math.OC": "Optimization and Control", "physics.comp-ph": "Computational Physics",
 }
 
-PAPER = T.StructType.fromDDL(
+PAPER = (
     "id string, title string, authors array<string>, abstract string, doi string, published_date timestamp, updated_date timestamp, venue string, year int, "
     "categories array<string>, source string, url string, pdf_url string, hash string"
 )
-ENTRY = T.StructType.fromDDL(
+ENTRY = (
     "id string, title string, summary string, published string, updated string, author array<struct<name: string>>, doi string, "
     "link array<struct<_href: string, _title: string, _type: string>>, category array<struct<_term: string>>"
 )
@@ -95,7 +95,7 @@ def categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CATEGORIES.items()), "category string, name string")
 
 
-def read_metadata(spark: SparkSession, path: str, schema: T.StructType = PAPER) -> DataFrame:
+def read_metadata(spark: SparkSession, path: str, schema: str = PAPER) -> DataFrame:
     """SRC-15: one JSON object for each file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
