@@ -8,11 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words left out of keywords and TF-IDF terms.
-STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "how", "in", "is", "it", "its", "of", "on", "or",
-    "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with",
-)
+from papyra.functions.vocabulary import ARXIV, DOI, PHRASES, STOP_WORDS, TECHNICAL, VENUES, YEAR
+
 WORD = r"[\p{L}\p{N}]+"
 GAP = r"[ \t\n\r]+"
 
@@ -73,28 +70,21 @@ def slug(c: Column, most: int = 50) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_ \-]", ""), r"[ \-]+", "_"), 1, most)
 
 
-DOI = r"10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+"
-ARXIV = r"(?i)arxiv: ?([0-9]{4}\.[0-9]{4,5}|[a-z\-]+(?:\.[A-Z]{2})?/[0-9]{7})"
-YEAR = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)"
-
-
 def none_if_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
 def doi(c: Column) -> Column:
-    return none_if_empty(F.regexp_replace(F.regexp_extract(c, DOI, 0), r"[.,;)]+$", ""))
+    return none_if_empty(F.regexp_replace(F.regexp_extract(c, DOI, 1), r"[.,;)]+$", ""))
 
 
 def arxiv_id(c: Column) -> Column:
     return none_if_empty(F.regexp_extract(c, ARXIV, 1))
 
 
-def year(c: Column, first: int = 1900, last: int = 2030) -> Column:
-    """First four-digit number of a plausible year."""
-    found = F.regexp_extract(c, YEAR, 1)
-    y = F.when(found != "", found.cast("int"))
-    return F.when(y.between(first, last), y)
+def year(c: Column) -> Column:
+    """First number that is a year from 1950 to 2039."""
+    return none_if_empty(F.regexp_extract(c, YEAR, 1)).cast("int")
 
 
 def quoted_title(c: Column) -> Column:
@@ -111,12 +101,26 @@ def leading_authors(c: Column) -> Column:
 
 
 def venue(c: Column) -> Column:
-    return none_if_empty(F.trim(F.regexp_extract(c, r"(?:In|in|Proceedings of) ([A-Z][\p{L} ]+)", 1)))
+    """The first known name, in order of the lists."""
+    return F.coalesce(*[none_if_empty(F.regexp_extract(c, p, 1)) for p in VENUES])
+
+
+def normalize_phrases(c: Column) -> Column:
+    """SF-09: lower case, then academic phrases in one form."""
+    return reduce(lambda x, p: F.regexp_replace(x, f"(?i){p[0]}", p[1]), PHRASES, F.lower(c))
+
+
+def entities(c: Column, technical: Sequence[str] = TECHNICAL) -> Column:
+    """SF-14: capitalised words, and technical terms in capitals; a word that is both stands twice."""
+    own = F.filter(F.split(c, GAP), lambda w: w != "")
+    named = F.transform(own, lambda w: F.when((F.length(w) > 1) & (F.upper(F.substring(w, 1, 1)) == F.substring(w, 1, 1)) & F.substring(w, 1, 1).rlike(r"\p{L}"), w))
+    known = F.transform(own, lambda w: F.when(F.lower(w).isin(*technical), F.upper(w)))
+    return F.filter(F.flatten(F.zip_with(named, known, lambda a, b: F.array(a, b))), lambda w: w.isNotNull())
 
 
 def estimate_tokens(c: Column) -> Column:
     """SF-31: a quarter of the characters."""
-    return F.expr("1") * F.floor(F.length(c) / 4)
+    return F.floor(F.length(c) / 4)
 
 
 def backoff(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.functions.vocabulary import REFERENCE_HEADERS
 
 #: Parts of a parse's confidence in the two forms of the reference.
 STANDARD = {"doi": 0.3, "arxiv": 0.3, "year": 0.1, "venue": 0.1, "title": 0.2, "authors": 0.1}
@@ -23,7 +24,7 @@ IN_TEXT = {
 
 def reference_section(text: Column) -> Column:
     """IR-25: what follows a header line References or Bibliography, to an appendix or the end; the whole text without one."""
-    found = F.regexp_extract(text, r"(?is)(?:^|\n)[ \t]*(?:references|bibliography)[ \t]*\n(.*?)(?:\n[ \t]*(?:appendix|acknowledge?ments?)|$)", 1)
+    found = F.regexp_extract(text, r"(?is)(?:^|\n)[ \t]*" + REFERENCE_HEADERS + r"[ \t]*\n(.*?)(?:\n[ \t]*(?:appendix|acknowledge?ments?)|$)", 1)
     return F.when(found != "", found).otherwise(text)
 
 
@@ -59,7 +60,7 @@ def parse(rows: DataFrame, raw: str = "raw_text", weights: Mapping[str, float] =
 
 def identifiers(text: Column) -> tuple[Column, Column]:
     """IR-30: distinct DOIs and arXiv ids of a text, sorted."""
-    dois = F.transform(F.regexp_extract_all(text, F.lit(T.DOI), F.lit(0)), lambda d: F.regexp_replace(d, r"[.,;)]+$", ""))
+    dois = F.transform(F.regexp_extract_all(text, F.lit(T.DOI), F.lit(1)), lambda d: F.regexp_replace(d, r"[.,;)]+$", ""))
     return F.array_sort(F.array_distinct(dois)), F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(T.ARXIV), F.lit(1))))
 
 

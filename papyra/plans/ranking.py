@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyra import tables
 from papyra.functions import text as T
+from papyra.functions import vocabulary as Y
 from papyra.operators import chunking as C
 from papyra.operators import citations as X
 from papyra.operators import graph as G
@@ -196,41 +197,67 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.embed(tables.read(spark, sf_dir, "benchmark"), T.words(F.col("text")), 32).select("item_id", "embedding")
 
 
-DOMAIN = {"machine learning": ("ml", "statistical learning"), "neural": ("deep learning", "network"), "the": ("definite article",), "que": ("relative clause",)}
-SYNONYMS = {"in": ("within", "inside"), "la": ("ella",), "find": ("search", "locate"), "die": ("jene",)}
+QUESTIONS = [
+    (1, "How does a Transformer improve NLP on the data set"), (2, "compare machine learning methods versus a baseline"), (3, "What is the state of the art"), (4, "Give an overview of deep learning model performance"),
+    (5, "tell me something"), (6, "method and result with BERT"),
+]
+QUESTION_ROWS = f"{values('q', QUESTIONS, 'id, query')}, asked_all AS (SELECT CAST(id AS VARCHAR) AS id, query FROM q UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)"
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few questions with known terms, and every user turn."""
+    turns = tables.read(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
+    turns = turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("query"))
+    return rows(spark, [(str(i), q) for i, q in QUESTIONS], "id string, query string").union(turns)
+
+
+def _when(test: str, terms: tuple[str, ...]) -> str:
+    return f"CASE WHEN {test} THEN {list(terms)!r} ELSE [] END"
 
 
-def _added_sql() -> str:
-    parts = [f"CASE WHEN contains(q, '{p}') THEN {list(t)!r} ELSE [] END" for p, t in sorted(DOMAIN.items())]
-    parts += [f"CASE WHEN list_contains(own, '{w}') THEN {list(t)!r} ELSE [] END" for w, t in sorted(SYNONYMS.items())]
-    return ", ".join(parts)
+DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+PHRASED = "lower(query)"
+for _pattern, _form in Y.PHRASES:
+    PHRASED = f"regexp_replace({PHRASED}, '{_pattern}', '{_form}', 'gi')"
 
 
-# IR-18, IR-19, SF-09, SF-10
-@query(f"""WITH t AS (SELECT conv_id, turn, lower(trim(text)) AS q, string_split_regex(lower(trim(text)), '[ \\t\\n\\r]+') AS own FROM conversations WHERE role = 'user' AND text IS NOT NULL),
-a AS (SELECT *, flatten([{_added_sql()}]) AS l FROM t), u AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i AND NOT contains(q, x))[1:8] AS added FROM a)
-SELECT conv_id, turn, array_to_string(list_concat([q], added), ' ') AS rewritten, CAST(len(added) AS INT) AS n_added FROM u""")
+# IR-18, SF-09, SF-10
+@query(f"""WITH {QUESTION_ROWS}, t AS (SELECT id, query, lower(query) AS q, list_filter(string_split_regex(lower(query), '[ \\t\\n\\r]+'), lambda w: w <> '') AS own FROM asked_all),
+a AS (SELECT *, flatten([{', '.join(_when(f"contains(q, '{p}')", t) for p, t in Y.DOMAIN_TERMS.items())}]) AS d, flatten([{', '.join(_when(f"list_contains(own, '{w}')", t) for w, t in Y.SYNONYMS.items())}]) AS s FROM t),
+u AS (SELECT *, list_filter({DISTINCT.format('d')}, lambda x: NOT contains(q, lower(x)) AND NOT list_has_any(own, string_split(x, ' '))) AS dd, list_filter({DISTINCT.format('s')}, lambda x: NOT list_contains(own, x)) AS ss FROM a),
+v AS (SELECT *, list_concat(dd, ss)[1:8] AS added FROM u) SELECT id, array_to_string(list_concat([{PHRASED}], added), ' ') AS rewritten, CAST(len(added) AS INT) AS n_added FROM v""")
 def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = tables.read(spark, sf_dir, "conversations").where("role = 'user' and text is not null").withColumnRenamed("text", "query")
-    return R.rewrite(turns, DOMAIN, SYNONYMS).select("conv_id", "turn", "rewritten", F.size("added").alias("n_added"))
+    return R.rewrite(questions(spark, sf_dir)).select("id", "rewritten", F.size("added").alias("n_added"))
+
+
+KEYS = f"list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 2 AND t NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}))"
+
+
+# IR-19
+@query(f"""WITH {QUESTION_ROWS}, t AS (SELECT id, query, lower(query) AS q, {KEYS} AS own FROM asked_all),
+a AS (SELECT *, flatten([{', '.join([_when(f"contains(q, '{p}')", t) for p, t in Y.CONCEPTS.items()] + [_when(f"list_contains(own, '{w}')", t) for w, t in Y.KEYWORD_SYNONYMS.items()])}]) AS l FROM t)
+SELECT id, array_to_string(list_concat([query], list_sort(list_distinct(l))), ' ') AS expanded FROM a""")
+def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.expand(questions(spark, sf_dir)).select("id", "expanded")
 
 
-GROUPS = (("comparative", "compare|versus|than"), ("analytical", "why|analy|that"), ("summary", "summar|overview|und"))
+def _intent_sql() -> str:
+    return " ".join(f"WHEN {' OR '.join(f"contains(lower(query), '{t}')" for t in terms)} THEN '{name}'" for name, terms in Y.INTENTS)
 
 
 # IR-20, SF-12, SF-13
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'compare|versus|than') THEN 'comparative' WHEN regexp_matches(lower(text), 'why|analy|that') THEN 'analytical'
-WHEN regexp_matches(lower(text), 'summar|overview|und') THEN 'summary' ELSE 'factual' END AS kind FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+@query(f"""WITH {QUESTION_ROWS} SELECT id, CASE {' '.join(f"WHEN regexp_matches(lower(query), '{p}') THEN '{n}'" for n, p in Y.QUESTION_TYPES)} ELSE 'factual' END AS kind, CASE {_intent_sql()} ELSE 'find' END AS intent FROM asked_all""")
 def query_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "conversations").where("role = 'user' and text is not null").select("conv_id", "turn", R.classify(F.col("text"), GROUPS).alias("kind"))
+    return questions(spark, sf_dir).select("id", R.classify(F.col("query")).alias("kind"), R.intent(F.col("query")).alias("intent"))
 
 
 # SF-14, SF-15
-@query(f"""SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 2 AND t NOT IN ({STOP})), ' ') AS keywords,
-array_to_string(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}\\p{{N}}]+'), ' ') AS entities FROM conversations WHERE text IS NOT NULL""")
+@query(f"""WITH {QUESTION_ROWS}, t AS (SELECT id, query, {KEYS} AS k, list_filter(string_split_regex(query, '[ \\t\\n\\r]+'), lambda w: w <> '') AS own FROM asked_all)
+SELECT id, array_to_string(k, ' ') AS keywords, array_to_string(flatten(list_transform(own, lambda w: list_concat(CASE WHEN length(w) > 1 AND regexp_matches(w, '^\\p{{L}}') AND upper(w[1]) = w[1] THEN [w] ELSE [] END,
+CASE WHEN lower(w) IN ({', '.join(repr(w) for w in T.TECHNICAL)}) THEN [upper(w)] ELSE [] END))), ' ') AS entities FROM t""")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = tables.read(spark, sf_dir, "conversations").where("text is not null")
-    return turns.select("conv_id", "turn", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"), F.array_join(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}\p{N}]+"), F.lit(0)), " ").alias("entities"))
+    q = questions(spark, sf_dir)
+    return q.select("id", F.array_join(T.keywords(F.col("query")), " ").alias("keywords"), F.array_join(T.entities(F.col("query")), " ").alias("entities"))
 
 
 # SF-16, ST-05: the language's documents against each question of the benchmark, best by Jaccard of distinct words sharing a rare one
@@ -346,8 +373,8 @@ def regex_citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # IR-30
-@query(f"""WITH {values('t', TEXTS, 'source_paper_id, text')} SELECT source_paper_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '10\\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]+'), lambda d: regexp_replace(d, '[.,;)]+$', '')))), ' ') AS dois,
-array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)arxiv: ?([0-9]{{4}}\\.[0-9]{{4,5}}|[a-z\\-]+(?:\\.[A-Z]{{2}})?/[0-9]{{7}})', 1))), ' ') AS arxiv_ids FROM t""")
+@query(f"""WITH {values('t', TEXTS, 'source_paper_id, text')} SELECT source_paper_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{Y.DOI}', 1), lambda d: regexp_replace(d, '[.,;)]+$', '')))), ' ') AS dois,
+array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{Y.ARXIV}', 1))), ' ') AS arxiv_ids FROM t""")
 def doi_arxiv_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     dois, arxiv = X.identifiers(F.col("text"))
     return rows(spark, TEXTS, "source_paper_id string, text string").select("source_paper_id", F.array_join(dois, " ").alias("dois"), F.array_join(arxiv, " ").alias("arxiv_ids"))

@@ -209,13 +209,6 @@ def node_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(W.rank_metrics(d, "node", ["in_degree"]).select("node", "rank"), "node")
 
 
-# IR-20 parts of a question: entities as in SF-14, intent by words
-@query("""SELECT item_id, CASE WHEN contains(lower(text), 'compare') THEN 'compare' WHEN contains(lower(text), 'how') THEN 'explain' ELSE 'find' END AS intent FROM benchmark""")
-def question_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    return tables.read(spark, sf_dir, "benchmark").select("item_id", F.when(F.contains(low, F.lit("compare")), "compare").when(F.contains(low, F.lit("how")), "explain").otherwise("find").alias("intent"))
-
-
 # IR-33: points unlike each other, tested by hand values
 @query()
 def distinct_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Categories of the reference's table.
-CATEGORIES = {
-    "cs.AI": "Artificial Intelligence", "cs.LG": "Machine Learning", "cs.CL": "Computation and Language", "cs.CV": "Computer Vision and Pattern Recognition", "cs.NE": "Neural and Evolutionary Computing",
-    "cs.IR": "Information Retrieval", "cs.RO": "Robotics", "stat.ML": "Machine Learning (Statistics)", "math.OC": "Optimization and Control", "physics.comp-ph": "Computational Physics",
-}
+from papyra.functions.vocabulary import CATEGORIES
 
 PAPER = (
     "id string, title string, authors array<string>, abstract string, doi string, published_date timestamp, updated_date timestamp, venue string, year int, "

@@ -25,7 +25,7 @@ def test_doi(spark, text, want):
     assert one(spark, text, T.doi) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("arXiv:2301.12345", "2301.12345"), ("arxiv:2201.67890v2", "2201.67890"), ("arXiv:cs.AI/0701123", "cs.AI/0701123"), ("arxiv:math.GT/9901001v1", "math.GT/9901001"), ("none", None)])
+@pytest.mark.parametrize(("text", "want"), [("arXiv:2301.12345", "2301.12345"), ("arxiv:2201.67890v2", "2201.67890v2"), ("arXiv:cs.AI/0701123", "cs.AI/0701123"), ("arxiv:math.GT/9901001v1", "math.GT/9901001v1"), ("none", None)])
 def test_arxiv(spark, text, want):
     assert one(spark, text, T.arxiv_id) == want
 
