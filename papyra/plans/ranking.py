@@ -260,15 +260,15 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("id", F.array_join(T.keywords(F.col("query")), " ").alias("keywords"), F.array_join(T.entities(F.col("query")), " ").alias("entities"))
 
 
-# SF-16, ST-05: the language's documents against each question of the benchmark, best by Jaccard of distinct words sharing a rare one
-@query("""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{N}]+'), lambda t: length(t) > 3)) AS w FROM documents WHERE text IS NOT NULL),
+# SF-16, ST-05, JN-12: for each benchmark item the document most like it, by Jaccard of long words
+@query("""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: length(t) > 3)) AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: length(t) > 3)) AS w FROM benchmark),
 m AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(w) AS t FROM b) JOIN (SELECT doc_id, unnest(w) AS t FROM d) USING (t) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, n / (len(b.w) + len(d.w) - n) AS score FROM m JOIN b USING (item_id) JOIN d USING (doc_id)),
 t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM s) SELECT item_id, doc_id, round(score, 6) AS score FROM t WHERE k = 1""")
 def title_jaccard_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = lambda c: F.array_distinct(F.filter(T.words(c), lambda t: F.length(t) > 3))
-    d = tables.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", long(F.substring_index("text", "\n", 1)).alias("w"))
+    d = tables.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", long(F.col("text")).alias("w"))
     b = tables.read(spark, sf_dir, "benchmark").select("item_id", long(F.col("text")).alias("w"))
     n = b.select("item_id", F.size("w").alias("nb"), F.explode("w").alias("t")).join(d.select("doc_id", F.size("w").alias("nd"), F.explode("w").alias("t")), "t").groupBy("item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("n"))
     s = n.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), (F.col("n") / (F.col("nb") + F.col("nd") - F.col("n"))).alias("score"))
