@@ -70,3 +70,32 @@ def test_ingest_adds_nothing_twice(spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
         S.ingest(stream, str(tmp_path / "table"), ["id", "hash"], str(tmp_path / run)).awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table")).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_batches_go_to_their_handlers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id bigint, kind string")
+    rows.write.parquet(str(tmp_path / "in"))
+    seen: dict[str, int] = {}
+
+    def count(name):
+        return lambda df, epoch: seen.__setitem__(name, seen.get(name, 0) + df.count())
+
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    S.dispatch(stream, "kind", {"a": count("a"), "b": count("b")}, str(tmp_path / "cp")).awaitTermination(120)
+    assert seen == {"a": 2, "b": 1}
+
+
+def test_a_key_is_answered_once_within_its_time(spark, tmp_path):
+    rows = spark.createDataFrame([(START, "q1", 1), (START + timedelta(minutes=5), "q1", 2), (START + timedelta(minutes=6), "q2", 3)], "ts timestamp, key string, n int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = S.recent_only(stream, ["key"]).writeStream.format("memory").queryName("firsts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.key for r in spark.table("firsts").collect()) == ["q1", "q2"]
+
+
+def test_sessions_break_at_the_gap(spark):
+    rows = spark.createDataFrame([(START + timedelta(minutes=m), 1, "a", 1.0) for m in (0, 10, 50)], "ts timestamp, user_id bigint, event_type string, value double")
+    assert sorted(r.n for r in S.sessions(rows).collect()) == [1, 2]
+    assert S.sliding_counts(rows).agg(F.sum("n")).first()[0] == 12
+    assert [r.level for r in S.alerts(rows.withColumn("value", F.lit(95.0)), 75, 90).collect()] == ["critical"] * 3
