@@ -64,14 +64,29 @@ def by_key(c: DataFrame, p: DataFrame, key: str, confidence: float) -> DataFrame
     return _best(met.select("citation_id", "paper_id", F.lit(confidence).alias("confidence")), key)
 
 
-def by_title(c: DataFrame, p: DataFrame, least: float = 0.8, shortest: int = 10, exact: bool = False) -> DataFrame:
-    """JN-08: titles alike above ``least``. Titles so alike share a word, so words are the blocking key; pairs meet once."""
-    def words(prefix: str) -> Column:
-        return F.explode(F.array_distinct(F.filter(F.split(f"{prefix}title", " "), lambda w: F.length(w) > 3))).alias("w")
+def title_candidates(c: DataFrame, p: DataFrame, common: int = 64, factor: int = 8) -> DataFrame:
+    """(citation_id, paper_id) of titles that share a telling word, each pair once.
+
+    A citation looks under its words of four letters or more that papers have: the rarest, and others that are in at most
+    ``common`` titles or ``factor`` times as many as the rarest. A word of every title is thus a key only for citations
+    that have no other. Titles with no telling word in common don't meet, whatever their similarity.
+    """
+    word = lambda title: F.explode(F.array_distinct(F.filter(F.split(title, " "), lambda w: F.length(w) > 3))).alias("w")
+    papers = p.select("paper_id", word("p_title"))
+    known = papers.groupBy("w").agg(F.count("*").alias("titles"))
+    asked = c.select("citation_id", word("c_title")).join(known, "w").withColumn("rarest", F.min("titles").over(Window.partitionBy("citation_id")))
+    keys = asked.where(F.col("titles") <= F.greatest(F.lit(common), F.col("rarest") * factor))
+    return keys.select("citation_id", "w").join(papers, "w").select("citation_id", "paper_id").distinct()
 
+
+def by_title(c: DataFrame, p: DataFrame, least: float = 0.8, shortest: int = 10, exact: bool = False) -> DataFrame:
+    """JN-08: titles alike above ``least``, among those that share a telling word."""
     a = c.where(F.length("c_title") >= shortest)
-    pairs = a.select("citation_id", words("c_")).join(p.select("paper_id", words("p_")), "w").select("citation_id", "paper_id").distinct()
-    rows = pairs.join(a, "citation_id").join(p, "paper_id").withColumn("s", title_similarity(F.col("c_title"), F.col("p_title"), exact))
+    rows = title_candidates(a, p).join(a, "citation_id").join(p, "paper_id")
+    longer, shorter = F.greatest(F.length("c_title"), F.length("p_title")), F.least(F.length("c_title"), F.length("p_title"))
+    if not exact:  # an edit ratio is at most shorter / longer
+        rows = rows.where(shorter > least * longer)
+    rows = rows.withColumn("s", title_similarity(F.col("c_title"), F.col("p_title"), exact))
     return _best(rows.where(F.col("s") > least).select("citation_id", "paper_id", (0.9 * F.col("s")).alias("confidence")), "title")
 
 
