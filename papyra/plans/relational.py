@@ -97,7 +97,7 @@ def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # FLT-17
-@query("SELECT o_orderkey, year(o_orderdate) AS year, o_orderstatus FROM orders WHERE year(o_orderdate) = 1995 AND o_orderstatus = 'F'")
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_orderstatus FROM orders WHERE year(o_orderdate) = 1995 AND o_orderstatus = 'F'")
 def orders_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables.read(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), "o_orderstatus")
     return orders.where("year = 1995 and o_orderstatus = 'F'")
@@ -324,7 +324,7 @@ def explode_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # AG-18
 @query(f"""WITH {tables.PART_EDGES_SQL}, e AS (SELECT src AS node, 1 AS cites, 0 AS cited FROM edges UNION ALL SELECT dst, 0, 1 FROM edges),
 s AS (SELECT l_partkey AS node, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
-SELECT e.node, CAST(sum(cites) AS BIGINT) AS cites, CAST(sum(cited) AS BIGINT) AS cited_by, round(2.0 * sum(cited) + sum(cites) + 0.3 * max(s.n), 6) AS impact FROM e JOIN s ON s.node = e.node GROUP BY e.node""")
+SELECT e.node, CAST(sum(cites) AS BIGINT) AS cites, CAST(sum(cited) AS BIGINT) AS cited_by, round(CAST(2.0 * sum(cited) + sum(cites) + 0.3 * max(s.n) AS DOUBLE), 6) AS impact FROM e JOIN s ON s.node = e.node GROUP BY e.node""")
 def impact_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = G.degrees(tables.part_edges(spark, sf_dir))
     s = tables.read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.countDistinct("l_suppkey").alias("n"))

@@ -41,7 +41,7 @@ q AS (SELECT *, c1 - c0 AS growth, CASE WHEN c0 > 0 THEN (c1 - c0) / c0 * 100 EL
 SELECT paper_id, points, c1 AS last_count, growth, round(growth_rate, 6) AS growth_rate, round(velocity, 6) AS velocity, round(acceleration, 6) AS acceleration,
 round(greatest(0.3 * least(growth / 10, 10) + 0.25 * least(growth_rate / 50, 5) + 0.25 * least(velocity * 10, 5) + 0.2 * least(acceleration * 100, 3) + least(ln(c1 + 1) / 5, 2), 0), 5) AS score,
 CASE WHEN acceleration > 0.5 THEN 'burst' WHEN growth_rate > 20 AND velocity > 0.1 THEN 'rising' WHEN growth_rate < -10 OR velocity < -0.05 THEN 'declining' WHEN abs(growth_rate) < 5 AND abs(velocity) < 0.02 THEN 'stable' ELSE 'fluctuating' END AS trend,
-round(least(0.5 + CASE WHEN points >= 5 THEN 0.2 WHEN points >= 3 THEN 0.1 ELSE 0 END + CASE WHEN gap <= 7 THEN 0.2 WHEN gap <= 30 THEN 0.1 ELSE 0 END, 1.0), 6) AS confidence FROM q WHERE c1 >= 5""")
+round(CAST(least(0.5 + CASE WHEN points >= 5 THEN 0.2 WHEN points >= 3 THEN 0.1 ELSE 0 END + CASE WHEN gap <= 7 THEN 0.2 WHEN gap <= 30 THEN 0.1 ELSE 0 END, 1.0) AS DOUBLE), 6) AS confidence FROM q WHERE c1 >= 5""")
 def trend_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = F.to_timestamp_ntz(F.lit(AS_OF)) - F.expr("INTERVAL 14 DAY")
     t = W.trends(rates(spark, sf_dir), since, 14)

@@ -43,7 +43,7 @@ edges AS (SELECT src, dst, weight FROM counts WHERE weight > 1.15 * (SELECT avg(
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, ts, citation_count): a user's events so far, at the end of each day with events."""
-    days = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("paper_id"), F.date_trunc("day", "ts").alias("ts")).agg(F.count("*").alias("n"))
+    days = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("paper_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n"))
     return days.select("paper_id", "ts", F.sum("n").over(Window.partitionBy("paper_id").orderBy("ts")).alias("citation_count"))
 
 
