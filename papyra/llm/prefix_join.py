@@ -9,10 +9,12 @@ the token of the prefix: unlike a single shingle, it doesn't turn hot with a pas
 Sizes are cut into classes so that linking sizes share a class (a scheme), which fixes D and l.
 
 1. Every node sends its D + l tokens in the schemes of its class and of the class below. A token of more than ``COMMON`` rows
-   is costly. A node's cost is the number of its costly tokens, and a pair needs l shared tokens: so many cheap ones as are
-   left when every costly token of both is granted. Pairs are counted in cheap lists only (COMMON rows at most).
-2. Nodes with l costly tokens or more may meet in those alone. They go on through the costly lists, where only neighbours in the
-   order of nodes are linked: n rows make n - 1 links, not all pairs. Candidate groups are components of both kinds of links.
+   is costly. A node's cost is the number of its costly tokens. A pair needs l equal cells, and cells empty in both count: only a
+   node with l empty cells or more sends them. So a pair needs so many cheap tokens as are left of l when every costly token and,
+   unless both send theirs, every empty cell of both is granted. Pairs are counted in cheap lists only (COMMON rows at most).
+2. Nodes whose costly tokens and empty cells are l or more may meet in no cheap token. They go on through the costly lists, where
+   only neighbours in the order of nodes are linked: n rows make n - 1 links, not all pairs. (Nodes that meet in no token at all
+   have l common empty cells, and both send them.) Candidate groups are components of both kinds of links.
 3. In a group, l grows with the number of candidates of a size: a pair must share l of D + l cells before its shingles are
    compared, and pairs already joined by links are left out. Large groups are cut into blocks; a task gets two blocks.
 4. Links found are a spanning set; their components are the answer.
@@ -113,8 +115,9 @@ def cells(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np
 def prefix_tokens(values: np.ndarray, sizes: np.ndarray, s: JoinSetting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, set, info) of each set in the schemes of its own class and of the class below.
 
-    info: scheme << 33 | l << 1 | whether the scheme is that of the set's own class. Of two sets in a scheme one is, or they
-    meet in another. A set sends its empty cells only if it has l of them: fewer can't be all that it shares.
+    info: scheme << 51 | empty cells, l at most << 26 | l << 1 | whether the scheme is that of the set's own class. Of two sets in
+    a scheme one is, or they meet in another. A set sends its empty cells only if it has l of them: fewer can't be all that it
+    shares, and ``candidate_links`` grants them.
     """
     tokens, owners, infos = [], [], []
     bounds = s.bounds(int(sizes.max(initial=1)))
@@ -132,7 +135,7 @@ def prefix_tokens(values: np.ndarray, sizes: np.ndarray, s: JoinSetting) -> tupl
         place = (scheme[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)
         tokens.append(mix(content + mix(place + np.uint64(1)))[send])
         owners.append(owner[send])
-        infos.append((scheme[owner] << 33 | need[owner] << 1 | (1 - step))[send])
+        infos.append((scheme[owner] << 51 | np.minimum(empty, need)[owner] << 26 | need[owner] << 1 | (1 - step))[send])
     return np.concatenate(tokens), np.concatenate(owners), np.concatenate(infos)
 
 
@@ -227,19 +230,22 @@ def _verify(s: JoinSetting):
 def candidate_links(prefixes: DataFrame) -> DataFrame:
     """(a, b): links whose components are the candidate groups, from rows (token, node, info)."""
     one = Window.partitionBy("token")
-    before = F.collect_list(F.struct("node", (F.col("info") % 2).alias("low"))).over(one.orderBy("node").rowsBetween(1 - COMMON, -1))
+    before = F.collect_list(F.struct("node", "info")).over(one.orderBy("node").rowsBetween(1 - COMMON, -1))
     met = Stored(prefixes.withColumn("rows", F.count("*").over(one)).where("rows > 1").withColumn("before", before), "met")
     release(prefixes.sparkSession)
-    scheme, need = F.shiftright("info", 33).alias("scheme"), (F.shiftright("info", 1) % (1 << 32)).alias("need")
-    cheap = met.read().where(F.col("rows") <= COMMON).select("node", "info", scheme, need, F.explode("before").alias("x"))
-    cheap = cheap.where(((F.col("info") % 2 == 1) | (F.col("x.low") == 1)) & (F.col("x.node") != F.col("node")))
-    pairs = cheap.groupBy(F.col("x.node").alias("a"), F.col("node").alias("b"), "scheme", "need").agg(F.count("*").alias("shared"))
-    costly = met.read().where(F.col("rows") > COMMON).select("token", "node", scheme, need)
+    part = lambda c, low: F.shiftright(c, low) % (1 << 25)
+    scheme, need, empty = F.shiftright("info", 51).alias("scheme"), part("info", 1).alias("need"), part("info", 26).alias("empty")
+    cheap = met.read().where(F.col("rows") <= COMMON).select("node", "info", scheme, need, empty, F.explode("before").alias("x"))
+    cheap = cheap.where(((F.col("info") % 2 == 1) | (F.col("x.info") % 2 == 1)) & (F.col("x.node") != F.col("node")))
+    both = F.least("empty", part("x.info", 26))
+    unsent = F.when(both < F.col("need"), both).otherwise(0).alias("unsent")  # with l empty cells each, both send them
+    pairs = cheap.groupBy(F.col("x.node").alias("a"), F.col("node").alias("b"), "scheme", "need", unsent).agg(F.count("*").alias("shared"))
+    costly = met.read().where(F.col("rows") > COMMON).select("token", "node", scheme, need, empty)
     costs = Stored(costly.groupBy("node", "scheme").agg(F.count("*").alias("cost")), "costs")
     cost = lambda n: costs.read().select(F.col("node").alias(n), "scheme", F.col("cost").alias(f"cost_{n}"))
-    granted = F.least(F.coalesce("cost_a", F.lit(0)), F.coalesce("cost_b", F.lit(0)))
+    granted = F.least(F.coalesce("cost_a", F.lit(0)), F.coalesce("cost_b", F.lit(0))) + F.col("unsent")
     kept = pairs.join(cost("a"), ["a", "scheme"], "left").join(cost("b"), ["b", "scheme"], "left").where(F.col("shared") + granted >= F.col("need")).select("a", "b")
-    alone = costly.join(costs.read(), ["node", "scheme"]).where(F.col("cost") >= F.col("need"))
+    alone = costly.join(costs.read(), ["node", "scheme"]).where(F.col("cost") + F.col("empty") >= F.col("need"))
     last = F.lag("node").over(one.orderBy("node"))
     chain = alone.withColumn("a", last).where("a is not null and a <> node").select("a", F.col("node").alias("b"))
     return kept.union(chain).distinct()

@@ -302,6 +302,34 @@ def test_links_equal_the_plain_version(spark, words, num):
     assert got == plain_links(docs, s)
 
 
+@pytest.mark.parametrize(("words", "num"), [(3, 90), (5, 80)])
+def test_links_of_short_texts_at_the_threshold(spark, words, num):
+    """Isolated pairs of 4 to 30 shingles that link with none to spare; their cells are few, and some are empty in both."""
+    s, rng, docs = J.JoinSetting(words, num, 100), random.Random(num), []
+    for a in range(4, 31):
+        least = [(b, n) for b in range(a, 31) for n in range(1, a + 1) if s.links(a, b, n) and n < b and not s.links(a, b, n - 1)]
+        for b, n in least * 6:
+            k = len(docs)
+            both = [f"t{k}x{i}" for i in range(n + words - 1)]
+            docs += [(k, " ".join(both + [f"a{k}x{i}" for i in range(a - n)])), (k + 1, " ".join(both + [f"b{k}x{i}" for i in range(b - n)]))]
+    rng.shuffle(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id bigint, text string"), s).collect()}
+    assert len(docs) > 300 and got == plain_links(docs, s)
+
+
+def test_links_of_short_texts_through_common_cells(spark):
+    """Pairs that meet in costly tokens and empty cells only: near copies of one short text among its other near copies."""
+    s, rng = J.JoinSetting(1, 80, 100), random.Random(8)
+    docs = []
+    for base in range(40):
+        w = [f"b{base}x{i}" for i in range(4 + base % 27)]
+        for _ in range(24):
+            gone = rng.sample(range(len(w)), max(1, len(w) // 9))
+            docs.append((len(docs), " ".join(f"n{len(docs)}x{i}" if i in gone else x for i, x in enumerate(w))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id bigint, text string"), s).collect()}
+    assert got == plain_links(docs, s)
+
+
 def test_links_odd_rows(odd, none):
     rows = J.linked(odd).collect()
     assert len(rows) == odd.count()
