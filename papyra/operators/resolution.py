@@ -1,7 +1,7 @@
 """Resolving citations against papers: a cascade of joins (JN-07..12, JN-23, SF-17..22).
 
-Citations: citation_id, title, authors, year, doi, arxiv_id, venue. Papers: paper_id and the same fields. Fuzzy stages join on
-blocking keys first (words of the title, the year, the band of years) and compare only what meets.
+Citations: citation_id, title, authors, year, doi, arxiv_id, venue. Papers: paper_id and the same fields. Stages by year join on
+it first and compare only what meets; titles are compared where their characters and pairs of letters leave it possible.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import difflib
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -17,6 +19,11 @@ from pyspark.sql.types import DoubleType
 from papyra.functions import scores as S
 from papyra.functions import text as T
 
+#: Titles of a block; a task compares two blocks.
+BLOCK = 2048
+#: Buckets of characters and of pairs, and up to which count each is exact.
+CHARS, CHAR_TIMES = 48, 6
+PAIRS, PAIR_TIMES = 256, 2
 MATCH = ("citation_id", "paper_id", "match_type", "confidence", "alternatives")
 
 
@@ -64,25 +71,61 @@ def by_key(c: DataFrame, p: DataFrame, key: str, confidence: float) -> DataFrame
     return _best(met.select("citation_id", "paper_id", F.lit(confidence).alias("confidence")), key)
 
 
-def title_candidates(c: DataFrame, p: DataFrame, common: int = 64, factor: int = 8) -> DataFrame:
-    """(citation_id, paper_id) of titles that share a telling word, each pair once.
+def _counted(doc: np.ndarray, bucket: np.ndarray, rows: int, buckets: int, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 0/1 row for each title (bucket counted once, twice and so on), whose products are the common counts, and what is beyond ``times``."""
+    n = np.bincount(doc * buckets + bucket, minlength=rows * buckets).reshape(rows, buckets)
+    return np.concatenate([n >= k + 1 for k in range(times)], axis=1).astype(np.float32), np.maximum(n - times, 0).sum(1)
 
-    A citation looks under its words of four letters or more that papers have: the rarest, and others that are in at most
-    ``common`` titles or ``factor`` times as many as the rarest. A word of every title is thus a key only for citations
-    that have no other. Titles with no telling word in common don't meet, whatever their similarity.
+
+def title_bags(titles: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Lengths; then of characters and of pairs of neighbours within words: their number and ``_counted``."""
+    size = np.asarray([len(x) for x in titles], np.int64)
+    code = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    doc = np.repeat(np.arange(len(titles)), size)
+    inside = np.flatnonzero((doc[1:] == doc[:-1]) & (code[1:] != 32) & (code[:-1] != 32))
+    pair = (code[inside] * 31 + code[inside + 1]) % PAIRS
+    chars, pairs = _counted(doc, code % CHARS, len(size), CHARS, CHAR_TIMES), _counted(doc[inside], pair, len(size), PAIRS, PAIR_TIMES)
+    return size, [(size, *chars), (np.bincount(doc[inside], minlength=len(size)), *pairs)]
+
+
+def possible_titles(a: list[str], b: list[str], least: float, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of all pairs whose ``title_similarity`` may be above ``least``.
+
+    Both edit distances are at least the longer length less the common characters (which sorted words keep), and half of the
+    pairs of neighbours that one title has more than are common, as an edit ends two pairs within words at most. Matching
+    blocks have at most the common characters. Buckets that clash only make more common.
     """
-    word = lambda title: F.explode(F.array_distinct(F.filter(F.split(title, " "), lambda w: F.length(w) > 3))).alias("w")
-    papers = p.select("paper_id", word("p_title"))
-    known = papers.groupBy("w").agg(F.count("*").alias("titles"))
-    asked = c.select("citation_id", word("c_title")).join(known, "w").withColumn("rarest", F.min("titles").over(Window.partitionBy("citation_id")))
-    keys = asked.where(F.col("titles") <= F.greatest(F.lit(common), F.col("rarest") * factor))
-    return keys.select("citation_id", "w").join(papers, "w").select("citation_id", "paper_id").distinct()
+    (na, (ca, pairs_a)), (nb, (cb, pairs_b)) = title_bags(a), title_bags(b)
+    common = lambda x, y: x[1] @ y[1].T + np.minimum(x[2][:, None], y[2][None, :])
+    longer = np.maximum(np.maximum(na[:, None], nb[None, :]), 1)
+    chars = common(ca, cb)
+    edits = np.maximum(longer - chars, (np.maximum(pairs_a[0][:, None], pairs_b[0][None, :]) - common(pairs_a, pairs_b)) / 2)
+    most = 1 - edits / longer
+    if exact:
+        most = 0.7 * most + 0.3 * np.minimum(1, 2 * chars / np.maximum(na[:, None] + nb[None, :], 1))
+    return np.nonzero(most > least - 1e-6)
+
+
+def title_candidates(c: DataFrame, p: DataFrame, least: float = 0.8, exact: bool = False) -> DataFrame:
+    """(citation_id, paper_id) of all titles that may be alike above ``least``: blocks against blocks, as vectors are searched."""
+    nc, np_ = (max(1, -(-x.count() // BLOCK)) for x in (c, p))
+    blocks = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = c.select("citation_id", F.col("c_title").alias("title"), blocks("citation_id", nc).alias("i")).withColumn("j", every(np_))
+    right = p.select("paper_id", F.col("p_title").alias("title"), blocks("paper_id", np_).alias("j")).withColumn("i", every(nc))
+
+    def pairs(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = possible_titles(a.column("title").to_pylist(), b.column("title").to_pylist(), least, exact)
+        return pa.table({"citation_id": a.column("citation_id").take(pa.array(x)), "paper_id": b.column("paper_id").take(pa.array(y))})
+
+    found = f"citation_id {dict(c.dtypes)['citation_id']}, paper_id {dict(p.dtypes)['paper_id']}"
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pairs, found).distinct()
 
 
 def by_title(c: DataFrame, p: DataFrame, least: float = 0.8, shortest: int = 10, exact: bool = False) -> DataFrame:
-    """JN-08: titles alike above ``least``, among those that share a telling word."""
+    """JN-08: titles alike above ``least``."""
     a = c.where(F.length("c_title") >= shortest)
-    rows = title_candidates(a, p).join(a, "citation_id").join(p, "paper_id")
+    rows = title_candidates(a, p, least, exact).join(a, "citation_id").join(p, "paper_id")
     longer, shorter = F.greatest(F.length("c_title"), F.length("p_title")), F.least(F.length("c_title"), F.length("p_title"))
     if not exact:  # an edit ratio is at most shorter / longer
         rows = rows.where(shorter > least * longer)

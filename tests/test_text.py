@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,20 @@ def test_exact_sequence_ratio(spark):
     assert Z.resolve(c, p, exact=True).first().paper_id == "paper3"
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_titles_of_common_words_meet(spark, exact):
+    """Every word of the right title is in over 64 others, the citation's slip is a word of another paper, and one shares no word."""
+    rng, words = random.Random(2), "causal inference for neural networks of graphs and trees in deep learning".split()
+    titles = ["Causal inference for neural networks", "Casual dress codes", "Astronomy spectra", *(" ".join(rng.choices(words, k=6)) for _ in range(400))]
+    asked = ["Casual inference for neural networks", "Astronomi spectre", *(" ".join(w[:-1] if rng.random() < 0.3 else w for w in rng.choice(titles[3:]).split()) for _ in range(20))]
+    c = spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "citation_id int, c_title string").withColumn("c_title", F.lower("c_title"))
+    p = spark.createDataFrame([(f"p{i}", x) for i, x in enumerate(titles)], "paper_id string, p_title string").withColumn("p_title", F.lower("p_title"))
+    every = c.crossJoin(p).where(Z.title_similarity(F.col("c_title"), F.col("p_title"), exact) > 0.8).select("citation_id", "paper_id")
+    got = Z.by_title(c, p, exact=exact).select("citation_id", F.explode(F.concat(F.array("paper_id"), "alternatives")).alias("paper_id"))
+    want = {tuple(r) for r in every.collect()}
+    assert {tuple(r) for r in got.collect()} == want and (0, "p0") in want and (exact or (1, "p2") in want)
+
+
 def test_validation_of_citations(spark):
     r = R.validate_citations(spark.createDataFrame([("[arxiv:1706.03762] [missing:citation]", ["arxiv:1706.03762"])], "answer string, available array<string>")).first()
     assert (r.valid, r.missing, r.coverage) == (["arxiv:1706.03762"], ["missing:citation"], 0.5)
