@@ -47,11 +47,12 @@ def _blocks(rows: int) -> int:
     return max(1, -(-rows // BLOCK))
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", least: float | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, id, score: the k best rows for every query but the query itself; filters belong before this."""
+def _scan(queries: DataFrame, corpus: DataFrame, k: int, metric: str, id_col: str, vector: str, group: str | None = None) -> DataFrame:
+    """query_id, id, score: of each pair of blocks the k best rows of a query; by group, the best rows of its k best other groups."""
     nq, nc = _blocks(queries.count()), _blocks(corpus.count())
-    a = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(nq)).cast("int").alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    b = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(nc)).cast("int").alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    more = [F.col(group).alias("g")] if group else []
+    a = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("v"), *more, F.pmod(F.xxhash64(id_col), F.lit(nq)).cast("int").alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    b = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), *more, F.pmod(F.xxhash64(id_col), F.lit(nc)).cast("int").alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
     sign = -1.0 if metric == "l2" else 1.0
 
@@ -61,13 +62,29 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine"
         s = measure(_matrix(q, "v"), _matrix(c, "v"), metric)
         q_ids, c_ids = np.asarray(q.column("query_id")), np.asarray(c.column("id"))
         better = np.where(c_ids[None, :] == q_ids[:, None], -np.inf, sign * s)
-        order = np.lexsort((np.broadcast_to(c_ids, s.shape), -better), axis=1)[:, :k]
+        if group:
+            kind = pa.chunked_array([*q.column("g").chunks, *c.column("g").chunks]).combine_chunks().dictionary_encode()
+            kind = np.asarray((kind.combine_chunks() if isinstance(kind, pa.ChunkedArray) else kind).indices)
+            own, theirs = kind[: len(q_ids)], kind[len(q_ids) :]
+            better[own[:, None] == theirs[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(c_ids, s.shape), -better), axis=1)
+        if group:  # the first of each group, own rows being last
+            firsts = (o[np.sort(np.unique(theirs[o], return_index=True)[1])[:k]] for o in order)
+            row, col = (np.concatenate(x) for x in zip(*((np.full(len(o), i), o) for i, o in enumerate(firsts))))
+            keep = better[row, col] > -np.inf
+            return pa.table([q_ids[row[keep]], c_ids[col[keep]], s[row[keep], col[keep]]], schema=schema)
+        order = order[:, :k]
         row = np.repeat(np.arange(len(q_ids)), order.shape[1])
         col = order.ravel()
         keep = better[row, col] > -np.inf
         return pa.table([q_ids[row[keep]], c_ids[col[keep]], s[row[keep], col[keep]]], schema=schema)
 
-    found = a.groupBy("qb", "cb").cogroup(b.groupBy("qb", "cb")).applyInArrow(best, "query_id bigint, id bigint, score double")
+    return a.groupBy("qb", "cb").cogroup(b.groupBy("qb", "cb")).applyInArrow(best, "query_id bigint, id bigint, score double")
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", least: float | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, id, score: the k best rows for every query but the query itself; filters belong before this."""
+    found = _scan(queries, corpus, k, metric, id_col, vector)
     if least is not None:
         found = found.where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.asc("score") if metric == "l2" else F.desc("score"), "id")
@@ -105,6 +122,12 @@ def one_per_group(hits: DataFrame, groups: DataFrame, k: int, id_col: str = "vec
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
+def search_groups(queries: DataFrame, corpus: DataFrame, k: int, group: str = "label", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """IR-06: the best row of each of the k groups nearest to a query by cosine, its own group apart, however large that is."""
+    known = lambda df: df.where(F.col(group).isNotNull())
+    return one_per_group(_scan(known(queries), known(corpus), k, "cosine", id_col, vector, group), corpus, k, id_col, group)
+
+
 def kmeans(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
     """IR-15: id, cluster."""
     from pyspark.ml.clustering import KMeans

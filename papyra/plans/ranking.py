@@ -151,7 +151,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score D
 t AS (SELECT query_id, label, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM g WHERE m = 1) SELECT query_id, rank, label, id, round(score, 5) AS score FROM t WHERE rank <= 5""")
 def similar_one_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, v = _vectors(spark, sf_dir)
-    return V.one_per_group(V.search(q, v, 50), v, 5).select("query_id", "rank", "label", "id", r("score", 5).alias("score"))
+    return V.search_groups(q, v, 5).select("query_id", "rank", "label", "id", r("score", 5).alias("score"))
 
 
 PAIRS = f"{VEC}, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3)"

@@ -109,6 +109,22 @@ def test_search_equals_numpy(vectors, metric, monkeypatch):
     assert sorted((r.query_id, r.id) for r in V.search(df.where("vec_id % 50 = 0"), df, 5, metric).collect()) == want
 
 
+def test_nearest_groups_beyond_the_own_one(spark, monkeypatch):
+    """Hundreds of near-copies have the query's label, and other groups are large too."""
+    monkeypatch.setattr(V, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    m, label = rng.normal(size=(400, 6)), rng.choice([1, 2, 3, 4, 5, 6], 400, p=[0.3, 0.3, 0.3, 0.04, 0.03, 0.03])
+    m[:150], label[:150] = m[0] + rng.normal(size=(150, 6)) / 1000, 9
+    df = spark.createDataFrame([(i, [float(x) for x in v], int(g)) for i, (v, g) in enumerate(zip(m, label))], "vec_id bigint, embedding array<double>, label int")
+    n = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = []
+    for q in range(0, 400, 50):
+        s = n @ n[q]
+        best = sorted((-max(s[label == g]), g) for g in set(label) - {label[q]})[:5]
+        want += [(q, k + 1, int(g), int(np.flatnonzero(label == g)[s[label == g].argmax()])) for k, (_, g) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.label, r.id) for r in V.search_groups(df.where("vec_id % 50 = 0"), df, 5).collect()) == sorted(want)
+
+
 def test_pairs_equal_numpy(vectors, monkeypatch):
     m, df = vectors
     monkeypatch.setattr(V, "BLOCK", 64)
