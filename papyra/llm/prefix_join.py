@@ -145,7 +145,7 @@ def _nodes(s: JoinSetting):
             for cut in text_slices(batch):
                 values, sizes = shingle_sets(cut.column("text"), s)
                 node = pa.array(node_ids(values, sizes), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(sizes.astype(np.int64)), node], names=["doc_id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("mark"), pa.array(sizes.astype(np.int64)), node], names=["doc_id", "mark", "n_shingles", "node"])
 
     return run
 
@@ -251,12 +251,12 @@ def candidate_links(prefixes: DataFrame) -> DataFrame:
     return kept.union(chain).distinct()
 
 
-def linked(docs: DataFrame, s: JoinSetting = JoinSetting()) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row."""
+def _labelled(docs: DataFrame, s: JoinSetting) -> DataFrame:
+    """doc_id, d (its key), mark (hash of the text), n_shingles, root and first (smallest key of the component) of every row; no root: no links."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = plain(docs, ("doc_id", "text"))
-    table = Stored(texts.mapInArrow(_nodes(s), "doc_id bigint, n_shingles bigint, node bigint"), "nodes")
+    table = Stored(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_nodes(s), "doc_id bigint, mark bigint, n_shingles bigint, node bigint"), "nodes")
     edges = Stored(candidate_links(texts.where(F.length("text") > 0).mapInArrow(_prefixes(s), "token bigint, node bigint, info bigint")), "candidates")
     release(spark)
     groups = Stored(components(edges.read()), "groups")
@@ -285,15 +285,23 @@ def linked(docs: DataFrame, s: JoinSetting = JoinSetting()) -> DataFrame:
     roots = Stored(components(links.read()), "roots")
     release(spark, links)
 
-    joined = known.withColumn("d", ordered_key("doc_id")).join(roots.read(), "node", "left").select("doc_id", "d", "n_shingles", F.coalesce("root", "node").alias("root"))
+    joined = known.withColumn("d", ordered_key("doc_id")).join(roots.read(), "node", "left").select("doc_id", "d", "mark", "n_shingles", F.coalesce("root", "node").alias("root"))
     firsts = joined.groupBy("root").agg(F.min("d").alias("first"))
-    grouped = joined.join(firsts, "root").select("doc_id", "n_shingles", F.col("first"))
-    alone = table.read().where("node is null").select("doc_id", "n_shingles", ordered_key("doc_id").alias("first"))
-    return grouped.union(alone).select("doc_id", "n_shingles", F.when(F.col("first") > -(1 << 63), F.col("first")).alias("component_id"))
+    grouped = joined.join(firsts, "root").select("doc_id", "d", "mark", "n_shingles", "root", "first")
+    key = ordered_key("doc_id")
+    alone = table.read().where("node is null").select("doc_id", key.alias("d"), "mark", "n_shingles", F.lit(None).cast("bigint").alias("root"), key.alias("first"))
+    return grouped.union(alone)
+
+
+def linked(docs: DataFrame, s: JoinSetting = JoinSetting()) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row."""
+    return _labelled(docs, s).select("doc_id", "n_shingles", F.when(F.col("first") > -(1 << 63), F.col("first")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, s: JoinSetting = JoinSetting(words=5, num=80, den=100)) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component (of rows with equal id and text, one)."""
-    firsts = linked(docs, s).where("doc_id <=> component_id").select(ordered_key("doc_id").alias("_first")).distinct()
-    kept = docs.withColumn("_key", ordered_key("doc_id")).join(firsts, F.col("_key") == F.col("_first"), "left_semi")
-    return kept.drop("_key")
+    """One row of ``docs`` for each component: of its smallest doc_id, the text of the smallest hash; of rows with equal id and text, one."""
+    leaders = _labelled(docs, s).where("d = first").withColumn("own", F.when(F.col("root").isNull(), F.col("mark")))
+    firsts = leaders.groupBy("root", "own", "d").agg(F.min("mark").alias("mark")).select(F.col("d").alias("_first"), F.col("mark").alias("_text")).distinct()
+    kept = docs.withColumns({"_key": ordered_key("doc_id"), "_mark": F.xxhash64("text")})
+    kept = kept.join(firsts, (F.col("_key") == F.col("_first")) & (F.col("_mark") == F.col("_text")), "left_semi")
+    return kept.dropDuplicates(["_key", "_mark"]).drop("_key", "_mark")

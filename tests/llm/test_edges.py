@@ -340,6 +340,14 @@ def test_links_odd_rows(odd, none):
     assert J.linked(none).count() == 0
 
 
+def test_one_row_of_each_component(spark, odd):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = [(1, b), (3, a), (3, a), (3, b), (4, a + " end"), (5, "c"), (5, "c"), (6, None), (6, None), (6, ""), (None, "d"), (None, "d"), (7, "D")]
+    rows = J.one_of_each(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(1, b), (3, a), (5, "c"), (6, None), (6, ""), (None, "d")], key=str)
+    assert J.one_of_each(odd).count() == 8
+
+
 CHATS = "conv_id bigint, turn bigint, role string, text string"
 
 
