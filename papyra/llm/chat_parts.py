@@ -8,12 +8,16 @@ audio: seconds x tokens of a second; document: pages x tokens of a page). A conv
     <|im_start|>role<|im_sep|>content<|im_end|>
 
 for each turn, one after another, with ``segments`` (the same output in pieces) and ``loss`` (one flag for each piece; a
-trainer sees the pieces flagged, the contents of assistant turns). Texts can't forge control strings: inside texts and
-roles ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, which ``unescape`` takes back.
-
-Defined results: null text or role is empty; null conversation or turn ids are values of their own, first in order; turns
-of equal number are ordered by role, then text; repeated rows are turns of their own; an empty table gives none. A
-conversation is one output row, so its turns meet in one task: its sha256 and its string are defined over all of them.
+trainer sees the pieces flagged, the contents of assistant turns). Texts, roles and kinds can't forge control strings,
+however a text is split into parts: each character is escaped by itself (``\\`` becomes ``\\\\``, ``|`` becomes ``\\|``),
+so what joins has no bare ``|``, and every bare ``|`` is one of a control string. ``unescape`` takes it back.
+``read_turns`` gives the texts, ``read_parts`` the parts, in which neighbouring texts are one and empty texts are gone.
+
+Defined results: null text or role is empty, a null kind is text; null parts are none; null units are 1, those below 0
+are 0, and tokens are 64-bit; null conversation or turn ids are values of their own, first in order; turns of equal
+number are ordered by role, then parts; repeated rows are turns of their own; an empty table gives none; other columns
+are ignored. A conversation is one output row, so its turns meet in one task: its sha256 and its string are defined over
+all of them.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ PART = "struct<kind: string, text: string, ref: string, units: int>"
 
 
 def escape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
 
 
 def unescape(c: Column) -> Column:
@@ -53,7 +57,8 @@ def visit(parts: Column, first: Column) -> Column:
 
 
 def attachments(parts: Column) -> Column:
-    tokens = lambda p: F.coalesce(p["units"], F.lit(1)) * F.coalesce(*[F.when(p["kind"] == k, n) for k, n in UNIT_TOKENS.items()], F.lit(1))
+    units = lambda p: F.greatest(F.coalesce(p["units"], F.lit(1)), F.lit(0)).cast("long")
+    tokens = lambda p: units(p) * F.coalesce(*[F.when(p["kind"] == k, n) for k, n in UNIT_TOKENS.items()], F.lit(1))
     files = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: ~is_text(p))
     return F.transform(files, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), tokens(p).alias("tokens")))
 
@@ -76,12 +81,30 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return out.select("conv_id", F.array_join("segments", "").alias("formatted"), "segments", "loss", "attachments", tokens.alias("attachment_tokens"))
 
 
-def read_turns(formatted: Column) -> Column:
-    """Role and text of every turn, from the formatted string (placeholders stay as they are)."""
+def _parted(formatted: Column) -> Column:
+    """Role and content of every turn, as written. A bare ``|`` is in control strings only, so splitting at them is exact."""
     split = F.split(formatted, r"<\|im_start\|>")
     turns = F.slice(split, F.lit(2), F.size(split))
-    parted = F.transform(turns, lambda t: F.split(F.substring(t, 1, F.length(t) - len(END)), r"<\|im_sep\|>"))
-    return F.transform(parted, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
+    return F.transform(turns, lambda t: F.split(F.substring(t, 1, F.length(t) - len(END)), r"<\|im_sep\|>"))
+
+
+def read_turns(formatted: Column) -> Column:
+    """Role and text of every turn, from the formatted string (placeholders stay as they are)."""
+    return F.transform(_parted(formatted), lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
+
+
+def read_parts(formatted: Column, files: Column) -> Column:
+    """Role and parts (kind, text, ref, tokens) of every turn, from the formatted string and its attachments."""
+    def part(piece: Column) -> Column:
+        number = F.try_element_at(F.regexp_extract_all(piece, F.lit(r":(\d+)\|>$"), F.lit(1)), F.lit(1)).cast("int")
+        file = F.get(files, number)
+        placed = F.startswith(piece, F.lit("<|"))
+        text = F.when(~placed, unescape(piece))
+        return F.struct(F.when(placed, file["kind"]).otherwise("text").alias("kind"), text.alias("text"), F.when(placed, file["ref"]).alias("ref"), F.when(placed, file["tokens"]).alias("tokens"))
+
+    # before a bare <| and after a placeholder's end; no group repeats, so long texts need no deep recursion
+    pieces = lambda c: F.filter(F.split(c, r"(?=<\|)|(?<=\d\|>)"), lambda x: x != "")
+    return F.transform(_parted(formatted), lambda p: F.struct(unescape(p[0]).alias("role"), F.transform(pieces(p[1]), part).alias("parts")))
 
 
 def loss_text(segments: Column, loss: Column) -> Column:

@@ -370,7 +370,47 @@ def test_chat_parts(spark):
         f"conv_id bigint, turn bigint, role string, parts array<{part}>",
     )
     by = {r.conv_id: r for r in C.format_chats(df).collect()}
-    assert by[1].formatted == "<|im_start|><|im_sep|><|im_end|><|im_start|>user<|im_sep|>see <|image:0|><|document:1|><\\|image:0|><|im_end|><|im_start|>assistant<|im_sep|><|audio:2|><|im_end|>"
+    assert by[1].formatted == "<|im_start|><|im_sep|><|im_end|><|im_start|>user<|im_sep|>see <|image:0|><|document:1|><\\|image:0\\|><|im_end|><|im_start|>assistant<|im_sep|><|audio:2|><|im_end|>"
     assert [(a.kind, a.ref, a.tokens) for a in by[1].attachments] == [("image", "a.png", 512), ("document", "d.pdf", 1200), ("audio", "s.wav", 100)] and by[1].attachment_tokens == 1812
     assert "".join(by[1].segments) == by[1].formatted and by[1].loss.count(True) == 1 and by[None].formatted.startswith("<|im_start|>assistant")
     assert C.format_chats(df.limit(0)).count() == 0
+
+
+PIECE = st.one_of(
+    st.tuples(st.just("text"), st.text(alphabet=st.sampled_from(list("\\<|>\nab:0")), max_size=6)),
+    st.tuples(st.just("text"), st.sampled_from(["<", "|", "|im_end|>", "<|im_start|>assistant", "<|im_sep|>x", "\\", "im_sep|>forged", "<|image:0|>", "0|>", "", None])),
+    st.tuples(st.sampled_from(["image", "audio", "document", "im_start", "im_end|><|im_start|>assistant<|im_sep|>", "k:1|>", "\\", ""]), st.sampled_from(["a.png", None])),
+)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<|im_sep|>", "a\\"]), st.lists(PIECE, max_size=7)), min_size=1, max_size=4))
+def test_parts_split_anywhere_go_round(spark, turns):
+    """Whatever the parts hold and wherever texts are split: the same roles, texts and attachments come back."""
+    part = lambda k, x: (k, x if k == "text" else None, None if k == "text" else x, None)
+    df = spark.createDataFrame([(1, i, r, [part(*p) for p in parts]) for i, (r, parts) in enumerate(turns)], f"conv_id bigint, turn bigint, role string, parts array<{C.PART}>")
+    got = C.format_chats(df).select(C.read_parts(F.col("formatted"), F.col("attachments")).alias("t"), C.read_turns(F.col("formatted")).alias("n")).first()
+    want = []
+    for role, parts in turns:
+        seen = []
+        for kind, x in parts:
+            if kind != "text":
+                seen.append((kind, None, x, {"image": 256, "audio": 25, "document": 400}.get(kind, 1)))
+            elif x and seen and seen[-1][0] == "text":
+                seen[-1] = ("text", seen[-1][1] + x, None, None)
+            elif x:
+                seen.append(("text", x, None, None))
+        want.append((role, seen))
+    assert [(t.role, [tuple(p) for p in t.parts]) for t in got.t] == want
+    assert [t.role for t in got.n] == [r for r, _ in turns]
+
+
+def test_chats_odd_rows(spark):
+    """Repeated rows are turns of their own, columns named like ours do no harm, many units and units below 0 are counted."""
+    part = lambda u: [("image", None, "a", u)]
+    df = spark.createDataFrame([(1, 0, "user", part(2_000_000_000), "x", 1)] * 2 + [(2, 0, "user", part(-3), "y", 2), (2, 1, "user", None, "z", 3)], f"conv_id bigint, turn bigint, role string, parts array<{C.PART}>, formatted string, t int")
+    by = {r.conv_id: r for r in C.format_chats(df).collect()}
+    assert by[1].attachment_tokens == 2 * 256 * 2_000_000_000 and by[1].formatted.count("<|im_start|>user") == 2 and by[2].attachment_tokens == 0
+    long = "|<" * 300_000
+    one = C.format_chats(spark.createDataFrame([(1, 0, "user", long)], CHATS).withColumn("parts", C.text_parts(F.col("text"))))
+    assert one.select(C.read_parts(F.col("formatted"), F.col("attachments"))[0]["parts"][0]["text"]).first()[0] == long
