@@ -1,32 +1,44 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Rows of a source, in order of id, form blocks. With integer weights w_i, a round of W = sum of w_i slots holds w_i blocks
-of every source that still has so many; block j of the c_i that a source has in a round of C slots is released at slot
-floor(j * C / c_i) and due by ceil((j + 1) * C / c_i), and each slot goes to the released block with the earliest
-deadline (then the smaller source). Windows so made are always met: within a round, a source has had more than
-c_i * t / C - 1 and less than c_i * t / C + 1 blocks after t slots. As all rounds between two sources' ends are alike,
-only 2 * sources + 1 round tables exist; every row finds its slot from its ordinal, by arithmetic and one small join.
-When a source ends, the others go on in proportion to their weights, so every row gets a place.
-
-Ordinals come from counts by (source, range of ids), so a source with a third of all rows is spread over many tasks.
-
-Defined results: a null source is a source of its own, a null id comes first; repeated rows take slots of their own;
-an empty table gives an empty table; columns of the input pass through, those named like ours are replaced.
+Rows of a source, in order of id, form blocks. The target is the fluid mix: every source that still has blocks is served
+in proportion to its integer weight w. In virtual time v a source of b blocks has had min(w * v, b) of them, so its block j
+runs from v = j / w to (j + 1) / w, and R(v), the sum over all sources, is the slot that v falls on. Block j is released
+at slot floor(R(j / w)) and due by slot ceil(R((j + 1) / w)); each slot goes to the released block with the earliest
+deadline (then the smaller weight). Blocks inside any stretch of slots are no more than its slots, so every deadline is
+met, and after any number of slots every source has had less than one block more or less than its target. When a source
+ends, the others go on in proportion to their weights, without a restart, so the bound holds up to the last slot.
+
+Sources of equal weight are served as one class with the sum of their rates; the class's slots go to its members layer by
+layer (layer j holds block j of every member that has it, larger members first). With m members left, a member is within
+(m - 1) / m of its share of the class and the class within one block of its own, so the bound stays below one, and a
+schedule has as many competitors as there are different weights, whatever the number of sources.
+
+At whole v all blocks before it are due and none after it is released, so the stretches between (rounds) are scheduled
+alone, and rounds in which no source ends are alike: each kind of round is scheduled once. Rows find their slot from their
+ordinal, by arithmetic and one join. Ordinals come from counts by (source, range of ids), ranges being quantiles of the
+ids, so a source with a third of all rows is spread over many tasks. Work: a step for each slot of each kind of round,
+never more than there are blocks; a kind of round is scheduled in one row, kinds are spread.
+
+Defined results: a null source is a source of its own, a null id comes first; ids are numbers; repeated rows take slots of
+their own (rows of one source and one id are ordered in one task); an empty table gives an empty table; columns of the
+input pass through, those named like ours are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.shared import ordered_key
+from papyra.llm.shared import Stored, ordered_key
 
-#: Ranges of ids by which a source's rows are counted.
-RANGES = 1024
-#: Slots of a round at most; weights are small integers (their ratios are what counts).
-MOST_SLOTS = 20_000
+#: Rows of a range of ids, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 50_000, 4096
+#: Slots whose picks are gathered before they join the others of their round.
+RUN = 1024
+#: Rows up to which the table of places is broadcast (it is counted first); beyond, places are joined by merge over SALTS.
+BROADCAST_PLACES, SALTS = 200_000, 16
 NULL_SOURCE = "null"
 
 
@@ -36,46 +48,109 @@ def source_key(source: Column) -> Column:
 
 def weight_of(key: Column, weights: Mapping[str | None, int], default: int) -> Column:
     known = F.create_map(*[x for s, w in sorted(weights.items(), key=str) for x in (F.lit(NULL_SOURCE if s is None else f"={s}"), F.lit(w))]) if weights else None
-    return F.lit(default) if known is None else F.coalesce(F.try_element_at(known, key), F.lit(default))
-
-
-def _edf(jobs: Column, slots: Column) -> Column:
-    """Index into ``jobs`` (array of struct(source, c)) for each slot of a round."""
+    return (F.lit(default) if known is None else F.coalesce(F.try_element_at(known, key), F.lit(default))).cast("long")
+
+
+def last_not_above(value: Column, ordered: Sequence[int]) -> Column:
+    """Place in ``ordered`` (ascending) of its last member not above ``value``, or -1: a search in two steps."""
+    step = max(1, int(len(ordered) ** 0.5))
+    heads = F.array(*[F.lit(x).cast("long") for x in ordered[::step]])
+    below = lambda list_: F.size(F.filter(list_, lambda x: x <= value))
+    head = below(heads) - 1
+    chunks = F.array(*[F.array(*[F.lit(x).cast("long") for x in ordered[i : i + step]]) for i in range(0, len(ordered), step)])
+    return F.when(head < 0, -1).otherwise(head * step + below(F.get(chunks, head)) - 1).cast("int")
+
+
+def id_ranges(rows: DataFrame, n: int) -> list[int]:
+    """Lower ends of ranges of about RANGE_ROWS rows each; they only spread work."""
+    count = min(MOST_RANGES, n // RANGE_ROWS)
+    if count < 2:
+        return []
+    found = rows.agg(F.percentile_approx("id", F.array(*[F.lit(i / count) for i in range(1, count)]), F.lit(10 * count))).first()[0]
+    return sorted(set(found or []))
+
+
+def round_layers(sources: DataFrame, weights: Sequence[int]) -> DataFrame:
+    """From rows (w, blocks) of sources: (first, w, layer, members), the members of each weight with a block in each layer of each kind of round."""
+    sizes = sources.groupBy("w", "blocks").agg(F.count("*").alias("members"))
+    start = F.lit(0).cast("long")
+    firsts = sizes.select(F.explode(F.array(start, _div(F.col("blocks"), F.col("w")), _div(F.col("blocks") + F.col("w") - 1, F.col("w")))).alias("first")).distinct()
+    asked = firsts.select("first", F.explode(F.array(*[F.lit(w).cast("long") for w in weights])).alias("w"))
+    asked = asked.select("first", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)).alias("layer"))
+    asked = asked.select("w", (F.col("first") * F.col("w") + F.col("layer")).alias("at"), start.alias("members"), "first", "layer")
+    ends = sizes.select("w", (F.col("blocks") - 1).alias("at"), "members", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("layer"))
+    here = Window.partitionBy("w").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # one row for each different end
+    return asked.union(ends).withColumn("members", F.sum("members").over(here)).where("first is not null and members > 0").select("first", "w", "layer", "members")
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def _fluid(classes: Column, p: Column, q: Column) -> tuple[Column, Column]:
+    """R at p / q of a round: a whole part and q times the rest. ``classes``: struct(w, members and slots before of each layer)."""
+    def add(s: Column, c: Column) -> Column:
+        layer = _div(p * c["w"], q).cast("int")
+        inside = F.coalesce(F.get(c["members"], layer), F.lit(0).cast("long")) * (p * c["w"] % q)
+        return F.struct((s["whole"] + F.coalesce(F.get(c["before"], layer), c["all"])).alias("whole"), (s["rest"] + inside).alias("rest"))
+
+    none = F.lit(0).cast("long")
+    total = F.aggregate(classes, F.struct(none.alias("whole"), none.alias("rest")), add)
+    return total["whole"], total["rest"]
+
+
+def round_jobs(layers: DataFrame) -> DataFrame:
+    """(first, slots, jobs): for each weight the blocks of a round in order, each with release, due, layer and rank of its member."""
+    byclass = layers.groupBy("first", "w").agg(F.array_sort(F.collect_list(F.struct("layer", "members"))).alias("l"), F.sum("members").alias("all"))
+    members = F.transform("l", lambda x: x["members"])  # members never grow from layer to layer, so the layers kept are the first ones
+    before = F.transform("l", lambda x, i: F.aggregate(F.slice(members, F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b))
+    kinds = byclass.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("w", members.alias("members"), before.alias("before"), "all"))).alias("classes"), F.sum("all").alias("slots"))
+    blocks = layers.join(kinds, "first").select("first", "slots", "classes", "w", "layer", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.col("members") - 1)).alias("rank"))
+    q, p = F.col("members") * F.col("w"), F.col("layer") * F.col("members") + F.col("rank")
+    (whole, rest), (whole_end, rest_end) = _fluid(F.col("classes"), p, q), _fluid(F.col("classes"), p + 1, q)
+    windows = blocks.select("first", "slots", "w", "layer", "rank", (whole + _div(rest, q)).alias("release"), (whole_end + _div(rest_end + q - 1, q)).alias("due"))
+    lists = windows.groupBy("first", "slots", "w").agg(F.array_sort(F.collect_list(F.struct("layer", "rank", "release", "due"))).alias("blocks"))
+    return lists.groupBy("first", "slots").agg(F.array_sort(F.collect_list(F.struct("w", "blocks"))).alias("jobs"))
+
+
+def earliest_deadlines(jobs: Column, slots: Column) -> Column:
+    """For each slot of a round the class served and which of its blocks: array of struct(i, n)."""
     def slot(state: Column, t: Column) -> Column:
-        waiting = F.zip_with(
-            jobs,
-            state["done"],
-            lambda job, done: F.when((done < job["c"]) & (F.floor(done * slots / job["c"]) <= t), F.ceil((done + 1) * slots / job["c"])),
-        )
+        def due(job: Column, done: Column) -> Column:
+            block = F.get(job["blocks"], done)
+            return F.when(block["release"] <= t, block["due"])
+
+        waiting = F.zip_with(jobs, state["done"], due)
         first = F.array_min(F.transform(waiting, lambda d, i: F.when(d.isNotNull(), F.struct(d.alias("due"), i.alias("i")))))["i"]
         return F.struct(
-            F.transform(state["done"], lambda n, i: n + F.when(i == first, 1).otherwise(0)).alias("done"),
-            F.concat(state["order"], F.array(first)).alias("order"),
+            F.transform(state["done"], lambda n, i: F.when(i == first, n + 1).otherwise(n)).alias("done"),
+            F.concat(state["order"], F.array(F.struct(first.alias("i"), F.get(state["done"], first).alias("n")))).alias("order"),
         )
 
-    start = F.struct(F.transform(jobs, lambda j: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    return F.aggregate(F.sequence(F.lit(0), (slots - 1).cast("int")), start, slot, lambda s: s["order"])
+    none = F.array().cast("array<struct<i: int, n: int>>")
+
+    def run(state: Column, k: Column) -> Column:
+        last = F.least((k + 1) * RUN, slots) - 1
+        part = F.aggregate(F.sequence(k * RUN, last), F.struct(state["done"].alias("done"), none.alias("order")), slot)
+        return F.struct(part["done"].alias("done"), F.concat(state["runs"], F.array(part["order"])).alias("runs"))
 
+    start = F.struct(F.transform(jobs, lambda j: F.lit(0)).alias("done"), F.array().cast("array<array<struct<i: int, n: int>>>").alias("runs"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0).cast("long"), _div(slots - 1, F.lit(RUN).cast("long"))), start, run, lambda s: s["runs"]))
 
-def round_tables(sources: DataFrame) -> DataFrame:
-    """From rows (key, w, blocks): one row for each kind of round: first (round), slots, base (slots before), order of keys.
 
-    One row holds all sources, whose number the weights bound.
-    """
-    one = sources.agg(F.array_sort(F.collect_list(F.struct("key", "w", "blocks"))).alias("s"))
-    full, rest = (lambda x: F.floor(x["blocks"] / x["w"])), (lambda x: x["blocks"] % x["w"])
-    ends = F.flatten(F.transform("s", lambda x: F.when(rest(x) > 0, F.array(full(x), full(x) + 1)).otherwise(F.array(full(x)))))
-    one = one.withColumn("cuts", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), ends))))
-    kinds = one.select("s", "cuts", F.posexplode("cuts").alias("kind", "first"))
-    has = lambda x: F.when(F.col("first") < full(x), x["w"].cast("long")).when(F.col("first") == full(x), rest(x)).otherwise(F.lit(0).cast("long"))
-    jobs = F.filter(F.transform("s", lambda x: F.struct(x["key"].alias("key"), has(x).alias("c"))), lambda j: j["c"] > 0)
-    kinds = kinds.withColumn("jobs", jobs).where(F.size("jobs") > 0)
-    kinds = kinds.withColumn("slots", F.aggregate("jobs", F.lit(0).cast("long"), lambda n, j: n + j["c"]))
-    kinds = kinds.withColumn("until", F.try_element_at("cuts", F.col("kind") + 2))
-    before = F.sum((F.col("until") - F.col("first")) * F.col("slots")).over(Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1))
-    kinds = kinds.withColumn("base", F.coalesce(before, F.lit(0)))
-    order = F.transform(_edf(F.col("jobs"), F.col("slots")), lambda i: F.col("jobs")[i]["key"])
-    return kinds.select("kind", "first", "slots", "base", order.alias("order"))
+def round_places(sources: DataFrame, weights: Sequence[int]) -> DataFrame:
+    """(first, w, layer, rank, at, slots, base): the slot of every block of every kind of round; base counts the slots before its first round."""
+    kinds = round_jobs(round_layers(sources, weights))
+    # the list is a row's own value from here on, not an expression that the fold would evaluate for each slot
+    kinds = kinds.select("first", "slots", F.explode(F.array("jobs")).alias("jobs"))
+    placed = kinds.select("first", "slots", "jobs", F.posexplode(earliest_deadlines(F.col("jobs"), F.col("slots"))).alias("at", "served"))
+    job = F.get("jobs", F.col("served.i"))
+    block = F.get(job["blocks"], F.col("served.n"))
+    placed = placed.select("first", "slots", "at", job["w"].alias("w"), block["layer"].alias("layer"), block["rank"].alias("rank"))
+    order = Window.orderBy("first")
+    spans = kinds.select("first", "slots").withColumn("until", F.lead("first").over(order))
+    before = F.sum((F.col("until") - F.col("first")) * F.col("slots")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return placed.join(spans.select("first", F.coalesce(before, F.lit(0)).alias("base")), "first")
 
 
 def interleave(df: DataFrame, weights: Mapping[str | None, int], default: int = 1, block_rows: int = 1, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -86,28 +161,30 @@ def interleave(df: DataFrame, weights: Mapping[str | None, int], default: int =
     df = df.drop(*ours)
     passed = df.columns
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in passed]).alias("row"), source_key(F.col(f"`{source}`").cast("string")).alias("key"), F.col(f"`{doc_id}`").alias("id"))
-    least, most = rows.agg(F.min("id"), F.max("id")).first()
-    spread = F.lit(0) if least is None or least == most else F.floor((F.col("id").cast("double") - least) / (float(most) - float(least)) * (RANGES - 1))
-    rows = rows.withColumn("range", F.coalesce(spread, F.lit(-1)).cast("int")).withColumn("id", ordered_key("id"))
+    bounds = id_ranges(rows, rows.count())
+    rows = rows.withColumn("range", last_not_above(F.col("id"), bounds) if bounds else F.lit(0)).withColumn("id", ordered_key("id"))
     counts = rows.groupBy("key", "range").agg(F.count("*").alias("n"))
     across = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("key", "range", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("start"))
-    w = weight_of(F.col("key"), weights, default)
-    sources = counts.groupBy("key").agg(F.sum("n").alias("n")).select("key", w.alias("w"), F.ceil(F.col("n") / block_rows).alias("blocks"))
-    total = sources.agg(F.sum("w")).first()[0] or 0
-    if total > MOST_SLOTS:
-        raise ValueError(f"a round of {total} slots; scale the weights down, or join small sources")
-    tables = round_tables(sources).cache()
-    cuts = [r[0] for r in tables.select("first").orderBy("first").collect()]  # 2 * sources + 1 at most
-    places = tables.select("kind", "first", "slots", "base", F.posexplode("order").alias("at", "key"))
-    places = places.withColumn("j", F.row_number().over(Window.partitionBy("kind", "key").orderBy("at")).cast("long") - 1)
+    starts = Stored(counts.select("key", "range", "n", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("start")), "source-starts")
+    sources = starts.read().groupBy("key").agg(F.sum("n").alias("n")).select("key", weight_of(F.col("key"), weights, default).alias("w"), F.ceil(F.col("n") / block_rows).alias("blocks"))
+    rank = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("blocks"), "key")).cast("long") - 1  # one row for each source
+    ranked = Stored(sources.withColumn("rank", rank), "source-ranks")
+    places = Stored(round_places(ranked.read(), sorted({default, *weights.values()})), "places")
+    kinds = places.read().groupBy("first").agg(F.count("*")).collect()  # one row for each different end of a source, twice at most
+    cuts, n_places = sorted(r[0] for r in kinds), sum(r[1] for r in kinds)
 
     inside = Window.partitionBy("key", "range").orderBy("id", *[F.xxhash64("row")])
-    placed = rows.withColumn("nth", F.row_number().over(inside)).join(starts, ["key", "range"])
-    placed = placed.withColumn("ordinal", F.col("start") + F.col("nth") - 1).withColumn("block", F.floor(F.col("ordinal") / block_rows)).withColumn("w", w)
-    placed = placed.withColumn("round", F.floor(F.col("block") / F.col("w"))).withColumn("j", F.col("block") % F.col("w"))
-    first = F.aggregate(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("round")), F.lit(0).cast("long"), lambda a, c: F.greatest(a, c)) if cuts else F.lit(0)
-    placed = placed.withColumn("first", first.cast("long")).join(F.broadcast(places), ["first", "key", "j"])  # (2 * sources + 1) * MOST_SLOTS rows at most
+    placed = rows.withColumn("nth", F.row_number().over(inside)).join(starts.read().drop("n").join(ranked.read().drop("blocks"), "key"), ["key", "range"])
+    placed = placed.withColumn("ordinal", F.col("start") + F.col("nth") - 1).withColumn("block", F.floor(F.col("ordinal") / block_rows))
+    placed = placed.withColumn("round", _div(F.col("block"), F.col("w"))).withColumn("layer", F.col("block") % F.col("w"))
+    first = F.get(F.array(*[F.lit(c).cast("long") for c in cuts]), last_not_above(F.col("round"), cuts)) if cuts else F.lit(0).cast("long")
+    placed = placed.withColumn("first", first)
+    keys, where = ["first", "w", "layer", "rank"], places.read()
+    if n_places <= BROADCAST_PLACES:
+        placed = placed.join(F.broadcast(where), keys)
+    else:
+        where = where.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = placed.withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.lit(SALTS)).cast("int")).join(where, [*keys, "salt"])
     slot = F.col("base") + (F.col("round") - F.col("first")) * F.col("slots") + F.col("at")
     return placed.select("row.*", F.col("ordinal"), slot.alias("slot"), (F.col("ordinal") % block_rows).cast("int").alias("in_block"))
 

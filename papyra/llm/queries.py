@@ -85,28 +85,25 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pfair_sql() -> str:
-    """Rounds by a recursive query: one step gives a slot of every kind of round to the earliest deadline."""
+    """Blocks with release and deadline from the fluid mix of all sources, then one slot after another to the earliest deadline."""
     cases = " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in WEIGHTS.items())
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, CASE {cases} ELSE {DEFAULT_WEIGHT} END AS w FROM documents),
 o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST) - 1 AS ordinal FROM d),
 s AS (SELECT key, w, (count(*) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS blocks FROM d GROUP BY 1, 2),
-cuts AS (SELECT 0 AS first UNION SELECT blocks // w FROM s UNION SELECT blocks // w + 1 FROM s WHERE blocks % w > 0),
-jobs AS (SELECT first, key, CASE WHEN first < blocks // w THEN w ELSE blocks % w END AS c FROM cuts JOIN s ON first < blocks // w OR (first = blocks // w AND blocks % w > 0)),
-kinds AS (SELECT first, CAST(sum(c) AS BIGINT) AS slots, lead(first) OVER (ORDER BY first) AS until FROM jobs GROUP BY first),
-based AS (SELECT first, slots, coalesce(sum((until - first) * slots) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM kinds),
-listed AS (SELECT j.first, k.slots, list(struct_pack(key := j.key, c := j.c) ORDER BY j.key) AS jobs FROM jobs j JOIN kinds k USING (first) GROUP BY 1, 2),
-edf AS (
-  SELECT first, slots, jobs, CAST(-1 AS BIGINT) AS pos, list_transform(jobs, lambda j: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick FROM listed
+b AS (SELECT key, w, j, row_number() OVER (PARTITION BY w, j ORDER BY blocks DESC, key) - 1 AS r, count(*) OVER (PARTITION BY w, j) AS m FROM (SELECT *, unnest(range(blocks)) AS j FROM s)),
+f AS (SELECT b.key, b.w, b.j, b.r, sum(least(s.w * (b.j * m + r), s.blocks * m * b.w)) // any_value(m * b.w) AS release, (sum(least(s.w * (b.j * m + r + 1), s.blocks * m * b.w)) + any_value(m * b.w) - 1) // any_value(m * b.w) AS due
+  FROM b CROSS JOIN s GROUP BY 1, 2, 3, 4),
+q AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY j, r) AS n FROM f),
+c AS (SELECT list(struct_pack(w := w, x := x) ORDER BY w) AS classes FROM (SELECT w, list(struct_pack(release := release, due := due) ORDER BY n) AS x FROM q GROUP BY w)),
+e AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(classes, lambda c: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS n FROM c
   UNION ALL
-  SELECT first, slots, jobs, pos, list_transform(done, lambda n, i: CASE WHEN i = pick THEN n + 1 ELSE n END), pick FROM (
-    SELECT first, slots, jobs, pos + 1 AS pos, done,
-      list_min(list_transform(list_filter(list_transform(jobs, lambda j, i: struct_pack(due := CASE WHEN done[i] < j.c AND done[i] * slots // j.c <= pos + 1 THEN ((done[i] + 1) * slots + j.c - 1) // j.c END, i := i)), lambda x: x.due IS NOT NULL), lambda x: x.due * 1000000 + x.i)) % 1000000 AS pick
-    FROM edf WHERE pos + 1 < slots)),
-places AS (SELECT first, pos, jobs[pick].key AS key, row_number() OVER (PARTITION BY first, pick ORDER BY pos) - 1 AS j FROM edf WHERE pos >= 0),
-placed AS (SELECT o.*, ordinal // {BLOCK_ROWS} // w AS round, ordinal // {BLOCK_ROWS} % w AS j, (SELECT max(first) FROM cuts WHERE first <= o.ordinal // {BLOCK_ROWS} // o.w) AS first FROM o)
-SELECT doc_id, source, CAST(ordinal AS BIGINT) AS ordinal, CAST(base + (round - first) * slots + pos AS BIGINT) AS slot, CAST(ordinal % {BLOCK_ROWS} AS INT) AS in_block
-FROM placed JOIN based USING (first) JOIN places USING (first, key, j)"""
+  SELECT slot, list_transform(done, lambda k, i: CASE WHEN i = pick THEN k + 1 ELSE k END), pick, done[pick] + 1 FROM (
+    SELECT slot + 1 AS slot, done, CAST(list_min(list_transform(list_filter(list_transform(classes, lambda k, i: struct_pack(due := CASE WHEN k.x[done[i] + 1].release <= slot + 1 THEN k.x[done[i] + 1].due END, i := i)), lambda z: z.due IS NOT NULL), lambda z: z.due * 1000000 + z.i)) % 1000000 AS BIGINT) AS pick
+    FROM e, c WHERE slot + 1 < (SELECT sum(blocks) FROM s)))
+SELECT o.doc_id, o.source, CAST(o.ordinal AS BIGINT) AS ordinal, CAST(e.slot AS BIGINT) AS slot, CAST(o.ordinal % {BLOCK_ROWS} AS INT) AS in_block
+FROM o JOIN q ON q.key = o.key AND q.j = o.ordinal // {BLOCK_ROWS} JOIN (SELECT slot, n, classes[pick].w AS w FROM e, c WHERE pick IS NOT NULL) e ON e.w = q.w AND e.n = q.n"""
 
 
 BLANKS = r"[^\x20\x09-\x0D]+"

@@ -6,10 +6,11 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -154,32 +155,68 @@ def test_fullest_is_the_best_sum(counts, space):
     assert all(c <= counts[n] for n, c in chosen.items())
 
 
-def earliest_deadline(blocks: dict[str, int], weights: dict[str, int]) -> list[str]:
-    """Slots of all blocks, round by round."""
-    left, order = dict(blocks), []
-    while any(left.values()):
-        jobs = {s: min(weights[s], n) for s, n in sorted(left.items()) if n}
-        slots, done = sum(jobs.values()), dict.fromkeys(jobs, 0)
-        for t in range(slots):
-            ready = [(-(-(done[s] + 1) * slots // c), s) for s, c in jobs.items() if done[s] < c and done[s] * slots // c <= t]
-            s = min(ready)[1]
-            done[s] += 1
-            order.append(s)
-        for s, c in jobs.items():
-            left[s] -= c
-    return order
-
-
-def test_pfair_equals_the_simulation(spark):
-    weights, n = {"a": 5, "b": 3, "c": 1}, {"a": 40, "b": 61, "c": 7}
-    df = spark.createDataFrame([(i * 3 + j, s) for j, s in enumerate(n) for i in range(n[s])], "doc_id bigint, source string")
-    rows = sorted((r.slot, r.source) for r in M.interleave(df, weights).collect())
-    assert [s for s, _ in rows] == list(range(108))
-    order = [s for _, s in rows]
-    assert order == earliest_deadline(n, weights)
-    for t in range(1, 63):  # all three sources still run
-        for s, w in weights.items():
-            assert abs(order[:t].count(s) - t * w / 9) < 1
+def fluid(sizes: dict[str, tuple[int, int]]):
+    """The target of every source after t slots: all that still have blocks are served in proportion to their weights."""
+    v, got, at, points = Fraction(0), dict.fromkeys(sizes, Fraction(0)), Fraction(0), []
+    ends = sorted({Fraction(b, w) for b, w in sizes.values()})
+    for end in ends:
+        rate = sum(w for b, w in sizes.values() if Fraction(b, w) > v)
+        points.append((at, v, rate))
+        at, v = at + rate * (end - v), end
+
+    def target(t: int) -> dict[str, Fraction]:
+        start, v0, rate = [p for p in points if p[0] <= t][-1]
+        now = v0 + (t - start) / rate
+        return {s: min(w * now, Fraction(b)) for s, (b, w) in sizes.items()}
+
+    return target
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(1, 40), st.sampled_from([1, 1, 2, 3, 7])), min_size=3, max_size=9))
+def test_pfair_stays_within_one_block(spark, sizes):
+    """After any number of slots, to the very last, every source is less than one block off its target."""
+    sizes = {f"s{i}": x for i, x in enumerate(sizes)}
+    df = spark.createDataFrame([(i * 10 + k, s) for k, (s, (b, _)) in enumerate(sizes.items()) for i in range(b)], "doc_id bigint, source string")
+    rows = sorted((r.slot, r.source, r.ordinal) for r in M.interleave(df, {s: w for s, (_, w) in sizes.items()}).collect())
+    assert [s for s, _, _ in rows] == list(range(sum(b for b, _ in sizes.values())))
+    target, had = fluid(sizes), dict.fromkeys(sizes, 0)
+    for t, (_, s, ordinal) in enumerate(rows):
+        assert ordinal == had[s]
+        had[s] += 1
+        assert all(abs(had[x] - y) < 1 for x, y in target(t + 1).items())
+
+
+def test_pfair_with_the_weights_of_the_query(spark):
+    """A case in which rounds that start anew at a source's last blocks are more than one block off while all still run."""
+    for weights, blocks in (({"src0": 3, "src1": 5, "src2": 2, "src3": 7}, {"src0": 32, "src1": 53, "src2": 21, "src3": 71}), ({"a": 70, "b": 10}, {"a": 75, "b": 30})):
+        df = spark.createDataFrame([(i, s) for s in blocks for i in range(blocks[s])], "doc_id bigint, source string")
+        order = [r.source for r in M.interleave(df, weights).orderBy("slot").collect()]
+        had, total = dict.fromkeys(blocks, 0), sum(weights.values())
+        for t, s in enumerate(order):
+            assert all(abs(had[x] - Fraction(t * weights[x], total)) < 1 for x in had)
+            had[s] += 1
+            if had[s] == blocks[s]:
+                break
+
+
+def test_pfair_with_many_sources(spark):
+    """More sources than a round had slots before; all of one weight take turns."""
+    df = spark.range(45_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 22_000).cast("string")).alias("source"))
+    got = M.interleave(df, {"s1": 5}, 2)
+    assert got.select("slot").distinct().count() == 45_000
+    late = got.where("source <> 's1' and ordinal = 1").agg(F.min("slot")).first()[0]
+    assert got.where("source <> 's1' and ordinal = 0").agg(F.max("slot")).first()[0] < late + 2
+
+
+def test_pfair_over_ranges_of_ids(spark, monkeypatch):
+    """Ranges, salts and runs change nothing; one far id doesn't matter."""
+    df = spark.createDataFrame([(10**12 if i == 0 else i, f"s{i % 3}") for i in range(600)] + [(None, "s0")], "doc_id bigint, source string")
+    want = sorted(map(tuple, M.interleave(df, {"s0": 3}, 2, 2).collect()), key=str)
+    monkeypatch.setattr(M, "RANGE_ROWS", 50)
+    monkeypatch.setattr(M, "BROADCAST_PLACES", 0)
+    monkeypatch.setattr(M, "RUN", 3)
+    assert sorted(map(tuple, M.interleave(df, {"s0": 3}, 2, 2).collect()), key=str) == want
 
 
 def test_pfair_odd_rows(odd, none):
