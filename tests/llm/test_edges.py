@@ -255,6 +255,36 @@ def test_topk_odd_vectors(spark):
     assert N.top_inner_products(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_scans_end_early(spark, monkeypatch):
+    """Lengths that fall fast: the short vectors' blocks are never met, and the result is that of all pairs."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(1200, 8)) * np.where(np.arange(1200) < 150, 10.0, 0.05)[:, None]
+    order = rng.permutation(1200)
+    m = m[order].astype(np.float32)
+    m[::20] = rng.normal(size=(60, 8)) * 3  # the queries
+    df = spark.createDataFrame([(i, [float(x) for x in r], "", "") for i, r in enumerate(m)], VECTORS)
+    v = np.floor(m.astype(np.float64) * 64).astype(int)
+    want = {(q, k + 1, int(i), int((v @ v[q])[i])) for q in range(0, 1200, 20) for k, i in enumerate([i for i in np.lexsort((np.arange(1200), -(v @ v[q]))) if i != q][:5])}
+    met = []
+    meet = N._meet
+    monkeypatch.setattr(N, "_meet", lambda c, q, first, k: met.append(first) or meet(c, q, first, k))
+    got = N.top_inner_products(df, F.col("vec_id") % 20 == 0, k=5, candidate_block=50, query_block=16).collect()
+    assert set(map(tuple, got)) == want and max(met) < 20
+
+
+def test_topk_wide_scores(spark):
+    """Exact beyond 2^53 and beyond 64 bits, where the nearest 64-bit number counts; ties go to the smaller id."""
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 1e18]), (2, [-1e18, 3.0]), (3, [1e9, 7.0]), (4, [1e9, 8.0]), (20, [3e8, 0.25])]
+    df = spark.createDataFrame([(i, v, "", "") for i, v in rows], "vec_id bigint, embedding array<double>, v string, score string")
+    most, edge = 2**63 - 1, lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
+    scaled = {i: [max(-(2**63), min(most, int(np.floor(64 * x)))) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20):
+        order = sorted((-edge(sum(a * b for a, b in zip(scaled[q], scaled[i]))), i) for i in scaled if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    assert sorted(map(tuple, N.top_inner_products(df, F.col("vec_id") % 20 == 0).collect())) == want
+
+
 def test_urls(spark):
     urls = ["https://A.Example.com/en/7x?q#f", "http://example.net/de/81", "http://x.net/de/", "ftp://org/es/1", "no scheme free ref", None, "http://h?x", "http://a.org/casino/", "http://a.org/casinos", "http://a.org/free-ref/ref", "http://u:p@Com:80/en/"]
     rows = [U.split_url(u) for u in urls]
