@@ -39,6 +39,8 @@ RANGE_ROWS, MOST_RANGES = 50_000, 4096
 RUN = 1024
 #: Rows up to which the table of places is broadcast (it is counted first); beyond, places are joined by merge over SALTS.
 BROADCAST_PLACES, SALTS = 200_000, 16
+#: Sources up to which their few rounds are scheduled in one task, without an exchange.
+FEW_SOURCES = 64
 NULL_SOURCE = "null"
 
 
@@ -70,8 +72,11 @@ def id_ranges(rows: DataFrame, n: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def round_layers(sources: DataFrame, weights: Sequence[int]) -> DataFrame:
-    """From rows (w, blocks) of sources: (first, w, layer, members), the members of each weight with a block in each layer of each kind of round."""
+def round_layers(sources: DataFrame, weights: Sequence[int], few: bool = False) -> DataFrame:
+    """From rows (w, blocks) of sources: (first, w, layer, members), the members of each weight with a block in each layer of each kind of round.
+
+    ``few``: all of it in one task.
+    """
     sizes = sources.groupBy("w", "blocks").agg(F.count("*").alias("members"))
     start = F.lit(0).cast("long")
     firsts = sizes.select(F.explode(F.array(start, _div(F.col("blocks"), F.col("w")), _div(F.col("blocks") + F.col("w") - 1, F.col("w")))).alias("first")).distinct()
@@ -80,7 +85,8 @@ def round_layers(sources: DataFrame, weights: Sequence[int]) -> DataFrame:
     asked = asked.select("w", (F.col("first") * F.col("w") + F.col("layer")).alias("at"), start.alias("members"), "first", "layer")
     ends = sizes.select("w", (F.col("blocks") - 1).alias("at"), "members", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("layer"))
     here = Window.partitionBy("w").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # one row for each different end
-    return asked.union(ends).withColumn("members", F.sum("members").over(here)).where("first is not null and members > 0").select("first", "w", "layer", "members")
+    both = asked.union(ends)
+    return (both.coalesce(1) if few else both).withColumn("members", F.sum("members").over(here)).where("first is not null and members > 0").select("first", "w", "layer", "members")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -100,17 +106,22 @@ def _fluid(classes: Column, p: Column, q: Column) -> tuple[Column, Column]:
 
 
 def round_jobs(layers: DataFrame) -> DataFrame:
-    """(first, slots, jobs): for each weight the blocks of a round in order, each with release, due, layer and rank of its member."""
+    """(first, slots, base, jobs): for each weight the blocks of a round in order, each with release, due, layer and rank of its member; base: slots before."""
     byclass = layers.groupBy("first", "w").agg(F.array_sort(F.collect_list(F.struct("layer", "members"))).alias("l"), F.sum("members").alias("all"))
     members = F.transform("l", lambda x: x["members"])  # members never grow from layer to layer, so the layers kept are the first ones
     before = F.transform("l", lambda x, i: F.aggregate(F.slice(members, F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b))
     kinds = byclass.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("w", members.alias("members"), before.alias("before"), "all"))).alias("classes"), F.sum("all").alias("slots"))
-    blocks = layers.join(kinds, "first").select("first", "slots", "classes", "w", "layer", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.col("members") - 1)).alias("rank"))
+    order = Window.orderBy("first")  # one row for each different end of a source
+    kinds = kinds.withColumn("span", (F.lead("first").over(order) - F.col("first")) * F.col("slots"))
+    kinds = kinds.withColumn("base", F.coalesce(F.sum("span").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = kinds.select("first", "slots", "base", "classes", F.explode("classes").alias("c")).select("*", F.col("c.w").alias("w"), F.posexplode("c.members").alias("layer", "members"))
+    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("members") - 1)).alias("rank"))
     q, p = F.col("members") * F.col("w"), F.col("layer") * F.col("members") + F.col("rank")
     (whole, rest), (whole_end, rest_end) = _fluid(F.col("classes"), p, q), _fluid(F.col("classes"), p + 1, q)
-    windows = blocks.select("first", "slots", "w", "layer", "rank", (whole + _div(rest, q)).alias("release"), (whole_end + _div(rest_end + q - 1, q)).alias("due"))
-    lists = windows.groupBy("first", "slots", "w").agg(F.array_sort(F.collect_list(F.struct("layer", "rank", "release", "due"))).alias("blocks"))
-    return lists.groupBy("first", "slots").agg(F.array_sort(F.collect_list(F.struct("w", "blocks"))).alias("jobs"))
+    keys = ("first", "slots", "base")
+    windows = blocks.select(*keys, "w", F.col("layer").cast("long").alias("layer"), "rank", (whole + _div(rest, q)).alias("release"), (whole_end + _div(rest_end + q - 1, q)).alias("due"))
+    lists = windows.groupBy(*keys, "w").agg(F.array_sort(F.collect_list(F.struct("layer", "rank", "release", "due"))).alias("blocks"))
+    return lists.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("w", "blocks"))).alias("jobs"))
 
 
 def earliest_deadlines(jobs: Column, slots: Column) -> Column:
@@ -138,19 +149,15 @@ def earliest_deadlines(jobs: Column, slots: Column) -> Column:
     return F.flatten(F.aggregate(F.sequence(F.lit(0).cast("long"), _div(slots - 1, F.lit(RUN).cast("long"))), start, run, lambda s: s["runs"]))
 
 
-def round_places(sources: DataFrame, weights: Sequence[int]) -> DataFrame:
+def round_places(sources: DataFrame, weights: Sequence[int], few: bool = False) -> DataFrame:
     """(first, w, layer, rank, at, slots, base): the slot of every block of every kind of round; base counts the slots before its first round."""
-    kinds = round_jobs(round_layers(sources, weights))
+    kinds = round_jobs(round_layers(sources.coalesce(1) if few else sources, weights, few))
     # the list is a row's own value from here on, not an expression that the fold would evaluate for each slot
-    kinds = kinds.select("first", "slots", F.explode(F.array("jobs")).alias("jobs"))
-    placed = kinds.select("first", "slots", "jobs", F.posexplode(earliest_deadlines(F.col("jobs"), F.col("slots"))).alias("at", "served"))
+    kinds = kinds.select("first", "slots", "base", F.explode(F.array("jobs")).alias("jobs"))
+    placed = kinds.select("first", "slots", "base", "jobs", F.posexplode(earliest_deadlines(F.col("jobs"), F.col("slots"))).alias("at", "served"))
     job = F.get("jobs", F.col("served.i"))
     block = F.get(job["blocks"], F.col("served.n"))
-    placed = placed.select("first", "slots", "at", job["w"].alias("w"), block["layer"].alias("layer"), block["rank"].alias("rank"))
-    order = Window.orderBy("first")
-    spans = kinds.select("first", "slots").withColumn("until", F.lead("first").over(order))
-    before = F.sum((F.col("until") - F.col("first")) * F.col("slots")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return placed.join(spans.select("first", F.coalesce(before, F.lit(0)).alias("base")), "first")
+    return placed.select("first", "slots", "base", "at", job["w"].alias("w"), block["layer"].alias("layer"), block["rank"].alias("rank"))
 
 
 def interleave(df: DataFrame, weights: Mapping[str | None, int], default: int = 1, block_rows: int = 1, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -169,7 +176,8 @@ def interleave(df: DataFrame, weights: Mapping[str | None, int], default: int =
     sources = starts.read().groupBy("key").agg(F.sum("n").alias("n")).select("key", weight_of(F.col("key"), weights, default).alias("w"), F.ceil(F.col("n") / block_rows).alias("blocks"))
     rank = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("blocks"), "key")).cast("long") - 1  # one row for each source
     ranked = Stored(sources.withColumn("rank", rank), "source-ranks")
-    places = Stored(round_places(ranked.read(), sorted({default, *weights.values()})), "places")
+    few = ranked.read().count() <= FEW_SOURCES
+    places = Stored(round_places(ranked.read(), sorted({default, *weights.values()}), few), "places")
     kinds = places.read().groupBy("first").agg(F.count("*")).collect()  # one row for each different end of a source, twice at most
     cuts, n_places = sorted(r[0] for r in kinds), sum(r[1] for r in kinds)
 
