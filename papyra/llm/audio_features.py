@@ -4,12 +4,15 @@ Media are 8-bit mono WAV files in a binary column. A file's samples are resample
 polyphase filter (only the filter taps that meet a sample are evaluated), cut into frames of ``frame`` samples every
 ``hop``, and turned into log-mel energies. Energy segments begin above a high threshold and last while the energy
 stays above a low one. Features are stored as one Arrow stream for each file: a fixed-shape tensor column
-(``tile`` frames x ``mels``) with the time span of each tensor. Work on a file goes by blocks of frames, so a very
-long file takes no more memory than its log-mel frames.
+(``tile`` frames x ``mels``) with the time span of each tensor, and the spans of the segments.
+
+Work on a file goes by blocks of ``block`` frames: samples are resampled for one block at a time, straight from the
+stored bytes. Besides its bytes a file takes the memory of one block and of its tensors (``mels`` numbers for each
+``hop`` samples) as numbers and as the stream.
 
 Defined results: a null text is an empty text; a payload holds at least one unit of 576 bytes, so every file has
 frames; repeated rows give repeated rows, equal texts equal values; an empty table gives an empty table; other
-columns are ignored.
+columns are ignored; media that are no whole 8-bit mono WAV file raise ValueError.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from papyra.llm.shared import Stored, plain, small_batches, text_slices
 
@@ -32,7 +36,7 @@ WAV = struct.Struct("<4sI4s4sIHHIIHH4sI")
 MEDIA = "doc_id bigint, n_bytes bigint, media binary"
 FEATURES = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, "
-    "n_frames int, spans array<struct<start_s: double, end_s: double>>, tensors binary, feature string"
+    "n_frames int, spans array<struct<start_s: double, end_s: double>>, tensors binary"
 )
 
 
@@ -80,31 +84,48 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
     return media[WAV.size : WAV.size + size], rate
 
 
-def resample(x: np.ndarray, taps: np.ndarray, s: AudioSetting) -> np.ndarray:
-    """x at up/down of its rate. Output m takes phase (m * down + centre) mod up and the samples before (m * down + centre) div up."""
-    up, down = s.up, s.down
-    n_out, width = -(-len(x) * up // down), taps.shape[1]
+def resampled_length(n: int, s: AudioSetting) -> int:
+    return -(-n * s.up // s.down)
+
+
+def resample(x: np.ndarray, taps: np.ndarray, s: AudioSetting, first: int = 0, end: int | None = None) -> np.ndarray:
+    """Samples ``first`` to ``end`` of x at up/down of its rate; only the samples of x that these need are touched.
+
+    Bytes are taken as 8-bit samples. Output m takes phase (m * down + centre) mod up and the samples before (m * down + centre) div up.
+    """
+    up, down, width = s.up, s.down, taps.shape[1]
+    end = resampled_length(len(x), s) if end is None else end
     centre = s.half_taps * max(up, down)
-    held = np.concatenate([np.zeros(width, np.float32), x.astype(np.float32), np.zeros(width + down, np.float32)])
-    out = np.empty(n_out, np.float32)
-    for first in range(min(up, n_out)):
-        at = first * down + centre
-        phase, start = at % up, at // up
-        windows = np.lib.stride_tricks.sliding_window_view(held[start + 1 :], width)[::down]
-        count = len(range(first, n_out, up))
-        out[first::up] = windows[:count] @ taps[phase][::-1]
+    low = (first * down + centre) // up - width + 1  # the first sample needed; before 0 and after the end is silence
+    high = (max(first, end - 1) * down + centre) // up + 1
+    inner = x[max(0, low) : max(0, min(len(x), high))]
+    inner = (inner.astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else inner.astype(np.float32)
+    held = np.zeros(high - low, np.float32)
+    held[max(0, -low) : max(0, -low) + len(inner)] = inner
+    out = np.empty(max(0, end - first), np.float32)
+    windows = np.lib.stride_tricks.sliding_window_view(held, width) if len(held) >= width else np.zeros((0, width), np.float32)
+    for k in range(min(up, len(out))):
+        at = (first + k) * down + centre
+        begin = at // up - width + 1 - low
+        count = len(range(k, len(out), up))
+        out[k::up] = windows[begin::down][:count] @ taps[at % up][::-1]
     return out
 
 
-def log_mel(x: np.ndarray, s: AudioSetting, window: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """(frames, mels): overlapped frames, the last padded with silence."""
-    frames = max(1, -(-max(0, len(x) - s.frame) // s.hop) + 1)
-    x = np.append(x, np.zeros((frames - 1) * s.hop + s.frame - len(x), np.float32)) if len(x) < (frames - 1) * s.hop + s.frame else x
-    view, out = np.lib.stride_tricks.sliding_window_view(x, s.frame)[:: s.hop][:frames], []
+def log_mel(x: np.ndarray, s: AudioSetting, taps: np.ndarray, window: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """(frames, mels) of the resampled x: overlapped frames, the last padded with silence; one block of frames at a time."""
+    n = resampled_length(len(x), s)
+    frames = max(1, -(-max(0, n - s.frame) // s.hop) + 1)
+    out = np.empty((frames, s.mels), np.float32)
     for i in range(0, frames, s.block):
-        power = np.abs(np.fft.rfft(view[i : i + s.block] * window, axis=1)) ** 2
-        out.append(np.log(power.astype(np.float32) @ filters + 1e-3))
-    return np.concatenate(out)
+        count = min(s.block, frames - i)
+        first, end = i * s.hop, (i + count - 1) * s.hop + s.frame
+        held = np.zeros(end - first, np.float32)
+        got = resample(x, taps, s, first, min(end, n))
+        held[: len(got)] = got
+        power = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(held, s.frame)[:: s.hop] * window, axis=1)) ** 2
+        out[i : i + count] = np.log(power.astype(np.float32) @ filters + 1e-3)
+    return out
 
 
 def segments(energy: np.ndarray, high: float, low: float) -> list[tuple[int, int]]:
@@ -144,20 +165,17 @@ def _store(s: AudioSetting):
 
 def features_of(media: bytes, s: AudioSetting, taps: np.ndarray, window: np.ndarray, filters: np.ndarray) -> dict:
     payload, rate = from_wav(media)
-    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mel = np.round(log_mel(resample(x, taps, s), s, window, filters), 3)
+    mel = np.round(log_mel(np.frombuffer(payload, np.uint8), s, taps, window, filters), 3)
     found, second = segments(mel.mean(axis=1), s.high, s.low), s.hop / (rate * s.up / s.down)
-    tensors = tensor_stream(mel, s)
     return {
         "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(media),
-        "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": len(mel), "spans": [{"start_s": a * second, "end_s": b * second} for a, b in found], "tensors": tensors,
-        "feature": f"{len(mel)}:{len(found)}:{sum(b - a for a, b in found)}:{hashlib.md5(tensors).hexdigest()}",
+        "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": len(mel), "spans": [{"start_s": a * second, "end_s": b * second} for a, b in found], "tensors": tensor_stream(mel, s),
     }
 
 
 FEATURE_SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64())]
-    + [("media_sha256", pa.string()), ("n_frames", pa.int32()), ("spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("tensors", pa.binary()), ("feature", pa.string())]
+    + [("media_sha256", pa.string()), ("n_frames", pa.int32()), ("spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("tensors", pa.binary())]
 )
 
 
@@ -185,3 +203,15 @@ def audio_features(media: DataFrame, setting: AudioSetting = AudioSetting()) ->
     """One row for each row of ``media`` (doc_id, n_bytes, media)."""
     small_batches(media.sparkSession)
     return plain(media, ("doc_id", "n_bytes", "media")).mapInArrow(_features(setting), FEATURES)
+
+
+def feature() -> Column:
+    """A short name of a row of features: frames, segments, their seconds, and a digest of the tensors and spans."""
+    seconds = F.aggregate("spans", F.lit(0.0), lambda n, x: n + x["end_s"] - x["start_s"])
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", F.format_number(x["start_s"], 3), F.format_number(x["end_s"], 3))), " ")
+    return F.concat_ws(":", F.col("n_frames").cast("string"), F.size("spans").cast("string"), F.format_number(seconds, 3), F.md5(F.concat(F.col("tensors"), F.encode(spans, "UTF-8"))))
+
+
+def store_features(media: DataFrame, setting: AudioSetting = AudioSetting()) -> Stored:
+    """The features of all media, tensors and spans among them, written in the shared folder."""
+    return Stored(audio_features(media, setting), "audio-features")

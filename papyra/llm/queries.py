@@ -32,8 +32,8 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = audio_features.store_media(table(spark, sf_dir, "documents"))
-    return audio_features.audio_features(stored.read()).drop("tensors", "spans")
+    media = audio_features.store_media(table(spark, sf_dir, "documents"))
+    return audio_features.store_features(media.read()).read().withColumn("feature", audio_features.feature()).drop("tensors", "spans")
 
 
 def op3_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
