@@ -1,7 +1,9 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
-The content view sees shape features of the whole text (shares of character classes, word lengths, symbols at word
-ends); the metadata view sees source, language and recorded size. Both are ridge logistic models fitted on a bounded
+The content view sees the words of the whole text: word and word-pair n-grams hashed into bins, how much of the text
+repeats itself (shares of different words and of different word triples, of the most frequent word), and shape features
+(shares of character classes, word lengths, symbols at word ends). The metadata view sees source, language and recorded
+size. Both are ridge logistic models fitted on a bounded
 sample of labelled rows (``labelled_rows``, the smallest hashes of doc_id). In each round every document is scored by
 both views, and the most confident unlabelled ones (calibrated probability of at least ``confident``, at most
 ``pseudo_rows`` for each view and class) are handed to the other view as pseudo-labels. At the end both views are
@@ -11,7 +13,7 @@ What grows with the corpus stays distributed: features are one pass over the tex
 the bounded samples and the models meet on the driver.
 
 Defined results: a null or empty text has features of zero length; a document counts as labelled if its labels agree
-(conflicting or null labels are ignored); without labels of both classes every document is kept with score 0.5;
+(conflicting or null labels are ignored; of rows that repeat its id one teaches, and rows without an id teach nothing); without labels of both classes every document is kept with score 0.5;
 repeated rows get equal scores; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.shared import Stored, plain, small_batches, text_buffer, text_slices
-
-CONTENT, META, CLASSES = 16, 64, 10
+from papyra.llm.word_hashes import LOWER, Words, run_hashes
+
+SHAPE, META, CLASSES = 16, 64, 10
+#: Bins of hashed words and of hashed word pairs.
+BINS = 128
+REPEAT = 3
+#: Words that a text's bins are diluted by, so that those of a few words say little.
+PRIOR = 1
+CONTENT = SHAPE + REPEAT + 2 * BINS
 FEATURES = "doc_id bigint, content array<float>, meta array<float>"
 
 
@@ -39,8 +49,8 @@ class CoTrainingSetting:
     pseudo_rows: int = 1_000
     confident: float = 0.97
     rounds: int = 2
-    keep: float = 0.5
-    ridge: float = 1e-2
+    keep: float = 0.25  # a document goes if the odds are 3 to 1 that it is bad
+    ridge: float = 0.1
 
 
 def _byte_classes() -> np.ndarray:
@@ -58,6 +68,43 @@ BYTE_CLASSES = _byte_classes()
 def content_features(texts: pa.Array) -> np.ndarray:
     """(rows, CONTENT) from whole texts; a fixed number of passes over the bytes, no Python step for each word."""
     raw, offsets = text_buffer(texts)
+    return np.hstack([shape_features(raw, offsets), word_features(raw, offsets)])
+
+
+def _different(doc: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the number of different values and how often its most frequent one occurs."""
+    if not len(doc):
+        return np.zeros(n), np.zeros(n)
+    # one sort of 64-bit numbers: the document in the upper bits, 40 bits of the hash below
+    key = np.sort(doc.astype(np.uint64) << np.uint64(40) | values >> np.uint64(24))
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    owner = (key[begin] >> np.uint64(40)).astype(np.int64)
+    most = np.zeros(n)
+    np.maximum.at(most, owner, np.diff(np.append(begin, len(key))))
+    return np.bincount(owner, minlength=n).astype(float), most
+
+
+def word_features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, REPEAT + 2 * BINS): shares of different words and word triples and of the most frequent word; then bins of
+    hashed words and of hashed word pairs, square roots of their shares among the text's words and PRIOR more. Words are lower-cased (A-Z)."""
+    words = Words(LOWER[raw], offsets)
+    h, n = words.hashes(), len(offsets) - 1
+    out = np.zeros((n, REPEAT + 2 * BINS), np.float32)
+    some = np.maximum(words.count, 1)
+    different, most = _different(words.doc, h, n)
+    out[:, 0], out[:, 2] = different / some, most / some
+    inside = lambda k: np.flatnonzero(words.doc[: max(0, len(h) - k + 1)] == words.doc[k - 1 :][: max(0, len(h) - k + 1)])
+    at = inside(3)
+    out[:, 1] = _different(words.doc[at], run_hashes(h, 3)[at], n)[0] / np.maximum(words.count - 2, 1)
+    for k, first in ((1, REPEAT), (2, REPEAT + BINS)):
+        at = inside(k)
+        value = (h if k == 1 else run_hashes(h, k))[at]
+        share = np.bincount(words.doc[at] * BINS + (value % np.uint64(BINS)).astype(np.int64), minlength=n * BINS).reshape(n, BINS) / (words.count + PRIOR)[:, None]
+        out[:, first : first + BINS] = np.sqrt(share)
+    return out
+
+
+def shape_features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     kinds = BYTE_CLASSES[raw]
     size = np.diff(offsets)
@@ -74,7 +121,7 @@ def content_features(texts: pa.Array) -> np.ndarray:
     capitals = count((before == 2) & (kinds == 2))
     signed = count((before == 8) & blank(kinds))
     some, many = np.maximum(size, 1)[:, None], np.maximum(words, 1)
-    out = np.empty((n, CONTENT), np.float32)
+    out = np.empty((n, SHAPE), np.float32)
     out[:, :CLASSES] = total / some
     out[:, 10], out[:, 11] = np.log1p(size) / 10, np.minimum((size - total[:, 4] - total[:, 5]) / many / 10, 5)
     out[:, 12], out[:, 13], out[:, 14], out[:, 15] = signs / some[:, 0], capitals / some[:, 0], signed / many, total[:, 7] / many
@@ -203,7 +250,7 @@ def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(features: DataFrame, labels: DataFrame, setting: CoTrainingSetting = CoTrainingSetting(), label: str = "quality") -> Views | None:
-    """Co-trained views, or None if the labels hold fewer than two classes. ``features`` is read once for each round."""
+    """Co-trained views, or None if the labels hold fewer than two classes. ``features`` is read twice for each round."""
     agreed = plain(labels, ("doc_id", label)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
     agreed = agreed.agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("doc_id", "y")
     # labelled rows without a document can't teach, so the sample is taken after the join; one row for each id
@@ -220,30 +267,26 @@ def train(features: DataFrame, labels: DataFrame, setting: CoTrainingSetting = C
     views = fit_views(content, meta, y, held, [none(CONTENT), none(META)], setting.ridge)
     others = features.join(F.broadcast(sample.read().select("doc_id")), "doc_id", "left_anti")  # labelled_rows ids at most
     for _ in range(setting.rounds):
+        # one pass scores all; the lists are picked from the scores, and the features of the few picked are fetched
+        scores = Stored(others.where("doc_id is not null").mapInArrow(_score(views), SCORES).drop("score"), "scores")
+        picked = []
+        for place, (teacher, good) in enumerate((t, g) for t in ("meta_score", "content_score") for g in (True, False)):
+            sure = F.col(teacher) >= setting.confident if good else F.col(teacher) <= 1 - setting.confident
+            ordered = scores.read().where(sure).orderBy(F.desc(teacher) if good else F.asc(teacher), F.xxhash64("doc_id"), "doc_id")
+            picked.append(ordered.limit(setting.pseudo_rows).select("doc_id", F.lit(place).alias("list")))
+        picks = Stored(reduce(DataFrame.union, picked).distinct(), "picked")
+        taken = Stored(features.join(F.broadcast(picks.read()), "doc_id").dropDuplicates(["doc_id", "list"]), "pseudo")  # 4 * pseudo_rows ids at most
         more = []
-        scored = others.mapInArrow(_scored_rows(views), "doc_id bigint, content array<float>, meta array<float>, content_score double, meta_score double")
-        for teacher, taught in (("meta_score", 0), ("content_score", 1)):
-            picked = []
-            for good in (True, False):
-                sure = F.col(teacher) >= setting.confident if good else F.col(teacher) <= 1 - setting.confident
-                ordered = scored.where(sure).orderBy(F.desc(teacher) if good else F.asc(teacher), F.xxhash64("doc_id"), "doc_id")
-                picked.append(ordered.limit(setting.pseudo_rows).withColumn("y", F.lit(int(good))).select("doc_id", "content", "meta", "y"))
-            rows = _collected(picked[0].union(picked[1]))
+        for taught in (0, 1):
+            rows = _collected(taken.read().where(F.col("list").isin(2 * taught, 2 * taught + 1)).withColumn("y", F.when(F.col("list") % 2 == 0, 1).otherwise(0)))
             more.append((rows[taught], rows[2]))
+        for table in (scores, picks, taken):
+            table.drop()
         views = fit_views(content, meta, y, held, more, setting.ridge)
     sample.drop()
     return views
 
 
-def _scored_rows(views: Views):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, m, _ = views.score(_matrix(b.column("content"), CONTENT), _matrix(b.column("meta"), META))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(a), pa.array(m)], names=["doc_id", "content", "meta", "content_score", "meta_score"])
-
-    return run
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, setting: CoTrainingSetting = CoTrainingSetting(), label: str = "quality") -> DataFrame:
     """doc_id, content_score, meta_score, score and keep of every row of ``docs``."""
     features = Stored(document_features(docs), "features")

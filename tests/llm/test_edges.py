@@ -173,6 +173,63 @@ def test_co_training_without_labels_keeps_all(spark, odd, none):
     assert Q.keep_good(odd, labels).count() == odd.count() and Q.score_documents(none, labels).count() == 0
 
 
+def plain_word_features(text: str) -> list[float]:
+    """Word by word, with dictionaries; bins by the same hashes of single words and pairs."""
+    w = re.findall(rb"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode())
+    import pyarrow as pa
+
+    from papyra.llm.shared import text_buffer
+    from papyra.llm.word_hashes import Words, run_hashes
+
+    def hashed(k: int, i: int) -> int:
+        h = Words(*text_buffer(pa.array([b" ".join(w[i : i + k]).decode()]))).hashes()
+        return int(h[0] if k == 1 else run_hashes(h, k)[0])
+
+    out = np.zeros(Q.REPEAT + 2 * Q.BINS)
+    if w:
+        out[0], out[2] = len(set(w)) / len(w), max(w.count(x) for x in w) / len(w)
+        out[1] = len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) / max(1, len(w) - 2)
+    for k, first in ((1, Q.REPEAT), (2, Q.REPEAT + Q.BINS)):
+        for i in range(len(w) - k + 1):
+            out[first + hashed(k, i) % Q.BINS] += 1 / (len(w) + Q.PRIOR)
+    out[Q.REPEAT :] = np.sqrt(out[Q.REPEAT :])
+    return out.tolist()
+
+
+def test_word_features_equal_the_plain_version():
+    import pyarrow as pa
+
+    texts = ["", None, "one", "One one ONE two", "a b c a b c a b c", "x y", " \n", "é É tail", " ".join(f"w{i % 7}" for i in range(50))]
+    got = Q.content_features(pa.array(texts))[:, Q.SHAPE :]
+    assert np.abs(got - np.asarray([plain_word_features(t or "") for t in texts])).max() < 1e-6
+
+
+def test_co_training_sees_words(spark):
+    """Spam of the same letters, the same word lengths and the same metadata as prose: only its words and repeats tell."""
+    rng, rows = random.Random(4), []
+    prose, spam = ["stone", "river", "under", "light", "paper", "chair", "green", "small", "north", "early"], ["cheap", "pills", "order", "today", "extra"]
+    for i in range(900):
+        good = i % 3 > 0
+        words = [rng.choice(prose) for _ in range(60)] if good else [rng.choice(spam) for _ in range(20)] + [rng.choice(prose) for _ in range(40)]
+        rng.shuffle(words)
+        text = " ".join(words)
+        rows.append((i, text, "en", "web", len(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in Q.score_documents(docs, labels).collect()}
+    assert np.mean([got[i].keep == (i % 3 > 0) for i in range(300, 900)]) > 0.99
+
+
+def test_co_training_odd_labels(spark, odd):
+    """Repeated and null ids with labels of both classes: every row is scored, equal rows alike."""
+    more = spark.createDataFrame([(100 + i, "plain words here and there" if i % 2 else "### ||| $$$ %%%", "en", "s", 20) for i in range(60)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = odd.select(*more.columns).union(more).union(more)
+    labels = more.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality").union(spark.createDataFrame([(None, 1), (3, 1), (3, 0), (9, None)], "doc_id bigint, quality int"))
+    rows = Q.score_documents(docs, labels).collect()
+    assert len(rows) == docs.count() and len({(r.doc_id, r.score) for r in rows if r.doc_id == 3}) == 1
+    assert all(r.keep == (r.doc_id % 2 == 1) for r in rows if (r.doc_id or 0) >= 100)
+
+
 def test_co_training_teaches_across_views(spark):
     rng = random.Random(3)
     rows = []
