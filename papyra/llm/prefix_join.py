@@ -1,28 +1,31 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
 Two documents link if the Jaccard similarity of their shingle sets is at least num/den. Documents with equal sets are
-one node, known by a hash of the set; everything below is about nodes.
-
-Prefix tokens. If sets of a and b shingles link, they differ in at most D = (a + b)(den - num)/(den + num) shingles. Spread
-the shingles over D + l cells: at least l cells are equal in both. A cell (its number and the hash of its shingles) is
-the token of the prefix: unlike a single shingle, it doesn't turn hot with a passage or a line that many documents share.
-Sizes are cut into classes so that linking sizes share a class (a scheme), which fixes D and l.
-
-1. Every node sends its D + l tokens in the schemes of its class and of the class below. A token of more than ``COMMON`` rows
-   is costly. A node's cost is the number of its costly tokens. A pair needs l equal cells, and cells empty in both count: only a
-   node with l empty cells or more sends them. So a pair needs so many cheap tokens as are left of l when every costly token and,
-   unless both send theirs, every empty cell of both is granted. Pairs are counted in cheap lists only (COMMON rows at most).
-2. Nodes whose costly tokens and empty cells are l or more may meet in no cheap token. They go on through the costly lists, where
-   only neighbours in the order of nodes are linked: n rows make n - 1 links, not all pairs. (Nodes that meet in no token at all
-   have l common empty cells, and both send them.) Candidate groups are components of both kinds of links.
-3. In a group, l grows with the number of candidates of a size: a pair must share l of D + l cells before its shingles are
-   compared, and pairs already joined by links are left out. Large groups are cut into blocks; a task gets two blocks.
-4. Links found are a spanning set; their components are the answer.
-
-No candidate is dropped: the filters are necessary conditions of a link. Defined results: a null or empty text, or one
-without words, has an empty set and no links; a text of fewer words than a shingle has one shingle, all of it;
-repeated rows link with each other; a null id counts as smaller than all others; an empty table gives an empty table; other
-columns are ignored by ``linked`` and passed through by ``one_of_each``.
+one node, known by a hash of the set, and one of them stands for all: everything below is about nodes.
+
+1. Order. All shingles are ordered from rare to frequent. Frequencies are counted over all documents in a table of fixed
+   size (``Frequencies``: two rows of counters, the smaller counts); it is an estimate, and any order is right as long as it
+   is one order, ties by hash. What many documents share comes last.
+2. Prefixes. A linked set of n shingles shares needed(n) = ceil(n * num / den) of them at least, so of two linked sets the
+   first n - needed(n) + l shingles of each share l at least. Every node picks its own l: from a least value for its size
+   it is doubled as long as that lowers the estimated cost, the rows that its prefix shingles bring plus the comparisons
+   that are left if l of them must match. Costly nodes get longer prefixes and must match more. A pair must share the
+   smaller l of both.
+3. Pairs. Lists of a shingle with ``COMMON`` nodes at most are paired and matches are counted. Longer lists are not
+   paired: their nodes, if they have so many such shingles that a pair could go without any match in a short list, are
+   linked to the first node of the list, n rows by n - 1 links. A pair counted in short lists is granted as many
+   matches in long ones as the node with fewer long lists has. Candidate groups are components of both kinds of links.
+4. Verification. In a group, sets are cut to cells (the shingles of a set are spread over D + l cells by hash; sets that
+   differ in D shingles have l equal cells), l growing with the number of candidates, and only pairs with l equal cells
+   are compared, unless links join them already. Large groups are cut into blocks; a task gets two blocks.
+5. Links found are a spanning set; their components are the answer.
+
+No candidate is dropped: the filters are necessary conditions of a link. (If a linked pair has no match in a short list,
+both have at least the smaller l of both in long lists; that node is one that starts a chain in each of them, and the
+other one joins it, as it has as many.) Defined results: a null or empty text, or one without words, has an empty set and
+no links; a text of fewer words than a shingle has one shingle, all of it; repeated rows link with each other; a null id
+counts as smaller than all others; an empty table gives an empty table; other columns are ignored by ``linked`` and
+passed through by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -35,14 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.shared import Stored, components, ordered_key, plain, release, small_batches, text_buffer, text_slices
+from papyra.llm.shared import Stored, components, join_with_hubs, ordered_key, plain, release, small_batches, text_buffer, text_slices
 from papyra.llm.word_hashes import LOWER, Words, mix, run_hashes
 
-#: Rows of a token beyond which it is costly.
+#: Nodes of a shingle beyond which its list is long.
 COMMON = 16
-#: Matches that the first prefix asks for: this part of D, and LEAST_NEED at least.
+#: The least l: this part of n - needed(n), and LEAST_NEED at least; and by what it may be multiplied.
 NEED_PART = 8
 LEAST_NEED = 3
+FACTORS = (1, 2, 4, 8)
+#: Cost of comparing two nodes, in rows of a list.
+COMPARE = 8
+#: Counters of each of the two rows of the table of frequencies.
+COUNTERS = 1 << 20
+#: Rows of one shingle that one task joins, about.
+SPLIT = 1024
 #: Nodes of a block, and of the small groups that one task gets.
 BLOCK = 512
 TASK_NODES = 2000
@@ -66,6 +76,10 @@ class JoinSetting:
         """D of scheme c: a pair's smaller set is of class c, the larger of class c or c + 1."""
         return (bounds[c + 1] + bounds[c + 2] - 2) * (self.den - self.num) // (self.den + self.num)
 
+    def needed(self, n: np.ndarray) -> np.ndarray:
+        """Shingles that a set of n must share with any that it links with."""
+        return -(-self.num * n // self.den)
+
     def links(self, a: int, b: int, both: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
 
@@ -112,55 +126,117 @@ def cells(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np
     return _sums(begin[doc] + cell, mix(values + np.uint64(0x632BE59BD9B4E019)), total), number
 
 
-def prefix_tokens(values: np.ndarray, sizes: np.ndarray, s: JoinSetting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, set, info) of each set in the schemes of its own class and of the class below.
+class Frequencies:
+    """Counts of shingles in a table of fixed size: two rows of counters, each shingle has one in each; the smaller one stands."""
 
-    info: scheme << 51 | empty cells, l at most << 26 | l << 1 | whether the scheme is that of the set's own class. Of two sets in
-    a scheme one is, or they meet in another. A set sends its empty cells only if it has l of them: fewer can't be all that it
-    shares, and ``candidate_links`` grants them.
-    """
-    tokens, owners, infos = [], [], []
-    bounds = s.bounds(int(sizes.max(initial=1)))
-    own = np.searchsorted(bounds, sizes, side="right") - 1
-    for step in (0, 1):
-        scheme = own - step
-        d = np.where((sizes > 0) & (scheme >= 0), s.differ(bounds, np.maximum(scheme, 0)), 0)
-        need = np.maximum(LEAST_NEED, d // NEED_PART)
-        counts = np.where(d > 0, d + need, 0)
-        use = np.flatnonzero(counts > 0)
-        content, number = cells(values[np.repeat(counts > 0, sizes)], sizes[use], counts[use])
-        owner = np.repeat(use, counts[use])
-        empty = np.bincount(owner[content == 0], minlength=len(sizes))
-        send = (content != 0) | (empty[owner] >= need[owner])
-        place = (scheme[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)
-        tokens.append(mix(content + mix(place + np.uint64(1)))[send])
-        owners.append(owner[send])
-        infos.append((scheme[owner] << 51 | np.minimum(empty, need)[owner] << 26 | need[owner] << 1 | (1 - step))[send])
-    return np.concatenate(tokens), np.concatenate(owners), np.concatenate(infos)
+    def __init__(self, counts: np.ndarray | None = None):
+        self.counts = np.zeros((2, COUNTERS), np.int64) if counts is None else counts
+
+    @staticmethod
+    def _places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (values % np.uint64(COUNTERS)).astype(np.int64), ((values >> np.uint64(40)) % np.uint64(COUNTERS)).astype(np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        for row, at in zip(self.counts, self._places(values)):
+            row += np.bincount(at, minlength=COUNTERS)
+
+    def pack(self) -> bytes:
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=1).compress(np.minimum(self.counts, 2**32 - 1).astype("<u4").tobytes())
+
+    def merge(self, data: bytes) -> None:
+        import zstandard
+
+        self.counts += np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").reshape(2, COUNTERS)
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """Estimated number of documents with each shingle, 1 at least; what an average counter holds of others is taken off."""
+        a, b = self._places(values)
+        others = int(2 * self.counts[0].sum() // COUNTERS)
+        return np.maximum(1, np.minimum(self.counts[0][a], self.counts[1][b]) - others)
+
+
+def prefix_tokens(values: np.ndarray, sizes: np.ndarray, s: JoinSetting, frequencies: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, set, l, estimated frequency) of the prefix of each set."""
+    doc, often = np.repeat(np.arange(len(sizes)), sizes), frequencies.of(values)
+    order = np.lexsort((values, often, doc))
+    values, often = values[order], often[order]
+    begin = np.cumsum(sizes) - sizes
+    needed = s.needed(sizes)
+    free = sizes - needed
+    least = np.minimum(needed, np.maximum(LEAST_NEED, free // NEED_PART))
+    rows = np.append(0, np.cumsum(often - 1)).astype(np.float64)
+    need, best = least.copy(), np.full(len(sizes), np.inf)
+    for factor in FACTORS:
+        l = np.minimum(needed, least * factor)
+        scan = rows[begin + free + l] - rows[begin]
+        cost = scan + COMPARE * scan / np.maximum(l, 1)
+        need, best = np.where(cost < best, l, need), np.minimum(cost, best)
+    place = np.arange(len(values)) - begin[doc]
+    sent = place < (free + need)[doc]
+    return values[sent], doc[sent], need[doc[sent]], often[sent]
+
+
+NODE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("counts", pa.binary())])
+NODES = "doc_id bigint, mark bigint, n_shingles bigint, node bigint, counts binary"
 
 
 def _nodes(s: JoinSetting):
+    """A row for each document, and one row with the counts of all shingles that the task has seen."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Frequencies()
         for batch in batches:
             for cut in text_slices(batch):
                 values, sizes = shingle_sets(cut.column("text"), s)
+                seen.add(values)
                 node = pa.array(node_ids(values, sizes), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("mark"), pa.array(sizes.astype(np.int64)), node], names=["doc_id", "mark", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("mark"), pa.array(sizes.astype(np.int64)), node, pa.nulls(len(sizes), pa.binary())], schema=NODE_SCHEMA)
+        yield pa.RecordBatch.from_pylist([{"counts": seen.pack()}], schema=NODE_SCHEMA)
 
     return run
 
 
-def _prefixes(s: JoinSetting):
+def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = Frequencies()
+    for batch in batches:
+        for data in batch.column("counts"):
+            total.merge(data.as_py())
+    yield pa.RecordBatch.from_pylist([{"counts": total.pack()}], schema=pa.schema([("counts", pa.binary())]))
+
+
+def frequencies(nodes: DataFrame) -> Frequencies:
+    """One table from those of all tasks; at most 8 of them reach the driver, whatever the corpus."""
+    counts = nodes.where("counts is not null").select("counts")
+    parts = counts.count()
+    while parts > 8:
+        parts = max(8, parts // 32)
+        counts = Stored(counts.repartition(parts).mapInArrow(_merge_counts, "counts binary"), "counts").read()
+    total = Frequencies()
+    for row in counts.collect():
+        total.merge(row[0])
+    return total
+
+
+TOKENS = "token bigint, node bigint, need int, splits int"
+
+
+def _prefixes(s: JoinSetting, table):
+    """Prefix shingles of each text; ``splits``, the same for every row of a shingle, is the number of tasks that should share them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Frequencies(table.value)
         for batch in batches:
             for cut in text_slices(batch):
                 values, sizes = shingle_sets(cut.column("text"), s)
                 node = node_ids(values, sizes)
                 single = np.zeros(len(sizes), bool)
-                single[np.unique(node, return_index=True)[1]] = True  # copies in a batch send their tokens once
+                single[np.unique(node, return_index=True)[1]] = True  # repeated rows
                 values, sizes, node = values[np.repeat(single, sizes)], sizes[single], node[single]
-                token, owner, info = prefix_tokens(values, sizes, s)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node[owner]), pa.array(info.astype(np.int64))], names=["token", "node", "info"])
+                token, owner, need, often = prefix_tokens(values, sizes, s, known)
+                columns = [pa.array(token.view(np.int64)), pa.array(node[owner]), pa.array(need.astype(np.int32)), pa.array((1 + often // SPLIT).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "need", "splits"])
 
     return run
 
@@ -171,8 +247,7 @@ def _sets(s: JoinSetting):
             for cut in text_slices(batch):
                 values, sizes = shingle_sets(cut.column("text"), s)
                 found = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), values.view(np.int64))
-                out = pa.RecordBatch.from_arrays([*(cut.column(c) for c in ("root", "node", "group_nodes")), found], names=["root", "node", "group_nodes", "shingles"])
-                yield out.filter(pa.array(node_ids(values, sizes) == np.asarray(cut.column("node"))))  # an id may stand for several texts
+                yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in ("root", "node", "group_nodes")), found], names=["root", "node", "group_nodes", "shingles"])
 
     return run
 
@@ -227,49 +302,67 @@ def _verify(s: JoinSetting):
     return run
 
 
-def candidate_links(prefixes: DataFrame) -> DataFrame:
-    """(a, b): links whose components are the candidate groups, from rows (token, node, info)."""
-    one = Window.partitionBy("token")
-    before = F.collect_list(F.struct("node", "info")).over(one.orderBy("node").rowsBetween(1 - COMMON, -1))
-    met = Stored(prefixes.withColumn("rows", F.count("*").over(one)).where("rows > 1").withColumn("before", before), "met")
-    release(prefixes.sparkSession)
-    part = lambda c, low: F.shiftright(c, low) % (1 << 25)
-    scheme, need, empty = F.shiftright("info", 51).alias("scheme"), part("info", 1).alias("need"), part("info", 26).alias("empty")
-    cheap = met.read().where(F.col("rows") <= COMMON).select("node", "info", scheme, need, empty, F.explode("before").alias("x"))
-    cheap = cheap.where(((F.col("info") % 2 == 1) | (F.col("x.info") % 2 == 1)) & (F.col("x.node") != F.col("node")))
-    both = F.least("empty", part("x.info", 26))
-    unsent = F.when(both < F.col("need"), both).otherwise(0).alias("unsent")  # with l empty cells each, both send them
-    pairs = cheap.groupBy(F.col("x.node").alias("a"), F.col("node").alias("b"), "scheme", "need", unsent).agg(F.count("*").alias("shared"))
-    costly = met.read().where(F.col("rows") > COMMON).select("token", "node", scheme, need, empty)
-    costs = Stored(costly.groupBy("node", "scheme").agg(F.count("*").alias("cost")), "costs")
-    cost = lambda n: costs.read().select(F.col("node").alias(n), "scheme", F.col("cost").alias(f"cost_{n}"))
-    granted = F.least(F.coalesce("cost_a", F.lit(0)), F.coalesce("cost_b", F.lit(0))) + F.col("unsent")
-    kept = pairs.join(cost("a"), ["a", "scheme"], "left").join(cost("b"), ["b", "scheme"], "left").where(F.col("shared") + granted >= F.col("need")).select("a", "b")
-    alone = costly.join(costs.read(), ["node", "scheme"]).where(F.col("cost") + F.col("empty") >= F.col("need"))
-    last = F.lag("node").over(one.orderBy("node"))
-    chain = alone.withColumn("a", last).where("a is not null and a <> node").select("a", F.col("node").alias("b"))
-    return kept.union(chain).distinct()
+def candidate_links(prefixes: Stored) -> DataFrame:
+    """(a, b): links whose components are the candidate groups, from rows (token, node, need, splits)."""
+    spark, t = prefixes.spark, prefixes.read()
+    shared = Stored(t.groupBy("token").agg(F.count("*").alias("n"), F.max("splits").alias("splits")).where("n > 1"), "shared")
+    split = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("split")
+    # a shingle's rows are dealt over ``splits`` tasks, to each of which its row of ``shared`` goes
+    asked = shared.read().select("token", "n", each(F.col("splits")))
+    met = Stored(t.withColumn("split", split(F.col("splits"))).join(asked, ["token", "split"]).select("token", "node", "need", "n"), "met")
+    release(spark, shared)
+    lists = met.read().where(F.col("n") <= COMMON).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "need"))).alias("l"))  # COMMON rows at most
+    first = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("y")).where("x.node <> y.node")
+    pairs = first.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.need", "y.need")).alias("need"))
+    pairs = Stored(pairs, "pairs")
+    release(spark)
+    long = met.read().where(F.col("n") > COMMON)
+    counts = Stored(long.groupBy("node").agg(F.count("*").alias("long")), "long-lists")
+    count = lambda name: counts.read().select(F.col("node").alias(name), F.col("long").alias(f"long_{name}"))
+    granted = pairs.read().where("shared < need").join(count("a"), "a").join(count("b"), "b").where(F.col("shared") + F.least("long_a", "long_b") >= F.col("need"))
+    counted = pairs.read().where("shared >= need").select("a", "b").union(granted.select("a", "b"))
+
+    pieces = F.ceil(F.col("n") / SPLIT).cast("int")
+    rows = Stored(long.join(counts.read(), "node").withColumn("split", split(pieces)), "long-rows")
+    starts = rows.read().groupBy("token").agg(F.min(F.when(F.col("long") >= F.col("need"), F.col("need"))).alias("least"), F.max("n").alias("n")).where("least is not null")
+    starts = Stored(starts.select("token", "least", each(pieces)), "starts")
+    joined = Stored(rows.read().join(starts.read(), ["token", "split"]).where(F.col("long") >= F.least("need", "least")).select("token", "node", "n", "split"), "joined")
+    heads = joined.read().groupBy("token").agg(F.min("node").alias("head"), F.max("n").alias("n")).select("token", "head", each(pieces))
+    chain = joined.read().join(heads, ["token", "split"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    edges = Stored(counted.union(chain).distinct(), "candidates")
+    release(spark, met, pairs, counts, rows, starts, joined)
+    return edges
 
 
 def _labelled(docs: DataFrame, s: JoinSetting) -> DataFrame:
     """doc_id, d (its key), mark (hash of the text), n_shingles, root and first (smallest key of the component) of every row; no root: no links."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = plain(docs, ("doc_id", "text"))
-    table = Stored(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_nodes(s), "doc_id bigint, mark bigint, n_shingles bigint, node bigint"), "nodes")
-    edges = Stored(candidate_links(texts.where(F.length("text") > 0).mapInArrow(_prefixes(s), "token bigint, node bigint, info bigint")), "candidates")
+    texts = plain(docs, ("doc_id", "text")).withColumn("mark", F.xxhash64("text"))
+    nodes = Stored(texts.mapInArrow(_nodes(s), NODES), "nodes")
+    table = nodes.read().where("n_shingles is not null").drop("counts")
+    known = table.where("node is not null").withColumn("d", ordered_key("doc_id"))
+    # one row of each set goes on
+    chosen = Stored(known.groupBy("node").agg(F.min(F.struct("d", "mark")).alias("r")).select("r.d", "r.mark", "node"), "chosen")
+    keyed = texts.withColumn("d", ordered_key("doc_id"))
+    counted = spark.sparkContext.broadcast(frequencies(nodes.read()).counts)  # two rows of COUNTERS numbers
+    single = keyed.where(F.length("text") > 0).join(chosen.read().select("d", "mark"), ["d", "mark"], "left_semi").select("text")
+    prefixes = Stored(single.mapInArrow(_prefixes(s, counted), TOKENS), "prefixes")
     release(spark)
+    edges = candidate_links(prefixes)
+    release(spark, prefixes)
+    counted.unpersist()
     groups = Stored(components(edges.read()), "groups")
     release(spark, edges)
 
-    known = table.read().where("node is not null")
-    sizes = groups.read().groupBy("root").agg(F.count("*").alias("group_nodes"))
-    wanted = known.groupBy("node").agg(F.min(ordered_key("doc_id")).alias("d")).join(groups.read().join(sizes, "root"), "node")
-    chosen = Stored(wanted.select("d", "node", "root", "group_nodes"), "chosen")
+    large = Stored(groups.read().groupBy("root").agg(F.count("*").alias("group_nodes")).where(F.col("group_nodes") > BLOCK), "large-groups")  # nodes / BLOCK at most
+    wanted = chosen.read().join(groups.read().join(large.read(), "root", "left"), "node")
+    wanted = Stored(wanted.select("d", "mark", "node", "root", F.coalesce("group_nodes", F.lit(1).cast("long")).alias("group_nodes")), "wanted")
     # one plan at every size: a merge join, whatever the candidates' number
-    member = texts.withColumn("d", ordered_key("doc_id")).join(chosen.read().hint("merge"), "d").select("text", "root", "node", "group_nodes")
+    member = keyed.join(wanted.read().hint("merge"), ["d", "mark"]).select("text", "root", "node", "group_nodes")
     sets = Stored(member.mapInArrow(_sets(s), "root bigint, node bigint, group_nodes bigint, shingles array<bigint>"), "sets")
-    release(spark, groups, chosen)
+    release(spark, groups, large, wanted)
 
     tasks = max(8, (sets.read().count()) // TASK_NODES)
     rows = sets.read().withColumn("blocks", F.ceil(F.col("group_nodes") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -285,11 +378,13 @@ def _labelled(docs: DataFrame, s: JoinSetting) -> DataFrame:
     roots = Stored(components(links.read()), "roots")
     release(spark, links)
 
-    joined = known.withColumn("d", ordered_key("doc_id")).join(roots.read(), "node", "left").select("doc_id", "d", "mark", "n_shingles", F.coalesce("root", "node").alias("root"))
-    firsts = joined.groupBy("root").agg(F.min("d").alias("first"))
-    grouped = joined.join(firsts, "root").select("doc_id", "d", "mark", "n_shingles", "root", "first")
+    labels = chosen.read().join(roots.read(), "node", "left").select("node", "d", F.coalesce("root", "node").alias("root"))
+    firsts = labels.groupBy("root").agg(F.min("d").alias("first"), F.count("*").alias("n"))
+    labels = Stored(join_with_hubs(labels, firsts, "root", "n").select("node", "root", "first"), "labels")
+    release(spark, chosen, roots)
+    grouped = known.join(labels.read(), "node").select("doc_id", "d", "mark", "n_shingles", "root", "first")
     key = ordered_key("doc_id")
-    alone = table.read().where("node is null").select("doc_id", key.alias("d"), "mark", "n_shingles", F.lit(None).cast("bigint").alias("root"), key.alias("first"))
+    alone = table.where("node is null").select("doc_id", key.alias("d"), "mark", "n_shingles", F.lit(None).cast("bigint").alias("root"), key.alias("first"))
     return grouped.union(alone)
 
 

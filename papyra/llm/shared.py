@@ -103,6 +103,24 @@ def plain(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Rows of a key beyond which it is a hub, and hubs up to which they are broadcast.
+HUB, HUBS = 512, 100_000
+
+
+def join_with_hubs(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``; column ``n`` of ``table``, left out of the result, is the key's number of rows.
+
+    Keys of more than HUB rows are counted and, if they are HUBS at most, broadcast, so no task gets all rows of one.
+    """
+    hubs = Stored(table.where(F.col(n) > HUB).drop(n), "hubs")
+    found = hubs.read().count()
+    if not 0 < found <= HUBS:
+        return rows.join(table.drop(n), key)
+    hot = rows.join(F.broadcast(hubs.read()), key)
+    cold = rows.join(F.broadcast(hubs.read().select(key)), key, "left_anti").join(table.where(F.col(n) <= HUB).drop(n), key)
+    return hot.unionByName(cold)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node id reachable over undirected edges, by large-star and small-star rounds.
 
@@ -117,8 +135,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     before = None
     for _ in range(most_rounds):
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m0")).select(F.col("u"), F.least("u", "m0").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m0"), F.count("*").alias("n")).select("u", F.least("u", "m0").alias("m"), "n")
+        large = join_with_hubs(both, least, "u", "n").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
         down = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         top = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(top, "u").select(F.explode(F.array("u", "v")).alias("hi"), F.col("m").alias("lo")).where("lo <> hi").distinct()
