@@ -13,7 +13,7 @@ one node, known by a hash of the set, and one of them stands for all: everything
    smaller l of both.
 3. Pairs. Lists of a shingle with ``COMMON`` nodes at most are paired and matches are counted. Longer lists are not
    paired: their nodes, if they have so many such shingles that a pair could go without any match in a short list, are
-   linked to the first node of the list, n rows by n - 1 links. A pair counted in short lists is granted as many
+   linked to the first node of the list that is of like size, n rows by n - 1 links. A pair counted in short lists is granted as many
    matches in long ones as the node with fewer long lists has. Candidate groups are components of both kinds of links.
 4. Verification. In a group, sets are cut to cells (the shingles of a set are spread over D + l cells by hash; sets that
    differ in D shingles have l equal cells), l growing with the number of candidates, and only pairs with l equal cells
@@ -44,7 +44,7 @@ from papyra.llm.word_hashes import LOWER, Words, mix, run_hashes
 #: Nodes of a shingle beyond which its list is long.
 COMMON = 16
 #: The least l: this part of n - needed(n), and LEAST_NEED at least; and by what it may be multiplied.
-NEED_PART = 8
+NEED_PART = 2
 LEAST_NEED = 3
 FACTORS = (1, 2, 4, 8)
 #: Cost of comparing two nodes, in rows of a list.
@@ -219,7 +219,7 @@ def frequencies(nodes: DataFrame) -> Frequencies:
     return total
 
 
-TOKENS = "token bigint, node bigint, need int, splits int"
+TOKENS = "token bigint, node bigint, size int, class int, need int, splits int"
 
 
 def _prefixes(s: JoinSetting, table):
@@ -235,8 +235,9 @@ def _prefixes(s: JoinSetting, table):
                 single[np.unique(node, return_index=True)[1]] = True  # repeated rows
                 values, sizes, node = values[np.repeat(single, sizes)], sizes[single], node[single]
                 token, owner, need, often = prefix_tokens(values, sizes, s, known)
-                columns = [pa.array(token.view(np.int64)), pa.array(node[owner]), pa.array(need.astype(np.int32)), pa.array((1 + often // SPLIT).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "need", "splits"])
+                own = np.searchsorted(s.bounds(int(sizes.max(initial=1))), sizes, side="right") - 1
+                columns = [pa.array(token.view(np.int64)), pa.array(node[owner]), *(pa.array(x.astype(np.int32)) for x in (sizes[owner], own[owner], need)), pa.array((1 + often // SPLIT).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "size", "class", "need", "splits"])
 
     return run
 
@@ -302,18 +303,19 @@ def _verify(s: JoinSetting):
     return run
 
 
-def candidate_links(prefixes: Stored) -> DataFrame:
-    """(a, b): links whose components are the candidate groups, from rows (token, node, need, splits)."""
+def candidate_links(prefixes: Stored, s: JoinSetting) -> Stored:
+    """(a, b): links whose components are the candidate groups, from rows (token, node, size, class, need, splits)."""
     spark, t = prefixes.spark, prefixes.read()
     shared = Stored(t.groupBy("token").agg(F.count("*").alias("n"), F.max("splits").alias("splits")).where("n > 1"), "shared")
     split = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("split")
     # a shingle's rows are dealt over ``splits`` tasks, to each of which its row of ``shared`` goes
     asked = shared.read().select("token", "n", each(F.col("splits")))
-    met = Stored(t.withColumn("split", split(F.col("splits"))).join(asked, ["token", "split"]).select("token", "node", "need", "n"), "met")
+    met = Stored(t.withColumn("split", split(F.col("splits"))).join(asked, ["token", "split"]).select("token", "node", "size", "class", "need", "n"), "met")
     release(spark, shared)
-    lists = met.read().where(F.col("n") <= COMMON).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "need"))).alias("l"))  # COMMON rows at most
+    lists = met.read().where(F.col("n") <= COMMON).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "size", "need"))).alias("l"))  # COMMON rows at most
     first = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("y")).where("x.node <> y.node")
+    first = first.where(F.least("x.size", "y.size") * s.den >= F.greatest("x.size", "y.size") * s.num)
     pairs = first.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.need", "y.need")).alias("need"))
     pairs = Stored(pairs, "pairs")
     release(spark)
@@ -323,13 +325,16 @@ def candidate_links(prefixes: Stored) -> DataFrame:
     granted = pairs.read().where("shared < need").join(count("a"), "a").join(count("b"), "b").where(F.col("shared") + F.least("long_a", "long_b") >= F.col("need"))
     counted = pairs.read().where("shared >= need").select("a", "b").union(granted.select("a", "b"))
 
+    # linked sizes share a class, or are in neighbouring ones: chains are made for each class with the next
     pieces = F.ceil(F.col("n") / SPLIT).cast("int")
-    rows = Stored(long.join(counts.read(), "node").withColumn("split", split(pieces)), "long-rows")
-    starts = rows.read().groupBy("token").agg(F.min(F.when(F.col("long") >= F.col("need"), F.col("need"))).alias("least"), F.max("n").alias("n")).where("least is not null")
-    starts = Stored(starts.select("token", "least", each(pieces)), "starts")
-    joined = Stored(rows.read().join(starts.read(), ["token", "split"]).where(F.col("long") >= F.least("need", "least")).select("token", "node", "n", "split"), "joined")
-    heads = joined.read().groupBy("token").agg(F.min("node").alias("head"), F.max("n").alias("n")).select("token", "head", each(pieces))
-    chain = joined.read().join(heads, ["token", "split"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    each_class = F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("scheme")
+    rows = long.join(counts.read(), "node").select("token", "node", "need", "n", "long", each_class).withColumn("split", split(pieces))
+    rows = Stored(rows, "long-rows")
+    starts = rows.read().groupBy("token", "scheme").agg(F.min(F.when(F.col("long") >= F.col("need"), F.col("need"))).alias("least"), F.max("n").alias("n")).where("least is not null")
+    starts = Stored(starts.select("token", "scheme", "least", each(pieces)), "starts")
+    joined = Stored(rows.read().join(starts.read(), ["token", "scheme", "split"]).where(F.col("long") >= F.least("need", "least")).select("token", "scheme", "node", "n", "split"), "joined")
+    heads = joined.read().groupBy("token", "scheme").agg(F.min("node").alias("head"), F.max("n").alias("n")).select("token", "scheme", "head", each(pieces))
+    chain = joined.read().join(heads, ["token", "scheme", "split"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     edges = Stored(counted.union(chain).distinct(), "candidates")
     release(spark, met, pairs, counts, rows, starts, joined)
     return edges
@@ -350,7 +355,7 @@ def _labelled(docs: DataFrame, s: JoinSetting) -> DataFrame:
     single = keyed.where(F.length("text") > 0).join(chosen.read().select("d", "mark"), ["d", "mark"], "left_semi").select("text")
     prefixes = Stored(single.mapInArrow(_prefixes(s, counted), TOKENS), "prefixes")
     release(spark)
-    edges = candidate_links(prefixes)
+    edges = candidate_links(prefixes, s)
     release(spark, prefixes)
     counted.unpersist()
     groups = Stored(components(edges.read()), "groups")

@@ -516,6 +516,38 @@ def test_links_of_short_texts_through_common_cells(spark):
     assert got == plain_links(docs, s)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.sampled_from([(3, 90), (5, 80), (1, 60)]), st.integers(0, 10**6))
+def test_prefixes_share_what_they_ask_for(n, setting, seed):
+    """Linked sets share as many prefix shingles as the smaller l; frequent shingles come last and lengthen a prefix."""
+    s, rng = J.JoinSetting(setting[0], setting[1], 100), np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, n).astype(np.uint64)
+    sets = []
+    for _ in range(6):
+        kept = base[rng.random(n) > 0.12 * rng.random()]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, rng.integers(0, 1 + n // 8)).astype(np.uint64)])))
+    counts = J.Frequencies()
+    counts.add(np.concatenate(sets + [base[: n // 2]] * 500))
+    sizes = np.asarray([len(x) for x in sets])
+    token, owner, need, often = J.prefix_tokens(np.concatenate(sets), sizes, s, counts)
+    mine = {i: set(token[owner == i].tolist()) for i in range(6)}
+    for i in range(6):
+        assert (np.diff(often[owner == i]) >= 0).all() and len(mine[i]) == (sizes[i] - s.needed(sizes)[i] + need[owner == i][0] if sizes[i] else 0)
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if sizes[i] and sizes[j] and s.links(int(sizes[i]), int(sizes[j]), both):
+                assert len(mine[i] & mine[j]) >= min(need[owner == i][0], need[owner == j][0])
+
+
+def test_costly_prefixes_are_longer():
+    s, values = J.JoinSetting(3, 90, 100), np.sort(np.random.default_rng(1).integers(0, 2**63, 200).astype(np.uint64))
+    rare, hot = J.Frequencies(), J.Frequencies()
+    for _ in range(1000):
+        hot.add(values)
+    short, long = (J.prefix_tokens(values, np.asarray([200]), s, f)[2][0] for f in (rare, hot))
+    assert short == 10 and long > short
+
+
 def test_links_odd_rows(odd, none):
     rows = J.linked(odd).collect()
     assert len(rows) == odd.count()
