@@ -48,7 +48,7 @@ NEED_PART = 2
 LEAST_NEED = 3
 FACTORS = (1, 2, 4, 8)
 #: Cost of comparing two nodes, in rows of a list.
-COMPARE = 8
+COMPARE = 24
 #: Counters of each of the two rows of the table of frequencies.
 COUNTERS = 1 << 20
 #: Rows of one shingle that one task joins, about.
@@ -157,6 +157,12 @@ class Frequencies:
         return np.maximum(1, np.minimum(self.counts[0][a], self.counts[1][b]) - others)
 
 
+def least_need(sizes: np.ndarray, s: JoinSetting) -> np.ndarray:
+    """The l that a set of this size picks at least; it doesn't fall with the size."""
+    needed = s.needed(sizes)
+    return np.minimum(needed, np.maximum(LEAST_NEED, (sizes - needed) // NEED_PART))
+
+
 def prefix_tokens(values: np.ndarray, sizes: np.ndarray, s: JoinSetting, frequencies: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shingles, set, l, estimated frequency) of the prefix of each set."""
     doc, often = np.repeat(np.arange(len(sizes)), sizes), frequencies.of(values)
@@ -164,8 +170,7 @@ def prefix_tokens(values: np.ndarray, sizes: np.ndarray, s: JoinSetting, frequen
     values, often = values[order], often[order]
     begin = np.cumsum(sizes) - sizes
     needed = s.needed(sizes)
-    free = sizes - needed
-    least = np.minimum(needed, np.maximum(LEAST_NEED, free // NEED_PART))
+    free, least = sizes - needed, least_need(sizes, s)
     rows = np.append(0, np.cumsum(often - 1)).astype(np.float64)
     need, best = least.copy(), np.full(len(sizes), np.inf)
     for factor in FACTORS:
@@ -219,11 +224,11 @@ def frequencies(nodes: DataFrame) -> Frequencies:
     return total
 
 
-TOKENS = "token bigint, node bigint, size int, class int, need int, splits int"
+TOKENS = "token bigint, node bigint, size int, class int, need int, low int, splits int"
 
 
 def _prefixes(s: JoinSetting, table):
-    """Prefix shingles of each text; ``splits``, the same for every row of a shingle, is the number of tasks that should share them."""
+    """Prefix shingles of each text. ``low``: the least l of any set that it may link with; ``splits``, the same for every row of a shingle, is the number of tasks that should share them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Frequencies(table.value)
@@ -236,8 +241,8 @@ def _prefixes(s: JoinSetting, table):
                 values, sizes, node = values[np.repeat(single, sizes)], sizes[single], node[single]
                 token, owner, need, often = prefix_tokens(values, sizes, s, known)
                 own = np.searchsorted(s.bounds(int(sizes.max(initial=1))), sizes, side="right") - 1
-                columns = [pa.array(token.view(np.int64)), pa.array(node[owner]), *(pa.array(x.astype(np.int32)) for x in (sizes[owner], own[owner], need)), pa.array((1 + often // SPLIT).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "size", "class", "need", "splits"])
+                columns = [pa.array(token.view(np.int64)), pa.array(node[owner]), *(pa.array(x.astype(np.int32)) for x in (sizes[owner], own[owner], need, least_need(s.needed(sizes), s)[owner])), pa.array((1 + often // SPLIT).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "size", "class", "need", "low", "splits"])
 
     return run
 
@@ -304,14 +309,14 @@ def _verify(s: JoinSetting):
 
 
 def candidate_links(prefixes: Stored, s: JoinSetting) -> Stored:
-    """(a, b): links whose components are the candidate groups, from rows (token, node, size, class, need, splits)."""
+    """(a, b): links whose components are the candidate groups, from rows (token, node, size, class, need, low, splits)."""
     spark, t = prefixes.spark, prefixes.read()
     shared = Stored(t.groupBy("token").agg(F.count("*").alias("n"), F.max("splits").alias("splits")).where("n > 1"), "shared")
     split = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("split")
     # a shingle's rows are dealt over ``splits`` tasks, to each of which its row of ``shared`` goes
     asked = shared.read().select("token", "n", each(F.col("splits")))
-    met = Stored(t.withColumn("split", split(F.col("splits"))).join(asked, ["token", "split"]).select("token", "node", "size", "class", "need", "n"), "met")
+    met = Stored(t.withColumn("split", split(F.col("splits"))).join(asked, ["token", "split"]).select("token", "node", "size", "class", "need", "low", "n"), "met")
     release(spark, shared)
     lists = met.read().where(F.col("n") <= COMMON).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "size", "need"))).alias("l"))  # COMMON rows at most
     first = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("y")).where("x.node <> y.node")
@@ -328,7 +333,8 @@ def candidate_links(prefixes: Stored, s: JoinSetting) -> Stored:
     # linked sizes share a class, or are in neighbouring ones: chains are made for each class with the next
     pieces = F.ceil(F.col("n") / SPLIT).cast("int")
     each_class = F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("scheme")
-    rows = long.join(counts.read(), "node").select("token", "node", "need", "n", "long", each_class).withColumn("split", split(pieces))
+    # the smallest set that a node links with has needed(n) shingles and picks ``low`` at least: with fewer long lists than that, a pair meets in a short one
+    rows = long.join(counts.read(), "node").where("long >= low").select("token", "node", "need", "n", "long", each_class).withColumn("split", split(pieces))
     rows = Stored(rows, "long-rows")
     starts = rows.read().groupBy("token", "scheme").agg(F.min(F.when(F.col("long") >= F.col("need"), F.col("need"))).alias("least"), F.max("n").alias("n")).where("least is not null")
     starts = Stored(starts.select("token", "scheme", "least", each(pieces)), "starts")
