@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from papyra.llm.shared import Stored, ordered_key
 
 #: Rows of a range of ids, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 50_000, 4096
+RANGE_ROWS, MOST_RANGES = 2_000, 4096
 #: Slots whose picks are gathered before they join the others of their round.
 RUN = 1024
 #: Rows up to which the table of places is broadcast (it is counted first); beyond, places are joined by merge over SALTS.
