@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.session import shared_folder
+
 
 def _steady(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's shared folder (one of our own only where none is set)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -46,19 +50,31 @@ def graph_statistics(edges: DataFrame) -> DataFrame:
     return d.withColumn("density", F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)))
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, alpha: float = 0.85, weight: str | None = None) -> DataFrame:
-    """GR-05: ``iterations`` rounds from equal ranks; what dangling nodes hold is spread over all."""
+def pagerank(edges: DataFrame, iterations: int = 10, alpha: float = 0.85, weight: str | None = None, tolerance: float | None = None) -> DataFrame:
+    """GR-05: ``iterations`` rounds from equal ranks; what dangling nodes hold is spread over all.
+
+    With a ``tolerance`` it ends once the ranks moved by less than that for a node on average, and raises if they don't within the rounds.
+    """
     e = edges.select("src", "dst", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     links = _steady(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
     ids = _steady(nodes(edges).join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")))
     n = ids.count()
-    rank = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(iterations):
-        loose = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))).first()[0] or 0.0
+    rank = ids.select("node", "dangling", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(None).cast("double").alias("before"))
+    held, moved = F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)), F.sum(F.abs(F.col("rank") - F.col("before")))
+    for at in range(iterations + (tolerance is not None)):
+        loose, change = rank.agg(held, moved).first()
+        loose = loose or 0.0
+        if tolerance is not None and (n == 0 or change is not None and change < n * tolerance):
+            break
+        if at == iterations:
+            raise RuntimeError("ranks did not settle within the rounds")
         got = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + loose / n)
-        rank = _steady(ids.join(got, "node", "left").select("node", "dangling", new.alias("rank")))
+        old = rank.select("node", F.col("rank").alias("before"))
+        next_ = ids.join(got, "node", "left")
+        next_ = next_.join(old, "node") if tolerance is not None else next_.withColumn("before", F.lit(None).cast("double"))
+        rank = _steady(next_.select("node", "dangling", new.alias("rank"), "before"))
     return rank.select("node", "rank")
 
 
@@ -78,11 +94,11 @@ def clustering(edges: DataFrame) -> DataFrame:
     return rows.withColumn("coefficient", F.when(F.col("degree") > 1, F.col("triangles") / pairs).otherwise(0.0))
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """GR-09: node, component (its smallest node). Each round, a label goes to the neighbours and then to its label's label."""
     both = _steady(undirected(edges).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y"))
     label = _steady(nodes(edges).select("node", F.col("node").alias("component")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
         new = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
         jump = new.select(F.col("node").alias("via"), F.col("component").alias("far"))
@@ -90,7 +106,6 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new.where("component <> old").limit(1).count() == 0:
             return new.select("node", "component")
         label = new.select("node", "component")
-    raise RuntimeError("components did not settle")
 
 
 def communities(edges: DataFrame, least: float = 0.0, score: str | None = None, size: int = 2) -> DataFrame:
@@ -111,17 +126,17 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def all_distances(edges: DataFrame, most: int = 50) -> DataFrame:
+def all_distances(edges: DataFrame) -> DataFrame:
     """(seed, node, hops, paths): distances and numbers of shortest paths from every node. As many rows as reachable pairs."""
     e = _steady(edges.select("src", "dst").distinct())
     seen = front = _steady(nodes(edges).select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops"), F.lit(1.0).alias("paths")))
-    for d in range(1, most + 1):
+    for d in count(1):
         step = front.select("seed", F.col("node").alias("src"), "paths").join(e, "src").groupBy("seed", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         front = _steady(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(d).alias("hops"), "paths"))
         if front.limit(1).count() == 0:
             return seen
         seen = _steady(seen.unionByName(front))
-    raise RuntimeError("the graph is deeper than the limit")
+    return seen
 
 
 def closeness(edges: DataFrame, distances: DataFrame | None = None) -> DataFrame:
@@ -152,11 +167,37 @@ def betweenness(edges: DataFrame, distances: DataFrame | None = None) -> DataFra
     return nodes(edges).join(total, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / max((n - 1) * (n - 2), 1)).alias("betweenness"))
 
 
-def strong_components(edges: DataFrame, distances: DataFrame | None = None) -> DataFrame:
-    """GR-10: node, component (smallest node that it reaches and that reaches it)."""
-    d = (distances if distances is not None else all_distances(edges)).select("seed", "node")
-    mutual = d.join(d.select(F.col("node").alias("seed"), F.col("seed").alias("node")), ["seed", "node"])
-    return mutual.groupBy("node").agg(F.min("seed").alias("component"))
+def _least_reaching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, color): the smallest node from which a node can be reached. A label goes one edge on and then to its label's label."""
+    color = _steady(ids.select("node", F.col("node").alias("color")))
+    while True:
+        got = edges.join(color.select(F.col("node").alias("src"), "color"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("m"))
+        new = color.join(got, "node", "left").select("node", F.least("color", F.coalesce("m", "color")).alias("color"), F.col("color").alias("old"))
+        jump = color.select(F.col("node").alias("via"), F.col("color").alias("far"))
+        new = _steady(new.join(jump, F.col("color") == F.col("via")).select("node", F.least("color", "far").alias("color"), "old"))
+        if new.where("color <> old").limit(1).count() == 0:
+            return new.select("node", "color")
+        color = new.select("node", "color")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """GR-10: node, component (smallest node that it reaches and that reaches it).
+
+    Nodes get the smallest node that reaches them and the smallest that they reach. Where both are one node, it names the
+    component; else edges between unlike pairs of labels go and the rest is labelled anew. Rows stay as many as nodes and edges.
+    """
+    left, done = _steady(nodes(edges)), None
+    e = _steady(edges.where("src <> dst").select("src", "dst").distinct())
+    while done is None or left.limit(1).count():
+        back = _least_reaching(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), left).withColumnRenamed("color", "back")
+        both = _steady(_least_reaching(e, left).join(back, "node"))
+        found = both.where("color = back").select("node", F.col("color").alias("component"))
+        done = found if done is None else done.unionByName(found)
+        rest = both.where("color <> back")
+        ends = [rest.select(F.col("node").alias(x), F.struct("color", "back").alias(f"of_{x}")) for x in ("src", "dst")]
+        e = _steady(e.join(ends[0], "src").join(ends[1], "dst").where("of_src = of_dst").select("src", "dst"))
+        left = rest.select("node")
+    return done
 
 
 def ego_network(edges: DataFrame, node: Column | int, depth: int = 2) -> DataFrame:

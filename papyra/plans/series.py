@@ -197,7 +197,7 @@ def citation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def influence_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.nation_edges(spark, sf_dir)
-    n = G.pagerank(e, 20).withColumnRenamed("rank", "pagerank").join(G.degrees(e).select("node", "in_degree"), "node").join(G.betweenness(e), "node")
+    n = G.pagerank(e, 100, tolerance=1e-6).withColumnRenamed("rank", "pagerank").join(G.degrees(e).select("node", "in_degree"), "node").join(G.betweenness(e), "node")
     return G.influence(n, 10).select("node", r("influence").alias("influence"))
 
 

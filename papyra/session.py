@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+#: Used only on a local master whose session names no checkpoint folder.
+LOCAL_FOLDER = "file:///tmp/checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only where driver and executors are one process."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or LOCAL_FOLDER).rstrip("/")
+
+
 def session(master: str = "local[*]", partitions: int | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive plans with skew handling; ``partitions`` is for small local runs only (AQE sizes larger ones)."""
     b = SparkSession.builder.master(master).appName("papyra")

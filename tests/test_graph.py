@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from papyra.operators import graph as G
@@ -47,6 +49,33 @@ def test_strong_components(edges):
     assert rows(G.strong_components(e), "node", "component") == [("a", "a"), ("b", "a"), ("c", "c")]
 
 
+def test_strong_components_of_random_graphs(spark):
+    rng = random.Random(5)
+    for n, m in ((30, 40), (25, 60), (70, 69)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if n < 70 else [(i, i + 1) for i in rng.sample(range(69), 69)]
+        reached = {x: {x} for x in {x for p in pairs for x in p}}
+        for _ in reached:
+            for a, b in pairs:
+                reached[a] |= reached[b]
+        want = sorted((x, min(y for y in reached[x] if x in reached[y])) for x in reached)
+        assert rows(G.strong_components(spark.createDataFrame(pairs, "src int, dst int")), "node", "component") == want
+
+
+def test_pagerank_settles(edges):
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d")]
+    ids, rank = "abcd", dict.fromkeys("abcd", 0.25)
+    while True:
+        out = {x: sum(p[0] == x for p in pairs) for x in ids}
+        new = {x: 0.15 / 4 + 0.85 * (sum(rank[a] / out[a] for a, b in pairs if b == x) + rank["d"] / 4) for x in ids}
+        change, rank = sum(abs(new[x] - rank[x]) for x in ids), new
+        if change < 4e-4:
+            break
+    got = dict(rows(G.pagerank(edges(*pairs), 100, tolerance=1e-4), "node", "rank"))
+    assert got == pytest.approx(rank, abs=1e-12)
+    with pytest.raises(RuntimeError):
+        G.pagerank(edges(*pairs), 1, tolerance=1e-9)
+
+
 def test_pagerank_sums_to_one(edges):
     ranks = [r for _, r in rows(G.pagerank(edges(("a", "b"), ("b", "c"), ("a", "c")), 30), "node", "rank")]
     assert sum(ranks) == pytest.approx(1.0) and ranks[2] == max(ranks)
