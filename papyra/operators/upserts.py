@@ -51,10 +51,9 @@ def delete_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def retain(df: DataFrame, ts: str, cutoff: Column, newest: int, order: Sequence[Column]) -> DataFrame:
-    """SNK-09: rows from the cutoff on, and the newest ones whatever their age."""
-    top = df.orderBy(*order).limit(newest).withColumn("_top", F.lit(True))
-    keep = df.where(F.col(ts) >= cutoff).withColumn("_top", F.lit(False)).unionByName(top)
-    return keep.drop("_top").distinct()
+    """SNK-09: rows from the cutoff on, and the newest ones whatever their age; repeated rows are rows of their own."""
+    recent = F.coalesce(F.col(ts) >= cutoff, F.lit(False))
+    return df.where(recent).unionByName(df.orderBy(*order).limit(newest).where(~recent))
 
 
 def fill_from(first: DataFrame, second: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

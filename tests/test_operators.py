@@ -47,6 +47,12 @@ def test_retention(spark):
     assert rows(U.retain(df, "ts", F.lit(18), 5, [F.desc("ts"), F.col("id")]), "id") == sorted([(i,) for i in range(15, 20)], key=str)
 
 
+def test_retention_keeps_repeated_rows(spark):
+    df = spark.createDataFrame([(1, 20), (1, 20), (2, 5), (2, 5), (3, 1), (4, None)], "id int, ts int")
+    assert rows(U.retain(df, "ts", F.lit(18), 4, [F.desc("ts"), F.col("id")]), "id") == [(1,), (1,), (2,), (2,)]
+    assert rows(U.retain(df, "ts", F.lit(18), 1, [F.desc("ts"), F.col("id")]), "id") == [(1,), (1,)]
+
+
 def test_fallback_takes_only_what_is_missing(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(3,), (4,)], "k int")
     assert rows(U.fill_from(a, b, 3, ["k"]), "k") == [(1,), (2,), (3,)]
