@@ -153,6 +153,35 @@ def link_citations(answer: Column, ids: Column, shown: Column) -> Column:
     return F.aggregate(pairs, answer, lambda a, p: F.replace(F.replace(F.replace(a, F.concat(F.lit("["), p["i"], F.lit("]")), p["s"]), F.concat(F.lit("("), p["i"], F.lit(")")), p["s"]), p["i"], p["s"]))
 
 
+def one_line(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, GAP, " "))
+
+
+def clean_title(c: Column) -> Column:
+    """SF-04: one line without a label before it and parentheses after it."""
+    return F.regexp_replace(F.regexp_replace(one_line(c), r"(?i)^(?:title:|paper:|article:) *", ""), r" *\([^)]*\)$", "")
+
+
+def clean_authors(c: Column) -> Column:
+    """SF-04: one line without the punctuation at its end."""
+    return F.regexp_replace(one_line(c), "[,. ]+$", "")
+
+
+def normalize_citation(c: Column) -> Column:
+    """SF-05: lower case, of signs only those of words and ``- . :``, no number at the start, one form of ``doi:``.
+
+    Signs go first, so an address keeps its words without its slashes, as it does in the results to match.
+    """
+    c = F.regexp_replace(one_line(F.lower(c)), r"[^\p{L}\p{N}_ \-.:]", " ")
+    return one_line(F.regexp_replace(F.regexp_replace(c, "^ *[0-9]+ *", ""), "doi:? *", "doi:"))
+
+
+def clean_answer(c: Column, asked: Column) -> Column:
+    """SF-11: a model's wording on one line without the quote at either end; null if that is empty or what was asked."""
+    c = F.replace(F.regexp_replace(F.trim(c, F.lit(" \t\n\r")), "^[\"']|[\"']$", ""), F.lit("\n"), F.lit(" "))
+    return F.when((c != "") & ~c.eqNullSafe(asked), c)
+
+
 def any_of(c: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in terms])
 

@@ -100,7 +100,7 @@ INTENTS = (("compare", ("compare", "difference", "versus", "vs")), ("explain", (
 TECHNICAL = ("bert", "gpt", "transformer", "cnn", "rnn", "lstm")
 
 #: Identifiers, years and venues in citations.
-DOI = r"(?i)(?:doi:?[ \t\n]*|https?://(?:dx\.)?doi\.org/)(10\.[0-9]{4,}[^ \t\n\]]+)"
+DOI = r"(?i)(?:doi:?[ \t\n]*|https?://(?:dx\.)?doi\.org/)(10\.[0-9]{4,}[^ \t\r\n\]]+)"
 ARXIV = r"(?i)arxiv:?[ \t\n]*([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?|[a-z-]+(?:\.[A-Z]{2})?/[0-9]{7}(?:v[0-9]+)?)"
 YEAR = r"\b(19[5-9][0-9]|20[0-3][0-9])\b"
 VENUES = (r"(?i)\b(ICML|NIPS|NeurIPS|ICLR|AAAI|IJCAI|CVPR|ICCV|ECCV)\b", r"(?i)\b(Nature|Science|Cell|PNAS)\b", r"(?i)\b(IEEE|ACM|Springer|Elsevier)\b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,14 @@ IN_TEXT = {
 }
 
 
+#: What tells a line that is no title and a part that is no author, what stands between authors, and a line of names.
+NOT_TITLES = ("arxiv:", "preprint", "submitted", "conference")
+NOT_AUTHORS = ("university", "department", "email", "@")
+BETWEEN_AUTHORS = (",", " and ", " & ", ";")
+NAMES = r"[\p{L}\p{N}_](?:[ \t]+|[.,][ \t]*)[\p{L}\p{N}_]|&[ \t]+[\p{L}\p{N}_]"
+BLANKS = " \t\n\r"
+
+
 def reference_section(text: Column) -> Column:
     """IR-25: what follows a header line References or Bibliography, to an appendix or the end; the whole text without one."""
     found = F.regexp_extract(text, r"(?is)(?:^|\n)[ \t]*" + REFERENCE_HEADERS + r"[ \t]*\n(.*?)(?:\n[ \t]*(?:appendix|acknowledge?ments?)|$)", 1)
@@ -99,3 +108,31 @@ def sections(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 def abstract(text: Column) -> Column:
     """SF-29."""
     return T.none_if_empty(F.trim(F.regexp_extract(text, r"(?is)abstract[:. \n]+(.*?)(?:\n[ \t]*\n|\n[ \t]*(?:1\.? )?introduction|$)", 1)))
+
+
+def head_lines(text: Column) -> Column:
+    """Of the first ten lines of a page, those that are not blank and no banner."""
+    lines = F.slice(F.split(F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), "\n"), 1, 10)
+    return F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(BLANKS))), lambda x: (x != "") & ~T.any_of(F.lower(x), NOT_TITLES))
+
+
+def page_title(lines: Column) -> Column:
+    """IR-24: the first line of 11 to 199 characters; null without one."""
+    return F.get(F.filter(lines, lambda x: F.length(x).between(11, 199)), F.lit(0))
+
+
+def page_authors(lines: Column) -> Column:
+    """IR-24, SF-27: names (ten at most) of the first line after the title that looks like names; null without one."""
+    after = F.slice(lines, (F.array_position(lines, page_title(lines)) + 1).cast("int"), F.lit(10))
+    line = F.get(F.filter(after, lambda x: x.rlike(NAMES)), F.lit(0))
+    parts = reduce(lambda a, mark: F.flatten(F.transform(a, lambda x: F.transform(F.split(x, mark), lambda y: F.trim(y)))), BETWEEN_AUTHORS, F.array(line))
+    names = F.slice(F.filter(parts, lambda x: F.length(x).between(3, 99) & ~T.any_of(F.lower(x), NOT_AUTHORS)), 1, 10)
+    return F.when(line.isNotNull(), names)
+
+
+def references(text: Column) -> Column:
+    """SF-29: what follows References up to an appendix, else to the end, else what follows Bibliography; the first of over 100 characters, else null."""
+    after = r"[ \t\n\r]*[:\-]?[ \t\n\r]*"
+    tried = (rf"references{after}(.*?)\n[ \t\n\r]*(?:appendix|acknowledgment)", rf"references{after}(.*)", rf"bibliography{after}(.*)")
+    found = [F.trim(F.regexp_extract(text, f"(?is){x}", 1), F.lit(BLANKS)) for x in tried]
+    return F.coalesce(*[F.when(F.length(x) > 100, x) for x in found])

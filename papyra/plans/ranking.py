@@ -317,45 +317,64 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sections(tables.read(spark, sf_dir, "documents"), "doc_id").drop("level")
 
 
-PAPERS = [
-    ("paper1", "Machine Learning for Citation Analysis", "Smith, J.; Jones, A.", 2023, "10.1000/123", None, "ICML"),
-    ("paper2", "Deep Learning Networks", "Brown, B.; Davis, C.", 2022, None, "2201.12345", "NeurIPS"),
-    ("paper3", "Graph Neural Networks", "Wilson, D.; Taylor, E.", 2021, "10.1000/456", "2101.67890", "ICLR"),
-    ("paper4", "Attention Mechanisms in AI", "Garcia, F.; Lee, G.", 2020, "10.1000/789", None, "AAAI"),
-    ("paper5", "Natural Language Processing", "Johnson, H.; Kim, I.", 2019, None, None, "ACL"),
-]
-CITED = [
-    (1, "Something Else", None, 2023, "10.1000/123", None, None), (2, "Deep Nets", None, None, None, "2201.12345", None), (3, "The Graph Neural Network", None, 2021, None, None, None),
-    (4, "Unknown Work", "Garcia, F.; Lee, G.", 2020, None, None, None), (5, "Natural Language Processes", "Johnson, H.", 2018, None, None, "ACL"), (6, "Nothing Like It", "Nobody, N.", 1990, None, None, None),
-]
-FIELDS = "title string, authors string, year int, doi string, arxiv_id string, venue string"
-
-
-# JN-07..11, SF-17..22 on a literal table; the fuzzy stages are tested by hand values
+CITED_SQL = """b AS (SELECT item_id AS i, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+p AS (SELECT i, 'p' || i AS paper_id, array_to_string(w[1:8], ' ') AS title, w[9] || ', a.; ' || w[10] || ', b.' AS authors, CAST(1990 + i % 30 AS INT) AS year,
+  CASE WHEN i % 3 = 0 THEN '10.1000/' || i END AS doi, CASE WHEN i % 3 = 1 THEN '2301.' || lpad(CAST(i AS VARCHAR), 5, '0') END AS arxiv_id, w[11] AS venue FROM b),
+c AS (SELECT i AS citation_id, CASE i % 5 WHEN 1 THEN substr(title, 2) WHEN 3 THEN regexp_replace(title, '^[a-z0-9]+ ', '') END AS title, CASE WHEN i % 5 IN (0, 4) THEN upper(doi) END AS doi, CASE WHEN i % 5 IN (0, 4) THEN arxiv_id END AS arxiv_id FROM p)"""
+
+
+def cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Citations and papers made of every benchmark item: a paper, and a citation by identifier, by a title with a slip, by authors and year, or by what is left."""
+    b = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    i, word = F.col("i"), lambda k: F.get("w", F.lit(k))
+    p = b.select(
+        "i", F.concat(F.lit("p"), i.cast("string")).alias("paper_id"), F.array_join(F.slice("w", 1, 8), " ").alias("title"), F.concat(word(8), F.lit(", a.; "), word(9), F.lit(", b.")).alias("authors"),
+        (1990 + i % 30).cast("int").alias("year"), F.when(i % 3 == 0, F.concat(F.lit("10.1000/"), i.cast("string"))).alias("doi"),
+        F.when(i % 3 == 1, F.concat(F.lit("2301."), F.lpad(i.cast("string"), 5, "0"))).alias("arxiv_id"), word(10).alias("venue"),
+    )
+    k = i % 5
+    c = p.select(
+        i.alias("citation_id"), F.when(k == 1, F.substr("title", F.lit(2))).when(k == 3, F.regexp_replace("title", "^[a-z0-9]+ ", "")).alias("title"), F.when(k.isin(2, 3), F.col("authors")).alias("authors"),
+        F.when(k == 2, F.col("year")).when(k == 3, F.col("year") + 1).alias("year"), F.when(k.isin(0, 4), F.upper("doi")).alias("doi"), F.when(k.isin(0, 4), F.col("arxiv_id")).alias("arxiv_id"), F.when(k == 3, F.col("venue")).alias("venue"),
+    )
+    return c, p.drop("i")
+
+
+# JN-07..11, SF-17..22; single stages have SQL below, the others hand values
 @query()
 def cascade_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.resolve(rows(spark, CITED, f"citation_id int, {FIELDS}"), rows(spark, PAPERS, f"paper_id string, {FIELDS}")).withColumn("confidence", r("confidence"))
+    return Z.resolve(*cited(spark, sf_dir)).withColumn("confidence", r("confidence"))
 
 
 # JN-07
-@query(f"""WITH {values('c', CITED, 'citation_id, title, authors, year, doi, arxiv_id, venue')}, {values('p', PAPERS, 'paper_id, title, authors, year, doi, arxiv_id, venue')}
+@query(f"""WITH {CITED_SQL}
 SELECT citation_id, paper_id, 'doi' AS match_type, 0.95::DOUBLE AS confidence FROM c JOIN p ON lower(c.doi) = lower(p.doi) UNION ALL SELECT citation_id, paper_id, 'arxiv', 0.95::DOUBLE FROM c JOIN p ON lower(c.arxiv_id) = lower(p.arxiv_id)""")
 def exact_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Z.resolve(rows(spark, CITED, f"citation_id int, {FIELDS}"), rows(spark, PAPERS, f"paper_id string, {FIELDS}"))
-    return found.where("match_type in ('doi', 'arxiv')").drop("alternatives")
+    return Z.resolve(*cited(spark, sf_dir)).where("match_type in ('doi', 'arxiv')").drop("alternatives")
+
+
+# JN-08, SF-01, SF-17 in its form of built-ins: every pair of titles in SQL
+@query(f"""WITH {CITED_SQL}, ct AS (SELECT citation_id, regexp_replace(trim(title), '^(the|a|an) ', '') AS t FROM c WHERE title IS NOT NULL), pt AS (SELECT paper_id, regexp_replace(title, '^(the|a|an) ', '') AS u FROM p WHERE title IS NOT NULL),
+x AS (SELECT citation_id, paper_id, t, u, array_to_string(list_sort(string_split(t, ' ')), ' ') AS st, array_to_string(list_sort(string_split(u, ' ')), ' ') AS su, greatest(length(t), length(u)) AS n FROM ct, pt WHERE length(t) >= 10),
+s AS (SELECT *, 0.5 * (1 - levenshtein(t, u) / n) + 0.5 * (1 - levenshtein(st, su) / n) AS s FROM x),
+k AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY round(0.9 * s, 9) DESC, paper_id) AS k, count(*) OVER (PARTITION BY citation_id) - 1 AS others FROM s WHERE s > 0.8)
+SELECT citation_id, paper_id, round(0.9 * s, 6) AS confidence, CAST(others AS INT) AS others FROM k WHERE k = 1""")
+def title_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Z.resolve(*cited(spark, sf_dir)).where("match_type = 'title'")
+    return found.select("citation_id", "paper_id", r("confidence").alias("confidence"), F.size("alternatives").alias("others"))
 
 
 # JN-12, JN-23
 @query()
 def best_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, p = rows(spark, CITED, f"citation_id int, {FIELDS}"), rows(spark, PAPERS, f"paper_id string, {FIELDS}")
+    c, p = cited(spark, sf_dir)
     return Z.best_of_all(c, p).withColumn("how", F.lit("best")).unionByName(Z.simple(c, p).withColumn("how", F.lit("simple"))).withColumn("confidence", r("confidence"))
 
 
 # AG-14
 @query()
 def resolution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, p = rows(spark, CITED, f"citation_id int, {FIELDS}"), rows(spark, PAPERS, f"paper_id string, {FIELDS}")
+    c, p = cited(spark, sf_dir)
     return Z.resolution_statistics(c, Z.resolve(c, p)).withColumn("avg_confidence", r("avg_confidence"))
 
 

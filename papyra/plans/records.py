@@ -20,6 +20,7 @@ from papyra.operators import upserts as U
 from papyra.operators import windows as W
 from papyra.plans import series  # noqa: F401  its SQL is used again
 from papyra.plans.registry import SQL, query, r, rows, values
+from papyra.session import shared_folder
 from papyra.sources import feeds, sinks
 from papyra.streaming import operators as M
 
@@ -185,6 +186,31 @@ def author_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, AUTHORS, "id int, a string").select("id", F.array_join(T.author_names(F.col("a")), ";").alias("names"))
 
 
+# SF-04, SF-05: the first line as a title and as a name list, the text as a citation
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '[ \\t\\n\\r]+', ' ', 'g')) AS line, regexp_replace(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')), '[^\\p{L}\\p{N}_ \\-.:]', ' ', 'g') AS low FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(line, '^(?:title:|paper:|article:) *', '', 'i'), ' *\\([^)]*\\)$', '') AS title, regexp_replace(line, '[,. ]+$', '') AS authors,
+md5(trim(regexp_replace(regexp_replace(regexp_replace(low, '^ *[0-9]+ *', ''), 'doi:? *', 'doi:', 'g'), ' +', ' ', 'g'))) AS citation_md5 FROM d""")
+def cleaned_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", T.clean_title(line).alias("title"), T.clean_authors(line).alias("authors"), F.md5(T.normalize_citation(F.col("text"))).alias("citation_md5"))
+
+
+HEAD_WS = "' ' || chr(9) || chr(10) || chr(13)"
+AUTHOR_PARTS = "[line]"
+for _mark in (",", " and ", " & ", ";"):
+    AUTHOR_PARTS = f"flatten(list_transform({AUTHOR_PARTS}, lambda p: list_transform(string_split(p, '{_mark}'), lambda y: trim(y))))"
+
+
+# IR-24, SF-29, SF-27
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(trim(coalesce(text, ''), {HEAD_WS}), chr(10))[1:10], lambda x: trim(x, {HEAD_WS})), lambda x: x <> '' AND NOT regexp_matches(lower(x), 'arxiv:|preprint|submitted|conference')) AS l FROM documents),
+t AS (SELECT doc_id, l, list_filter(l, lambda x: length(x) BETWEEN 11 AND 199)[1] AS title FROM l),
+a AS (SELECT doc_id, title, CASE WHEN title IS NOT NULL THEN list_filter(l[list_position(l, title) + 1:], lambda x: regexp_matches(x, '{X.NAMES}'))[1] END AS line FROM t)
+SELECT doc_id, title, CASE WHEN line IS NOT NULL THEN array_to_string(list_filter({AUTHOR_PARTS}, lambda x: length(x) BETWEEN 3 AND 99 AND NOT regexp_matches(lower(x), 'university|department|email|@'))[1:10], ';') END AS authors FROM a""")
+def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = X.head_lines(F.col("text"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", X.page_title(lines).alias("title"), F.array_join(X.page_authors(lines), ";").alias("authors"))
+
+
 # IR-36
 NUMBERED = [("d", "[1] First entry here\n[2] Second one [3] Third")]
 
@@ -217,8 +243,7 @@ def distinct_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,14 @@ def ddl(df: DataFrame, table: str) -> str:
 def copy_table(spark: SparkSession, source: str, target: str) -> None:
     """SNK-22: backup and restore."""
     spark.read.parquet(source).write.mode("overwrite").parquet(target)
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """SNK-03: entries of one run are added; what is there is never rewritten."""
+    entries.write.mode("append").parquet(path)
+
+
+def export_stages(path: str, **stages: DataFrame) -> None:
+    """SNK-21: each stage's rows as JSON lines under its name."""
+    for name, df in stages.items():
+        write_json(df, f"{path}/{name}")

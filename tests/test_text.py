@@ -12,7 +12,20 @@ from papyra.functions import text as T
 from papyra.operators import citations as X
 from papyra.operators import resolution as Z
 from papyra.operators import retrieval as R
-from papyra.plans.ranking import CITED, FIELDS, PAPERS, TEXTS
+from papyra.plans.ranking import TEXTS
+
+FIELDS = "title string, authors string, year int, doi string, arxiv_id string, venue string"
+PAPERS = [
+    ("w1", "Tidal Flats and Their Birds", "Okafor, P.; Lind, S.", 2011, "10.5555/tides", None, "Coast Letters"),
+    ("w2", "Slow Rivers", "Moreau, C.; Iyer, T.", 2014, None, "1402.00017", "Hydrology"),
+    ("w3", "Maps of Forgotten Harbours", "Quist, R.; Abe, N.", 2009, "10.5555/maps", None, "Atlas"),
+    ("w4", "Salt in Old Timber", "Novak, J.; Reyes, L.", 2016, None, None, "Timber"),
+    ("w5", "Lighthouse Keeping Practice", "Berg, H.; Sato, K.", 2018, None, None, "Signals"),
+]
+CITED = [
+    (1, "Another Title", None, 2011, "10.5555/TIDES", None, None), (2, "Rivers", None, None, None, "1402.00017", None), (3, "The Maps of Forgotten Harbour", None, 2009, None, None, None),
+    (4, "Unknown", "Novak, J.; Reyes, L.", 2016, None, None, None), (5, "Lighthouse Keeping Practices", "Berg, H.", 2017, None, None, "Signals"), (6, "Not There", "Nobody, N.", 1980, None, None, None),
+]
 
 
 def one(spark, value, f, kind="string"):
@@ -55,13 +68,13 @@ def test_entries_and_fields(spark):
 
 def test_resolution_takes_the_first_stage_that_finds(spark):
     found = {r.citation_id: (r.paper_id, r.match_type) for r in Z.resolve(spark.createDataFrame(CITED, f"citation_id int, {FIELDS}"), spark.createDataFrame(PAPERS, f"paper_id string, {FIELDS}")).collect()}
-    assert found[1] == ("paper1", "doi") and found[2] == ("paper2", "arxiv") and found[3] == ("paper3", "title") and found[4] == ("paper4", "author_year")
-    assert found[5][0] == "paper5" and 6 not in found
+    assert found[1] == ("w1", "doi") and found[2] == ("w2", "arxiv") and found[3] == ("w3", "title") and found[4] == ("w4", "author_year")
+    assert found[5][0] == "w5" and 6 not in found
 
 
 def test_exact_sequence_ratio(spark):
     c, p = spark.createDataFrame(CITED[2:3], f"citation_id int, {FIELDS}"), spark.createDataFrame(PAPERS, f"paper_id string, {FIELDS}")
-    assert Z.resolve(c, p, exact=True).first().paper_id == "paper3"
+    assert Z.resolve(c, p, exact=True).first().paper_id == "w3"
 
 
 @pytest.mark.parametrize("exact", [False, True])
@@ -104,3 +117,37 @@ def test_backoff_is_bounded(spark):
 
 def test_section_without_headers_is_one(spark):
     assert [r.title for r in X.sections(spark.createDataFrame([(1, "plain line.\nmore text here.")], "id int, text string"), "id").collect()] == ["Full Document"]
+
+
+def test_a_doi_ends_with_its_line(spark):
+    assert one(spark, "doi:10.1000/abc\r\nnext", T.doi) == "10.1000/abc"
+
+
+def test_cleaned_titles_and_authors(spark):
+    assert one(spark, "Title:  Slow\n Rivers (draft)", T.clean_title) == "Slow Rivers"
+    assert one(spark, " Lind, S.,  Iyer, T. , ", T.clean_authors) == "Lind, S., Iyer, T"
+
+
+@pytest.mark.parametrize(("text", "want"), [("[12] Lind, S. (2011). DOI 10.5/x", "lind s. 2011 . doi:10.5 x"), ("See https://a.org/b", "see https: a.org b"), ("", ""), (None, None)])
+def test_normal_form_of_citations(spark, text, want):
+    assert one(spark, text, T.normalize_citation) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [(' "deep\nlearning" ', "deep learning"), ("asked", None), ("''", None), (None, None)])
+def test_cleaned_answers(spark, text, want):
+    assert one(spark, text, lambda c: T.clean_answer(c, F.lit("asked"))) == want
+
+
+def test_head_of_a_page(spark):
+    page = "\n  arXiv:1402.00017 preprint\n\nShort\nSlow Rivers of the North\n---\nC. Moreau, T. Iyer and K. Sato, University of Tides & Q\nAbstract"
+    assert one(spark, page, lambda c: X.page_title(X.head_lines(c))) == "Slow Rivers of the North"
+    assert one(spark, page, lambda c: X.page_authors(X.head_lines(c))) == ["C. Moreau", "T. Iyer", "K. Sato"]
+    for empty in ("", None, "Short"):
+        assert one(spark, empty, lambda c: X.page_title(X.head_lines(c))) is None and one(spark, empty, lambda c: X.page_authors(X.head_lines(c))) is None
+
+
+def test_references_to_the_appendix_or_the_end(spark):
+    body = "Lind, S. Tidal flats. " * 6
+    assert one(spark, f"Text\nReferences:\n{body}\nAppendix A", X.references) == body.strip()
+    assert one(spark, f"Text\nBibliography\n{body}", X.references) == body.strip()
+    assert one(spark, "References\nshort", X.references) is None
