@@ -91,3 +91,11 @@ def test_csv_and_json_writes(spark, tmp_path):
 def _parquet(df, path):
     df.write.parquet(str(path))
     return path
+
+
+def test_logs_grow_and_stages_are_exported(spark, tmp_path):
+    for i in range(2):
+        sinks.append_log(spark.createDataFrame([(f"q{i}", i)], "query string, found int"), f"{tmp_path}/log")
+    assert sorted(r.query for r in spark.read.parquet(f"{tmp_path}/log").collect()) == ["q0", "q1"]
+    sinks.export_stages(str(tmp_path), chunks=spark.createDataFrame([(1, None)], "id int, text string"))
+    assert [r.id for r in spark.read.json(f"{tmp_path}/chunks").collect()] == [1]
