@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import audio_features, bin_slack, chat_parts, co_training, norm_topk, pfair, prefix_join, seed_extend, token_planes, url_vocabulary
+from papyra.llm import audio_features, bin_slack, chat_parts, co_training, elkan, norm_topk, pfair, prefix_join, seed_extend, token_planes, url_vocabulary
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -84,6 +84,10 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.digest(elkan.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def pfair_sql() -> str:
     """Blocks with release and deadline from the fluid mix of all sources, then one slot after another to the earliest deadline."""
     cases = " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in WEIGHTS.items())
@@ -140,7 +144,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op1_token_planes, op2_audio_features, op3_co_training, op4_bin_slack, op5_pfair, op6_norm_topk, op7_url_vocabulary, op8_seed_extend, op9_prefix_join, op10_chat_parts)
+    ours = (op1_token_planes, op2_audio_features, op3_co_training, op4_bin_slack, op5_pfair, op6_norm_topk, op7_url_vocabulary, op8_seed_extend, op9_prefix_join, op10_chat_parts, op11_elkan)
     return {f.__name__: f for f in ours}
 
 
@@ -152,4 +156,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_seed_extend": REPEATS_SQL,
         "op9_prefix_join": LINKS_SQL,
         "op10_chat_parts": CHAT_SQL,
+        "op11_elkan": elkan.oracle_sql(),
     }
