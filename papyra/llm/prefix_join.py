@@ -346,26 +346,14 @@ def candidate_links(prefixes: Stored, s: JoinSetting) -> Stored:
     return edges
 
 
-def _labelled(docs: DataFrame, s: JoinSetting) -> DataFrame:
-    """doc_id, d (its key), mark (hash of the text), n_shingles, root and first (smallest key of the component) of every row; no root: no links."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = plain(docs, ("doc_id", "text")).withColumn("mark", F.xxhash64("text"))
-    nodes = Stored(texts.mapInArrow(_nodes(s), NODES), "nodes")
-    table = nodes.read().where("n_shingles is not null").drop("counts")
-    known = table.where("node is not null").withColumn("d", ordered_key("doc_id"))
-    # one row of each set goes on
-    chosen = Stored(known.groupBy("node").agg(F.min(F.struct("d", "mark")).alias("r")).select("r.d", "r.mark", "node"), "chosen")
-    keyed = texts.withColumn("d", ordered_key("doc_id"))
-    counted = spark.sparkContext.broadcast(frequencies(nodes.read()).counts)  # two rows of COUNTERS numbers
-    single = keyed.where(F.length("text") > 0).join(chosen.read().select("d", "mark"), ["d", "mark"], "left_semi").select("text")
-    prefixes = Stored(single.mapInArrow(_prefixes(s, counted), TOKENS), "prefixes")
+def linked_sets(keyed: DataFrame, chosen: Stored, edges: DataFrame, s: JoinSetting) -> Stored:
+    """(node, root): components of the links among nodes that candidate links ``edges`` (a, b) join into groups; a group is compared whole.
+
+    ``keyed`` has texts by (d, mark), ``chosen`` the row of each node.
+    """
+    spark = keyed.sparkSession
+    groups = Stored(components(edges), "groups")
     release(spark)
-    edges = candidate_links(prefixes, s)
-    release(spark, prefixes)
-    counted.unpersist()
-    groups = Stored(components(edges.read()), "groups")
-    release(spark, edges)
 
     large = Stored(groups.read().groupBy("root").agg(F.count("*").alias("group_nodes")).where(F.col("group_nodes") > BLOCK), "large-groups")  # nodes / BLOCK at most
     wanted = chosen.read().join(groups.read().join(large.read(), "root", "left"), "node")
@@ -388,17 +376,43 @@ def _labelled(docs: DataFrame, s: JoinSetting) -> DataFrame:
     release(spark, sets)
     roots = Stored(components(links.read()), "roots")
     release(spark, links)
+    return roots
 
-    labels = chosen.read().join(roots.read(), "node", "left").select("node", "d", F.coalesce("root", "node").alias("root"))
-    firsts = labels.groupBy("root").agg(F.min("d").alias("first"), F.count("*").alias("n"))
-    labels = Stored(join_with_hubs(labels, firsts, "root", "n").select("node", "root", "first"), "labels")
+
+def labels(table: DataFrame, known: DataFrame, chosen: Stored, roots: Stored) -> DataFrame:
+    """doc_id, d (its key), mark (hash of the text), n_shingles, root and first (smallest key of the component) of every row; no root: no links."""
+    spark = table.sparkSession
+    named = chosen.read().join(roots.read(), "node", "left").select("node", "d", F.coalesce("root", "node").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("d").alias("first"), F.count("*").alias("n"))
+    named = Stored(join_with_hubs(named, firsts, "root", "n").select("node", "root", "first"), "labels")
     release(spark, chosen, roots)
-    grouped = known.join(labels.read(), "node").select("doc_id", "d", "mark", "n_shingles", "root", "first")
+    grouped = known.join(named.read(), "node").select("doc_id", "d", "mark", "n_shingles", "root", "first")
     key = ordered_key("doc_id")
     alone = table.where("node is null").select("doc_id", key.alias("d"), "mark", "n_shingles", F.lit(None).cast("bigint").alias("root"), key.alias("first"))
     return grouped.union(alone)
 
 
+def _labelled(docs: DataFrame, s: JoinSetting) -> DataFrame:
+    """The rows of ``labels``, from prefixes."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = plain(docs, ("doc_id", "text")).withColumn("mark", F.xxhash64("text"))
+    nodes = Stored(texts.mapInArrow(_nodes(s), NODES), "nodes")
+    table = nodes.read().where("n_shingles is not null").drop("counts")
+    known = table.where("node is not null").withColumn("d", ordered_key("doc_id"))
+    # one row of each set goes on
+    chosen = Stored(known.groupBy("node").agg(F.min(F.struct("d", "mark")).alias("r")).select("r.d", "r.mark", "node"), "chosen")
+    keyed = texts.withColumn("d", ordered_key("doc_id"))
+    counted = spark.sparkContext.broadcast(frequencies(nodes.read()).counts)  # two rows of COUNTERS numbers
+    single = keyed.where(F.length("text") > 0).join(chosen.read().select("d", "mark"), ["d", "mark"], "left_semi").select("text")
+    prefixes = Stored(single.mapInArrow(_prefixes(s, counted), TOKENS), "prefixes")
+    release(spark)
+    edges = candidate_links(prefixes, s)
+    release(spark, prefixes)
+    counted.unpersist()
+    return labels(table, known, chosen, linked_sets(keyed, chosen, edges.read(), s))
+
+
 def linked(docs: DataFrame, s: JoinSetting = JoinSetting()) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row."""
     return _labelled(docs, s).select("doc_id", "n_shingles", F.when(F.col("first") > -(1 << 63), F.col("first")).alias("component_id"))

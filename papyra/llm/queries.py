@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import audio_features, bin_slack, chat_parts, co_training, elkan, norm_topk, pfair, prefix_join, seed_extend, token_planes, url_vocabulary
+from papyra.llm import audio_features, bin_slack, chat_parts, co_training, elkan, lsh_forest, norm_topk, pfair, prefix_join, seed_extend, token_planes, url_vocabulary
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -88,6 +88,10 @@ def op11_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.digest(elkan.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pfair_sql() -> str:
     """Blocks with release and deadline from the fluid mix of all sources, then one slot after another to the earliest deadline."""
     cases = " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in WEIGHTS.items())
@@ -123,16 +127,19 @@ u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
 k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.pos) AS kept FROM u ANTI JOIN r ON u.doc_id = r.doc_id AND u.pos = r.gone GROUP BY u.doc_id)
 SELECT a.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM a LEFT JOIN k USING (doc_id)"""
 
-LINKS_SQL = f"""
+def links_sql(words: int, percent: int) -> str:
+    """Components of the documents whose shingle sets are alike, every pair that shares a shingle counted."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BLANKS}') AS words FROM documents),
-s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[pos:pos + 2], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS pos FROM w WHERE len(words) > 0)),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[pos:pos + {words - 1}], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {words - 2}, 2))) AS pos FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)"""
 
+
 CHAT_SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)),
@@ -144,7 +151,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op1_token_planes, op2_audio_features, op3_co_training, op4_bin_slack, op5_pfair, op6_norm_topk, op7_url_vocabulary, op8_seed_extend, op9_prefix_join, op10_chat_parts, op11_elkan)
+    ours = (op1_token_planes, op2_audio_features, op3_co_training, op4_bin_slack, op5_pfair, op6_norm_topk, op7_url_vocabulary, op8_seed_extend, op9_prefix_join, op10_chat_parts, op11_elkan, op13_lsh_forest)
     return {f.__name__: f for f in ours}
 
 
@@ -154,7 +161,8 @@ def oracle_sql() -> dict[str, str]:
         "op6_norm_topk": norm_topk.oracle_sql(),
         "op7_url_vocabulary": url_vocabulary.oracle_sql(),
         "op8_seed_extend": REPEATS_SQL,
-        "op9_prefix_join": LINKS_SQL,
+        "op9_prefix_join": links_sql(3, 90),
         "op10_chat_parts": CHAT_SQL,
         "op11_elkan": elkan.oracle_sql(),
+        "op13_lsh_forest": f"SELECT *, doc_id = component_id AS kept FROM ({links_sql(4, 80)})",
     }
