@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import audio_features, bin_slack, chat_parts, co_training, elkan, lsh_forest, norm_topk, pfair, prefix_join, seed_extend, token_planes, url_vocabulary
+from papyra.llm import audio_features, bin_slack, chat_parts, co_training, elkan, lsh_forest, norm_topk, pfair, phrase_lists, prefix_join, seed_extend, token_planes, url_vocabulary
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -88,6 +88,10 @@ def op11_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.digest(elkan.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op12_phrase_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_lists.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -151,7 +155,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op1_token_planes, op2_audio_features, op3_co_training, op4_bin_slack, op5_pfair, op6_norm_topk, op7_url_vocabulary, op8_seed_extend, op9_prefix_join, op10_chat_parts, op11_elkan, op13_lsh_forest)
+    ours = (op1_token_planes, op2_audio_features, op3_co_training, op4_bin_slack, op5_pfair, op6_norm_topk, op7_url_vocabulary, op8_seed_extend, op9_prefix_join, op10_chat_parts, op11_elkan, op12_phrase_lists, op13_lsh_forest)
     return {f.__name__: f for f in ours}
 
 
@@ -164,5 +168,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_prefix_join": links_sql(3, 90),
         "op10_chat_parts": CHAT_SQL,
         "op11_elkan": elkan.oracle_sql(),
+        "op12_phrase_lists": phrase_lists.oracle_sql(),
         "op13_lsh_forest": f"SELECT *, doc_id = component_id AS kept FROM ({links_sql(4, 80)})",
     }

@@ -1,6 +1,6 @@
 """Hashes of words and of runs of words over many texts at once: a fixed number of array passes, no step for each word.
 
-Words are the runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
+Unless other blanks are given, words are the runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a buffer of texts: ``starts`` and ``ends`` in bytes, ``doc`` (text of each word), ``first`` (word at which a text begins), ``count``."""
+    """Words of a buffer of texts, cut at the bytes that ``blank`` marks: ``starts`` and ``ends`` in bytes, ``doc`` (text of each word), ``first`` (word at which a text begins), ``count``."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        word = ~BLANK[raw]
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK):
+        word = ~blank[raw]
         left, right = word.copy(), word.copy()
         inner = offsets[1:-1]
         inner = inner[(inner > 0) & (inner < len(raw))]
