@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Used only on a local master whose session names no checkpoint folder.
@@ -32,3 +34,20 @@ def session(master: str = "local[*]", partitions: int | None = None, **conf: str
     for k, v in {**settings, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, *folders: str) -> DataFrame:
+    """The rows as a checkpoint, so that the folders they were read from can go; these are removed."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    rows = df.checkpoint()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return rows
