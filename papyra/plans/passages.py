@@ -1,4 +1,4 @@
-"""Queries over passages of documents: chunks by meaning, summaries in levels."""
+"""Queries over passages of documents: chunks by meaning, summaries in levels, ranked full text."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra import tables
+from papyra.functions import text as T
+from papyra.functions.stems import stem_sql
 from papyra.operators import chunking as C
 from papyra.operators import citations as X
 from papyra.operators import summaries as M
-from papyra.plans.ranking import section_split
+from papyra.operators.fulltext import TextIndex
+from papyra.plans.ranking import K, rounded, section_split
 from papyra.plans.registry import SQL, query
+from papyra.session import fresh_folder, kept
 
 WORDS = 40
 
@@ -46,3 +50,25 @@ def map_reduce_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, {", ".join(f"coalesce(min_by(substr(content, 1, 500) || '...', section) FILTER (WHERE {' OR '.join(f"contains(t, '{x}')" for x in terms)}), '') AS {name}" for name, terms in M.PARTS.items())} FROM n GROUP BY doc_id""")
 def summary_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.components(section_split(spark, sf_dir))
+
+
+ASKED = 2
+STEMMED = f"""words_ AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)),
+st AS (SELECT * FROM ({stem_sql("word")}) WHERE word NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+tf AS (SELECT doc_id, len_ AS words, stem, count(*) AS tf FROM (SELECT doc_id, len(w) AS len_, unnest(w) AS word FROM dw) JOIN st USING (word) GROUP BY ALL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, stem FROM (SELECT item_id, unnest(list_filter(w, lambda x: length(x) > 3)[1:{ASKED}]) AS word FROM b) JOIN st USING (word)),
+n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+s AS (SELECT query_id, doc_id AS id, sum(tf / (1 + ln(words))) AS score, count(*) AS held FROM q JOIN tf USING (stem) GROUP BY 1, 2),
+t AS (SELECT s.query_id, id, score, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY round(score, 9) DESC, id) AS INT) AS rank FROM s JOIN n ON n.query_id = s.query_id AND held = n)"""
+
+
+# FLT-06, TK-04: questions are the first words of every benchmark item
+@query(f"WITH {STEMMED} SELECT query_id, rank, id, round(score, 6) AS score FROM t WHERE rank <= {K}")
+def fulltext_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "fulltext")
+    index = TextIndex.build(tables.read(spark, sf_dir, "documents"), path)
+    long = F.filter(T.words(F.col("text")), lambda w: F.length(w) > 3)
+    asked = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(long, 1, ASKED), " ").alias("query"))
+    return kept(rounded(index.search(asked, K)), path)
