@@ -1,7 +1,7 @@
 """Resolving citations against papers: a cascade of joins (JN-07..12, JN-23, SF-17..22).
 
-Citations: citation_id, title, authors, year, doi, arxiv_id, venue. Papers: paper_id and the same fields. Stages by year join on
-it first and compare only what meets; titles are compared where their characters and pairs of letters leave it possible.
+Citations: citation_id, title, authors, year, doi, arxiv_id, venue. Papers: paper_id and the same fields. Every stage is an equi-join
+that loses no match: titles and names meet by segments (``edits``), word sets by their rarest words, venues by their first characters.
 """
 
 from __future__ import annotations
@@ -9,21 +9,15 @@ from __future__ import annotations
 import difflib
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from papyra.functions import scores as S
 from papyra.functions import text as T
+from papyra.operators.edits import similar_strings
 
-#: Titles of a block; a task compares two blocks.
-BLOCK = 2048
-#: Buckets of characters and of pairs, and up to which count each is exact.
-CHARS, CHAR_TIMES = 48, 6
-PAIRS, PAIR_TIMES = 256, 2
 MATCH = ("citation_id", "paper_id", "match_type", "confidence", "alternatives")
 
 
@@ -33,17 +27,38 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+def _sorted_words(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+
+
 def title_similarity(a: Column, b: Column, exact: bool = False) -> Column:
     """Of normalised titles: edit ratio of the texts (or the sequence ratio) and of their sorted words."""
-    sort = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
     if exact:
-        return 0.3 * sequence_ratio(a, b) + 0.4 * T.edit_ratio(a, b) + 0.3 * T.edit_ratio(sort(a), sort(b))
-    return 0.5 * T.edit_ratio(a, b) + 0.5 * T.edit_ratio(sort(a), sort(b))
+        return 0.3 * sequence_ratio(a, b) + 0.4 * T.edit_ratio(a, b) + 0.3 * T.edit_ratio(_sorted_words(a), _sorted_words(b))
+    return 0.5 * T.edit_ratio(a, b) + 0.5 * T.edit_ratio(_sorted_words(a), _sorted_words(b))
+
+
+#: Edit ratio above which two names are one.
+ALIKE = 0.8
 
 
-def author_similarity(a: Column, b: Column, alike: float = 0.8) -> Column:
-    """SF-18: share of names with a close one on the other side, by the longer list."""
-    hits = F.size(F.filter(a, lambda x: F.exists(b, lambda y: T.edit_ratio(x, y) > alike)))
+def author_similarity(a: Column, b: Column, alike: float = ALIKE, one_to_one: bool = False) -> Column:
+    """SF-18: share of names with a close one on the other side, by the longer list.
+
+    As the results to match have it, several names may meet one; ``one_to_one`` is a fold in which a name takes the first close one still free.
+    """
+    if one_to_one:
+        close = lambda free, x: F.array_position(F.transform(free, lambda y: T.edit_ratio(x, y) > alike), True)
+        start = F.struct(b.alias("free"), F.lit(0).alias("hits"))
+
+        def take(s: Column, x: Column) -> Column:
+            rest = lambda k: F.filter(s["free"], lambda y, i: i + 1 != k)
+            found = F.transform(F.array(close(s["free"], x)), lambda k: F.struct(F.when(k > 0, rest(k)).otherwise(s["free"]).alias("free"), (s["hits"] + (k > 0).cast("int")).alias("hits")))
+            return F.element_at(found, 1)
+
+        hits = F.aggregate(a, start, take, lambda s: s["hits"])
+    else:
+        hits = F.size(F.filter(a, lambda x: F.exists(b, lambda y: T.edit_ratio(x, y) > alike)))
     return F.coalesce(F.try_divide(hits, F.greatest(F.size(a), F.size(b))), F.lit(0.0))
 
 
@@ -71,55 +86,20 @@ def by_key(c: DataFrame, p: DataFrame, key: str, confidence: float) -> DataFrame
     return _best(met.select("citation_id", "paper_id", F.lit(confidence).alias("confidence")), key)
 
 
-def _counted(doc: np.ndarray, bucket: np.ndarray, rows: int, buckets: int, times: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 0/1 row for each title (bucket counted once, twice and so on), whose products are the common counts, and what is beyond ``times``."""
-    n = np.bincount(doc * buckets + bucket, minlength=rows * buckets).reshape(rows, buckets)
-    return np.concatenate([n >= k + 1 for k in range(times)], axis=1).astype(np.float32), np.maximum(n - times, 0).sum(1)
-
-
-def title_bags(titles: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Lengths; then of characters and of pairs of neighbours within words: their number and ``_counted``."""
-    size = np.asarray([len(x) for x in titles], np.int64)
-    code = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    doc = np.repeat(np.arange(len(titles)), size)
-    inside = np.flatnonzero((doc[1:] == doc[:-1]) & (code[1:] != 32) & (code[:-1] != 32))
-    pair = (code[inside] * 31 + code[inside + 1]) % PAIRS
-    chars, pairs = _counted(doc, code % CHARS, len(size), CHARS, CHAR_TIMES), _counted(doc[inside], pair, len(size), PAIRS, PAIR_TIMES)
-    return size, [(size, *chars), (np.bincount(doc[inside], minlength=len(size)), *pairs)]
-
-
-def possible_titles(a: list[str], b: list[str], least: float, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of all pairs whose ``title_similarity`` may be above ``least``.
-
-    Both edit distances are at least the longer length less the common characters (which sorted words keep), and half of the
-    pairs of neighbours that one title has more than are common, as an edit ends two pairs within words at most. Matching
-    blocks have at most the common characters. Buckets that clash only make more common.
-    """
-    (na, (ca, pairs_a)), (nb, (cb, pairs_b)) = title_bags(a), title_bags(b)
-    common = lambda x, y: x[1] @ y[1].T + np.minimum(x[2][:, None], y[2][None, :])
-    longer = np.maximum(np.maximum(na[:, None], nb[None, :]), 1)
-    chars = common(ca, cb)
-    edits = np.maximum(longer - chars, (np.maximum(pairs_a[0][:, None], pairs_b[0][None, :]) - common(pairs_a, pairs_b)) / 2)
-    most = 1 - edits / longer
-    if exact:
-        most = 0.7 * most + 0.3 * np.minimum(1, 2 * chars / np.maximum(na[:, None] + nb[None, :], 1))
-    return np.nonzero(most > least - 1e-6)
-
-
 def title_candidates(c: DataFrame, p: DataFrame, least: float = 0.8, exact: bool = False) -> DataFrame:
-    """(citation_id, paper_id) of all titles that may be alike above ``least``: blocks against blocks, as vectors are searched."""
-    nc, np_ = (max(1, -(-x.count() // BLOCK)) for x in (c, p))
-    blocks = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = c.select("citation_id", F.col("c_title").alias("title"), blocks("citation_id", nc).alias("i")).withColumn("j", every(np_))
-    right = p.select("paper_id", F.col("p_title").alias("title"), blocks("paper_id", np_).alias("j")).withColumn("i", every(nc))
-
-    def pairs(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = possible_titles(a.column("title").to_pylist(), b.column("title").to_pylist(), least, exact)
-        return pa.table({"citation_id": a.column("citation_id").take(pa.array(x)), "paper_id": b.column("paper_id").take(pa.array(y))})
+    """(citation_id, paper_id) of all titles that may be alike above ``least``.
 
-    found = f"citation_id {dict(c.dtypes)['citation_id']}, paper_id {dict(p.dtypes)['paper_id']}"
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pairs, found).distinct()
+    A weighted mean above ``least`` needs an edit ratio above it, of the texts or of their sorted words; in exact form, where the sequence ratio may be 1,
+    an edit ratio above (least - 0.3) / 0.7. Both are found by segments, among distinct strings.
+    """
+    ratio = (least - 0.3) / 0.7 if exact else least
+    a, b = c.select("citation_id", F.col("c_title").alias("t")), p.select("paper_id", F.col("p_title").alias("t"))
+    met = []
+    for form in (F.col("t"), _sorted_words(F.col("t"))):
+        x, y = a.select("citation_id", form.alias("s")), b.select("paper_id", form.alias("s"))
+        pairs = similar_strings(x, y, ratio)
+        met.append(pairs.join(x, F.col("a") == x["s"]).drop("s").join(y, F.col("b") == y["s"]).select("citation_id", "paper_id"))
+    return met[0].union(met[1]).distinct()
 
 
 def by_title(c: DataFrame, p: DataFrame, least: float = 0.8, shortest: int = 10, exact: bool = False) -> DataFrame:
@@ -134,8 +114,15 @@ def by_title(c: DataFrame, p: DataFrame, least: float = 0.8, shortest: int = 10,
 
 
 def by_author_year(c: DataFrame, p: DataFrame, least: float = 0.7) -> DataFrame:
-    """JN-09: equal year, authors alike; 0.2 more if the titles are; confidence min(0.8 s, 0.9)."""
-    rows = c.join(p, F.col("c_year") == F.col("p_year")).withColumn("s", author_similarity(F.col("c_names"), F.col("p_names"))).where(F.col("s") > least)
+    """JN-09: equal year, authors alike; 0.2 more if the titles are; confidence min(0.8 s, 0.9).
+
+    Lists alike above ``least`` have a pair of close names, so close names, found by segments, join beside the year.
+    """
+    named = lambda df, key, names, year: df.where(F.col(year).isNotNull()).select(key, F.col(year).alias("y"), F.explode(F.array_distinct(names)).alias("s"))
+    x, y = named(c, "citation_id", "c_names", "c_year"), named(p, "paper_id", "p_names", "p_year")
+    close = similar_strings(x, y, ALIKE)
+    met = x.withColumnRenamed("s", "a").join(close, "a").join(y.withColumnRenamed("s", "b"), ["b", "y"]).select("citation_id", "paper_id").distinct()
+    rows = met.join(c, "citation_id").join(p, "paper_id").withColumn("s", author_similarity(F.col("c_names"), F.col("p_names"))).where(F.col("s") > least)
     rows = rows.withColumn("s", F.col("s") + F.when(title_similarity(F.col("c_title"), F.col("p_title")) > 0.6, 0.2).otherwise(0.0))
     return _best(rows.select("citation_id", "paper_id", F.least(0.8 * F.col("s"), F.lit(0.9)).alias("confidence")), "author_year")
 
@@ -151,10 +138,24 @@ def combined_score() -> Column:
     return S.present_weighted((title, 0.4), (names, 0.3), (year, 0.2), (venue, 0.1))
 
 
+def contained_strings(inner: DataFrame, outer: DataFrame, most: int = 3) -> DataFrame:
+    """(inner, outer): distinct strings (column ``s``) of which one contains the other; an equi-join on the inner one's first ``most`` characters (all, if fewer)."""
+    x, y = inner.where("s is not null").select(F.col("s").alias("inner")).distinct(), outer.where("s is not null").select(F.col("s").alias("outer")).distinct()
+
+    def grams_of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("outer") - k + 1, F.lit(1))), lambda i: F.substring(F.col("outer"), i, F.lit(k)))
+
+    grams = F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *map(grams_of, range(1, most + 1)))))
+    met = x.withColumn("g", F.substring("inner", 1, most)).join(y.select("outer", F.explode(grams).alias("g")), "g")
+    return met.where(F.contains("outer", "inner")).select("inner", "outer").distinct()
+
+
 def by_combined(c: DataFrame, p: DataFrame, least: float = 0.6) -> DataFrame:
-    """JN-10: years at most one apart and one venue in the other; a band join by exploded years. Confidence min(0.7 s, 0.8)."""
-    banded = c.withColumn("y", F.explode(F.sequence(F.col("c_year") - 1, F.col("c_year") + 1)))
-    rows = banded.join(p, F.col("y") == F.col("p_year")).where(F.contains("p_venue", F.col("c_venue")) | F.contains("c_venue", F.col("p_venue")))
+    """JN-10: years at most one apart and one venue in the other; a band join by exploded years beside pairs of venues. Confidence min(0.7 s, 0.8)."""
+    cv, pv = c.select(F.col("c_venue").alias("s")), p.select(F.col("p_venue").alias("s"))
+    venues = contained_strings(cv, pv).select(F.col("inner").alias("c_venue"), F.col("outer").alias("p_venue")).union(contained_strings(pv, cv).select("outer", "inner")).distinct()
+    banded = c.join(venues, "c_venue").withColumn("y", F.explode(F.sequence(F.col("c_year") - 1, F.col("c_year") + 1)))
+    rows = banded.join(p.withColumn("y", F.col("p_year")), ["y", "p_venue"])
     rows = rows.withColumn("s", combined_score()).where(F.col("s") > least)
     return _best(rows.select("citation_id", "paper_id", F.least(0.7 * F.col("s"), F.lit(0.8)).alias("confidence")), "combined")
 
@@ -170,27 +171,58 @@ def resolve(citations: DataFrame, papers: DataFrame, exact: bool = False) -> Dat
     return reduce(DataFrame.unionByName, found)
 
 
+def shared_word_pairs(a: DataFrame, b: DataFrame, least: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(x, y): rows (x, w, keys) and (y, w, keys) of equal keys whose word sets have a Jaccard similarity that may be above ``least`` (0 at least).
+
+    Sets of n words above ``least`` share more than n * least words, so of the n - floor(n * least) rarest of each, one is shared: common words join only
+    where a set has hardly others. Words are ordered by how many sets hold them, ties by hash.
+    """
+    sets = a.select("w").union(b.select("w"))
+    often = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def prefix(df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(key, *keys, F.size("w").alias("size"), F.explode("w").alias("word")).join(often, "word")
+        listed = rows.groupBy(key, *keys, "size").agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("word").alias("h"), "word"))).alias("l"))  # a title's words
+        sent = F.col("size") - F.floor(F.col("size") * least + 1e-9).cast("int")
+        return listed.select(key, *keys, F.explode(F.slice("l", F.lit(1), F.greatest(sent, F.lit(1)))).alias("t")).select(key, *keys, "t.word")
+
+    return prefix(a, "x").join(prefix(b, "y"), ["word", *keys]).select("x", "y").distinct()
+
+
+def _title_words(df: DataFrame, key: str, title: str, name: str, *more: tuple[str, str]) -> DataFrame:
+    words = F.filter(F.array_distinct(F.split(title, " ")), lambda w: w != "")
+    return df.select(F.col(key).alias(name), words.alias("w"), *[F.col(a).alias(b) for a, b in more])
+
+
 def best_of_all(citations: DataFrame, papers: DataFrame, least: float = 0.5) -> DataFrame:
     """JN-12, SF-22: doi 1, arxiv 0.95, title 0.8 * Jaccard above 0.8, authors and year 0.6; the best above ``least``."""
     c, p = _prepared(citations, "citation_id", "c_"), _prepared(papers, "paper_id", "p_")
     ca, pa = c.withColumn("c_words", F.array_distinct(F.split("c_title", " "))), p.withColumn("p_words", F.array_distinct(F.split("p_title", " ")))
     doi = ca.join(pa, F.col("c_doi") == F.col("p_doi")).select("citation_id", "paper_id", F.lit(1.0).alias("confidence"))
     arxiv = ca.join(pa, F.col("c_arxiv") == F.col("p_arxiv")).select("citation_id", "paper_id", F.lit(0.95).alias("confidence"))
-    met = ca.select("citation_id", F.explode("c_words").alias("w")).join(pa.select("paper_id", F.explode("p_words").alias("w")), "w").where("w <> ''").groupBy("citation_id", "paper_id").agg(F.count("*").alias("n"))
-    j = F.col("n") / (F.size("c_words") + F.size("p_words") - F.col("n"))
+    met = shared_word_pairs(_title_words(c, "citation_id", "c_title", "x"), _title_words(p, "paper_id", "p_title", "y"), 0.8).select(F.col("x").alias("citation_id"), F.col("y").alias("paper_id"))
+    n = F.size(F.array_intersect("c_words", "p_words"))
+    j = n / (F.size("c_words") + F.size("p_words") - n)
     title = met.join(ca, "citation_id").join(pa, "paper_id").withColumn("j", j).where(F.col("j") > 0.8).select("citation_id", "paper_id", (0.8 * F.col("j")).alias("confidence"))
-    banded = ca.withColumn("y", F.explode(F.sequence(F.col("c_year") - 1, F.col("c_year") + 1)))
-    names = banded.join(pa, F.col("y") == F.col("p_year")).where(F.arrays_overlap(T.last_names(F.col("c_names")), T.last_names(F.col("p_names")))).select("citation_id", "paper_id", F.lit(0.6).alias("confidence"))
+    last = lambda c: F.explode(F.array_distinct(T.last_names(F.col(c)))).alias("last")
+    banded = c.select("citation_id", F.explode(F.sequence(F.col("c_year") - 1, F.col("c_year") + 1)).alias("y"), "c_names").select("citation_id", "y", last("c_names"))
+    names = banded.join(p.select("paper_id", F.col("p_year").alias("y"), last("p_names")), ["y", "last"]).select("citation_id", "paper_id", F.lit(0.6).alias("confidence"))
     rows = reduce(DataFrame.unionByName, (doi, arxiv, title, names)).groupBy("citation_id", "paper_id").agg(F.max("confidence").alias("confidence"))
     return _best(rows.where(F.col("confidence") > least), "best").drop("alternatives", "match_type")
 
 
 def simple(citations: DataFrame, papers: DataFrame, least: float = 0.5) -> DataFrame:
-    """JN-23: equal arXiv id 0.95, else equal year 0.3 + 0.6 * title Jaccard; the best above ``least``."""
+    """JN-23: equal arXiv id 0.95, else equal year 0.3 + 0.6 * title Jaccard; the best above ``least``, which is 0.3 at least (a year alone is no match)."""
+    if least < 0.3:
+        raise ValueError("an equal year alone would match")
     c, p = _prepared(citations, "citation_id", "c_"), _prepared(papers, "paper_id", "p_")
     arxiv = c.join(p, F.col("c_arxiv") == F.col("p_arxiv")).select("citation_id", "paper_id", F.lit(0.95).alias("confidence"))
     j = T.jaccard(F.split("c_title", " "), F.split("p_title", " "))
-    year = c.join(p, F.col("c_year") == F.col("p_year")).select("citation_id", "paper_id", (0.3 + 0.6 * j).alias("confidence"))
+    # the empty word of an empty title counts as a word of it, so it is one here too
+    words = lambda df, key, title, name, year: df.where(F.col(year).isNotNull()).select(F.col(key).alias(name), F.array_distinct(F.split(title, " ")).alias("w"), F.col(year).alias("year"))
+    met = shared_word_pairs(words(c, "citation_id", "c_title", "x", "c_year"), words(p, "paper_id", "p_title", "y", "p_year"), (least - 0.3) / 0.6, ("year",))
+    rows = met.select(F.col("x").alias("citation_id"), F.col("y").alias("paper_id")).join(c, "citation_id").join(p, "paper_id")
+    year = rows.select("citation_id", "paper_id", (0.3 + 0.6 * j).alias("confidence"))
     rows = arxiv.unionByName(year).groupBy("citation_id", "paper_id").agg(F.max("confidence").alias("confidence"))
     return _best(rows.where(F.col("confidence") > least), "simple").drop("alternatives", "match_type")
 
