@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import count
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,10 +127,11 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def all_distances(edges: DataFrame) -> DataFrame:
-    """(seed, node, hops, paths): distances and numbers of shortest paths from every node. As many rows as reachable pairs."""
+def all_distances(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(seed, node, hops, paths): distances and numbers of shortest paths from every node, or from the nodes of ``seeds``. As many rows as reachable pairs."""
     e = _steady(edges.select("src", "dst").distinct())
-    seen = front = _steady(nodes(edges).select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops"), F.lit(1.0).alias("paths")))
+    start = nodes(edges) if seeds is None else seeds
+    seen = front = _steady(start.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops"), F.lit(1.0).alias("paths")))
     for d in count(1):
         step = front.select("seed", F.col("node").alias("src"), "paths").join(e, "src").groupBy("seed", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         front = _steady(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(d).alias("hops"), "paths"))
@@ -148,10 +150,34 @@ def closeness(edges: DataFrame, distances: DataFrame | None = None) -> DataFrame
     return nodes(edges).join(into, "node", "left").select("node", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, distances: DataFrame | None = None) -> DataFrame:
-    """GR-06: share of shortest paths over a node, summed over pairs, by (n - 1)(n - 2). Dependencies go back level by level."""
-    d = distances if distances is not None else all_distances(edges)
-    n = nodes(edges).count()
+def sketched_closeness(edges: DataFrame, lg_k: int = 12) -> DataFrame:
+    """GR-07 at scale: (node, reached, closeness) with a cardinality sketch for each node instead of rows for pairs.
+
+    A node's sketch counts the nodes that reach it within d hops; a round unites it with those of its predecessors, along edges, and what it grows by
+    is as many nodes at distance d. Rounds end when no estimate grows, after as many as the longest shortest path. State is one sketch of at most
+    2^lg_k registers for each node. The relative standard error of a count is 0.83 / sqrt(2^lg_k), 1.3 % by default; counts of few nodes (an eighth of the registers)
+    are exact but for hash clashes. Closeness is the square of one count by a sum of others, so its error is about three times as large.
+    """
+    e = _steady(edges.select("src", "dst").distinct())
+    own = nodes(edges)
+    n = own.count()
+    ball = _steady(own.groupBy("node").agg(F.hll_sketch_agg("node", F.lit(lg_k)).alias("sketch")).withColumns({"size": F.lit(1).cast("bigint"), "far": F.lit(0).cast("bigint")}))
+    for d in count(1):
+        sent = e.join(ball.select(F.col("node").alias("src"), "sketch"), "src").select(F.col("dst").alias("node"), "sketch")
+        grown = sent.unionByName(ball.select("node", "sketch")).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"))
+        after = grown.join(ball.select("node", F.col("size").alias("before"), "far"), "node")
+        size = F.greatest(F.hll_sketch_estimate("sketch"), "before")
+        after = _steady(after.withColumn("size", size).withColumn("far", F.col("far") + d * (F.col("size") - F.col("before"))))
+        ball = after.drop("before")
+        if after.where("size > before").limit(1).count() == 0:
+            break
+    reached = F.col("size") - 1
+    value = F.when(F.col("far") > 0, reached / F.col("far") * reached / max(n - 1, 1)).otherwise(0.0)
+    return ball.select("node", reached.alias("reached"), value.alias("closeness"))
+
+
+def _dependencies(edges: DataFrame, d: DataFrame) -> DataFrame:
+    """(seed, node, dependency): of each seed's shortest paths the share that goes over a node; back level by level."""
     deepest = d.agg(F.max("hops")).first()[0] or 0
     e = _steady(edges.select("src", "dst").distinct())
     parts = [d.where(F.col("hops") == deepest).select("seed", "node", "paths", F.lit(0.0).alias("dependency"))]
@@ -163,10 +189,47 @@ def betweenness(edges: DataFrame, distances: DataFrame | None = None) -> DataFra
     total = parts[0]
     for p in parts[1:]:
         total = total.unionByName(p)
-    total = total.where("seed <> node").groupBy("node").agg(F.sum("dependency").alias("s"))
+    return total.where("seed <> node").select("seed", "node", "dependency")
+
+
+def betweenness(edges: DataFrame, distances: DataFrame | None = None) -> DataFrame:
+    """GR-06: share of shortest paths over a node, summed over pairs, by (n - 1)(n - 2)."""
+    n = nodes(edges).count()
+    total = _dependencies(edges, distances if distances is not None else all_distances(edges)).groupBy("node").agg(F.sum("dependency").alias("s"))
     return nodes(edges).join(total, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / max((n - 1) * (n - 2), 1)).alias("betweenness"))
 
 
+def sampled_betweenness(edges: DataFrame, error: float = 0.05, doubt: float = 0.1, batch: int = 32) -> DataFrame:
+    """GR-06 at scale: (node, betweenness, seeds) from the shortest paths of sampled seeds.
+
+    With probability 1 - ``doubt`` no node is off by more than ``error``. Seeds (in order of their hashes, ``batch`` at a time) are added until the empirical
+    Bernstein bound, over all nodes and all looks at it, is within the error for every node; a seed's share of a node is between 0 and 1. If all nodes become seeds, the
+    result is exact. Rows are those of one batch: ``batch`` times the nodes that a seed reaches.
+    """
+    every = _steady(nodes(edges).withColumn("h", F.xxhash64(F.lit("seed"), "node")))
+    n = every.count()
+    scale = max(n - 2, 1)
+    held = every.select("node", F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    used, last, look = 0, None, 0
+    while used < n:
+        rest = every if last is None else every.where(F.col("h") > last)
+        some = _steady(rest.orderBy("h").limit(batch).select("node", "h"))
+        last, size = some.agg(F.max("h"), F.count("*")).first()
+        if not size:
+            break
+        d = all_distances(edges, some)
+        part = _dependencies(edges, d).groupBy("node").agg(F.sum(F.col("dependency") / scale).alias("s1"), F.sum((F.col("dependency") / scale) ** 2).alias("q1"))
+        held = _steady(held.join(part, "node", "left").select("node", (F.col("s") + F.coalesce("s1", F.lit(0.0))).alias("s"), (F.col("q") + F.coalesce("q1", F.lit(0.0))).alias("q")))
+        used, look = used + size, look + 1
+        if used > 1:
+            term = log(3 * max(n, 1) * look * (look + 1) / doubt)
+            spread = F.greatest((F.col("q") - F.col("s") * F.col("s") / used) / (used - 1), F.lit(0.0))
+            worst = held.agg(F.max(F.sqrt(2 * spread * term / used) + 3 * term / used)).first()[0]
+            if worst * n / max(n - 1, 1) <= error:
+                break
+    return held.select("node", (F.col("s") / max(used, 1) * n / max(n - 1, 1)).alias("betweenness"), F.lit(used).alias("seeds"))
+
+
 def _least_reaching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, color): the smallest node from which a node can be reached. A label goes one edge on and then to its label's label."""
     color = _steady(ids.select("node", F.col("node").alias("color")))

@@ -157,6 +157,18 @@ def betweenness_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.betweenness(tables.nation_edges(spark, sf_dir)).withColumn("betweenness", r("betweenness"))
 
 
+# GR-07 at scale: estimates, tested against exact values
+@query()
+def closeness_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.sketched_closeness(tables.part_edges(spark, sf_dir)).withColumn("closeness", r("closeness"))
+
+
+# GR-06 at scale: estimates, tested against exact values
+@query()
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.sampled_betweenness(tables.part_edges(spark, sf_dir), error=0.3, batch=128).withColumn("betweenness", r("betweenness"))
+
+
 # GR-12, GR-22
 @query(f"""WITH RECURSIVE {N}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT 3 AS node, 0 AS h UNION SELECT u.dst, h + 1 FROM r JOIN u ON u.src = r.node WHERE h < 1)
 SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)""")
