@@ -29,6 +29,8 @@ from papyra.llm.word_ids import END_ID, word_ids
 CAPACITY = 4096
 #: Pieces that one (length, salt) group is meant to hold.
 GROUP_ROWS = 50_000
+#: Runs of files that are packed apart, at most, and the sequences that one fills at least.
+MOST_WINDOWS, WINDOW_SEQUENCES = 16, 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 
@@ -88,7 +90,7 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.asarray(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int):
+def _cut(tokenizer: str, end_id: int, capacity: int, files: bool = False):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,56 +98,79 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
         for batch in batches:
             for cut in text_slices(batch):
                 rows: list[tuple] = []
-                for doc_id, raw in zip(cut.column("doc_id").to_pylist(), words.encode(cut.column("text").to_pylist())):
+                numbers = cut.column("file").to_pylist() if files else [0] * cut.num_rows
+                for doc_id, file, raw in zip(cut.column("doc_id").to_pylist(), numbers, words.encode(cut.column("text").to_pylist())):
                     raw += end
                     for i, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at : at + 4 * capacity]
-                        rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
+                        rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part), file))
                 columns = list(zip(*rows))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())[: None if files else 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "file"][: None if files else 5])
 
     return run
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return plain(docs, ("doc_id", "text")).mapInArrow(_cut(tokenizer, end_id, capacity), PIECES)
-
-
 def _place(table: np.ndarray):
-    key = (table[:, 0] << 40) | table[:, 1]
+    """``table``: a row of ``places`` each, behind its window."""
+    key = (table[:, 0] * (1 << 14) + table[:, 1] << 40) | table[:, 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))
-            row = table[np.searchsorted(key, (length << 40) | rank, side="right") - 1]
-            nth = rank - row[:, 1]
+            window, length, rank = (np.asarray(batch.column(c)).astype(np.int64) for c in ("window", "length", "rank"))
+            row = table[np.searchsorted(key, (window * (1 << 14) + length << 40) | rank, side="right") - 1]
+            nth = rank - row[:, 2]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * length)],
+                [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(row[:, 3] + nth // row[:, 4]), pa.array(row[:, 5] + nth % row[:, 4] * length)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Places for rows (doc_id, piece, start, length, ids_crc32); ``pieces`` is read twice and must not change."""
-    counts = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    table = places(minimum_slack(counts, capacity))
-    salts = max(8, sum(counts.values()) // GROUP_ROWS)
+def pack(pieces: DataFrame, capacity: int = CAPACITY, windows: int = 1) -> DataFrame:
+    """Places for rows (doc_id, piece, start, length, ids_crc32, window); ``pieces`` is read twice and must not change.
+
+    Windows 0, 1, ... are packed apart, and their sequences follow each other, so sequences keep the order of windows; each costs one sequence more at most.
+    """
+    if not 1 <= windows <= MOST_WINDOWS or capacity >= 1 << 14:
+        raise ValueError(f"1 to {MOST_WINDOWS} windows, and a capacity below {1 << 14}")
+    counts: list[dict[int, int]] = [{} for _ in range(windows)]
+    for w, n, c in pieces.groupBy("window", "length").count().collect():  # windows * capacity rows at most
+        counts[w][int(n)] = int(c)
+    tables, base = [], 0
+    for w, own in enumerate(counts):
+        plan = minimum_slack(own, capacity)
+        table = places(plan)
+        table[:, 2] += base
+        tables.append(np.insert(table, 0, w, axis=1))
+        base += sum(bins for bins, _ in plan)
+    table = np.concatenate(tables)
+    salts = max(8, sum(sum(own.values()) for own in counts) // GROUP_ROWS)
     rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    across = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("length", "salt", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.withColumn("nth", F.row_number().over(inside)).join(before, ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
+    before = rows.groupBy("window", "length", "salt").agg(F.count("*").alias("n"))
+    across = Window.partitionBy("window", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("window", "length", "salt", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("window", "length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = rows.withColumn("nth", F.row_number().over(inside)).join(before, ["window", "length", "salt"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "window", (F.col("before") + F.col("nth") - 1).alias("rank"))
     return ranked.mapInArrow(_place(table), PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Texts are encoded once; the pieces are stored."""
-    pieces = Stored(cut_pieces(docs, tokenizer, end_id, capacity), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, files_in_order: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Texts are encoded once; the pieces are stored.
+
+    ``files_in_order``: the files that ``docs`` is read from hold an order (a mix) by their numbers. Up to MOST_WINDOWS runs of files, of WINDOW_SEQUENCES
+    sequences or more, are then packed one after another, so the sequences follow that order run by run. Rows that come from no file are one run.
+    """
+    rows = plain(docs, ("doc_id", "text"))
+    if files_in_order:
+        rows = rows.withColumn("file", F.coalesce(F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1).try_cast("int"), F.lit(0)))
+    small_batches(docs.sparkSession)
+    pieces = Stored(rows.mapInArrow(_cut(tokenizer, end_id, capacity, files_in_order), PIECES + (", file int" if files_in_order else "")), "pieces")
     release(docs.sparkSession)
-    return pack(pieces.read(), capacity)
+    if not files_in_order:
+        return pack(pieces.read().withColumn("window", F.lit(0)), capacity)
+    tokens, files = pieces.read().agg(F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("file"), F.lit(0)) + 1).first()
+    windows = int(max(1, min(MOST_WINDOWS, files, tokens // (capacity * WINDOW_SEQUENCES))))
+    return pack(pieces.read().withColumn("window", F.floor(F.col("file") * windows / files).cast("int")), capacity, windows)

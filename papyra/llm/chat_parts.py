@@ -8,7 +8,7 @@ audio: seconds x tokens of a second; document: pages x tokens of a page). A conv
     <|im_start|>role<|im_sep|>content<|im_end|>
 
 for each turn, one after another, with ``segments`` (the same output in pieces) and ``loss`` (one flag for each piece; a
-trainer sees the pieces flagged, the contents of assistant turns). Texts, roles and kinds can't forge control strings,
+trainer sees the pieces flagged, the text parts of assistant turns, never a placeholder). Texts, roles and kinds can't forge control strings,
 however a text is split into parts: each character is escaped by itself (``\\`` becomes ``\\\\``, ``|`` becomes ``\\|``),
 so what joins has no bare ``|``, and every bare ``|`` is one of a control string. ``unescape`` takes it back.
 ``read_turns`` gives the texts, ``read_parts`` the parts, in which neighbouring texts are one and empty texts are gone.
@@ -49,11 +49,11 @@ def is_text(p: Column) -> Column:
 
 
 def visit(parts: Column, first: Column) -> Column:
-    """Content string of a turn; its first attachment has number ``first``. Linear in the parts: each looks at itself only."""
+    """Content of a turn, a string for each part; its first attachment has number ``first``. Linear in the parts: each looks at itself only."""
     files = F.filter(F.transform(parts, lambda p, i: F.when(~is_text(p), i)), lambda i: i.isNotNull())
     number = lambda i: (first + F.array_position(files, i) - 1).cast("string")
     shown = F.transform(parts, lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(p["kind"]), F.lit(":"), number(i), F.lit("|>"))))
-    return F.array_join(F.coalesce(shown, F.array().cast("array<string>")), "")
+    return F.coalesce(shown, F.array().cast("array<string>"))
 
 
 def attachments(parts: Column) -> Column:
@@ -74,8 +74,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     none = F.aggregate(F.transform("files", lambda f: F.size(f)), F.lit(0), lambda s, n: s + n) == 0
     chats = chats.withColumn("firsts", F.when(none, F.transform("turns", lambda t: F.lit(0))).otherwise(counted["firsts"]))
     content = F.zip_with("turns", "firsts", lambda t, first: F.struct(t["role"].alias("role"), visit(t["parts"], first).alias("content")))
-    pieces = F.transform(content, lambda t: F.array(F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)), t["content"], F.lit(END)))
-    marks = F.transform("turns", lambda t: F.array(F.lit(False), t["role"] == "assistant", F.lit(False)))
+    pieces = F.transform(content, lambda t: F.concat(F.array(F.concat(F.lit(START), escape(t["role"]), F.lit(SEP))), t["content"], F.array(F.lit(END))))
+    texts = lambda t: F.transform(F.coalesce(t["parts"], F.array().cast(f"array<{PART}>")), lambda p: is_text(p) & (t["role"] == "assistant"))
+    marks = F.transform("turns", lambda t: F.concat(F.array(F.lit(False)), texts(t), F.array(F.lit(False))))
     out = chats.select("conv_id", F.flatten(pieces).alias("segments"), F.flatten(marks).alias("loss"), F.flatten("files").alias("attachments"))
     tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"])
     return out.select("conv_id", F.array_join("segments", "").alias("formatted"), "segments", "loss", "attachments", tokens.alias("attachment_tokens"))

@@ -13,12 +13,14 @@ What grows with the corpus stays distributed: features are one pass over the tex
 the bounded samples and the models meet on the driver.
 
 Defined results: a null or empty text has features of zero length; a document counts as labelled if its labels agree
-(conflicting or null labels are ignored; of rows that repeat its id one teaches, and rows without an id teach nothing); without labels of both classes every document is kept with score 0.5;
+(conflicting or null labels are ignored; of rows that repeat its id one teaches, and rows without an id teach nothing); with fewer than two labelled
+documents of a class nothing can be learnt: a warning is given, and every document is kept with score 0.5;
 repeated rows get equal scores; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -250,7 +252,10 @@ def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(features: DataFrame, labels: DataFrame, setting: CoTrainingSetting = CoTrainingSetting(), label: str = "quality") -> Views | None:
-    """Co-trained views, or None if the labels hold fewer than two classes. ``features`` is read twice for each round."""
+    """Co-trained views, fitted with what labels there are; None, with a warning, if fewer than two of a class have documents (one to fit, one to calibrate).
+
+    ``features`` is read twice for each round.
+    """
     agreed = plain(labels, ("doc_id", label)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
     agreed = agreed.agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("doc_id", "y")
     # labelled rows without a document can't teach, so the sample is taken after the join; one row for each id
@@ -258,7 +263,8 @@ def train(features: DataFrame, labels: DataFrame, setting: CoTrainingSetting = C
     sample = Stored(first, "labelled")
     content, meta, y = _collected(sample.read())
     y = (y > 0).astype(float)
-    if len(y) < 20 or not 5 <= y.sum() <= len(y) - 5:
+    if not 2 <= y.sum() <= len(y) - 2:
+        warnings.warn("fewer than two labelled documents of a class: nothing is learnt, and all documents score 0.5", stacklevel=2)
         return None
     held = np.zeros(len(y), bool)
     for c in (0, 1):  # a third of each class, spread over the sample

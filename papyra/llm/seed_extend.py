@@ -34,12 +34,10 @@ from papyra.llm.word_hashes import Words, run_hashes, sliding_argmin
 
 WINDOW = 20
 ANCHOR = 8
-#: Bits of a packed place: version of the text (23), first word of the anchor (32), words back to the first window (4), windows (4).
-VERSIONS = 1 << 23
-
 
 def version(text: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(VERSIONS)).cast("long")
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _runs(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -64,9 +62,8 @@ def _anchors(window: int, anchor: int):
                 a, at, first, n = _runs(words, window, anchor)
                 doc = words.doc[at]
                 local = at - words.first[doc]
-                v = np.asarray(cut.column("v"))[doc]
-                packed = v << 40 | local << 8 | (at - first) << 4 | n
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), cut.column("d").take(pa.array(doc)), pa.array(packed)], names=["a", "d", "w"])
+                packed = local << 8 | (at - first) << 4 | n  # a place: the anchor's first word, words back to the first window, windows
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), *(cut.column(c).take(pa.array(doc)) for c in ("d", "v")), pa.array(packed)], names=["a", "d", "v", "w"])
 
     return run
 
@@ -82,11 +79,11 @@ def _windows(window: int, anchor: int):
                 grams, wide = run_hashes(h, anchor), run_hashes(h, window)
                 lists = cut.column("w")
                 w, doc = np.asarray(lists.flatten()), np.repeat(np.arange(cut.num_rows), np.asarray(lists.value_lengths()))
-                at = words.first[doc] + (w >> 8 & 0xFFFFFFFF)
+                at = words.first[doc] + (w >> 8)
                 n = w & 15
                 begin = np.repeat(at - (w >> 4 & 15) - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 hashes = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), wide[begin].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), cut.column("d").take(pa.array(doc)), pa.array(w), hashes], names=["a", "d", "w", "hs"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), *(cut.column(c).take(pa.array(doc)) for c in ("d", "v")), pa.array(w), hashes], names=["a", "d", "v", "w", "hs"])
 
     return run
 
@@ -102,25 +99,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Stor
     spark = docs.sparkSession
     small_batches(spark)
     texts = _identified(docs).select("d", "v", "text")
-    anchors = texts.where(F.length("text") >= 2 * window - 1).mapInArrow(_anchors(window, anchor), "a bigint, d bigint, w bigint")
+    anchors = texts.where(F.length("text") >= 2 * window - 1).mapInArrow(_anchors(window, anchor), "a bigint, d bigint, v bigint, w bigint")
     twice = Stored(anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
     release(spark)
-    found = anchors.join(twice.read(), "a").groupBy("d", F.shiftright("w", 40).alias("v")).agg(F.array_sort(F.collect_set("w")).alias("w"))
+    found = anchors.join(twice.read(), "a").groupBy("d", "v").agg(F.array_sort(F.collect_set("w")).alias("w"))
     runs = Stored(found, "runs")
     release(spark, twice)
-    occurrences = Stored(texts.join(runs.read(), ["d", "v"]).select("text", "d", "w").mapInArrow(_windows(window, anchor), "a bigint, d bigint, w bigint, hs array<bigint>"), "windows")
+    occurrences = Stored(texts.join(runs.read(), ["d", "v"]).select("text", "d", "v", "w").mapInArrow(_windows(window, anchor), "a bigint, d bigint, v bigint, w bigint, hs array<bigint>"), "windows")
     release(spark, runs)
 
     o = occurrences.read()
-    firsts = Stored(o.groupBy("a").agg(F.min(F.struct("d", "w", "hs")).alias("f")).select("a", F.col("f.d").alias("fd"), F.col("f.w").alias("fw"), F.col("f.hs").alias("fhs")), "firsts")
+    firsts = Stored(o.groupBy("a").agg(F.min(F.struct("d", "v", "w", "hs")).alias("f")).select("a", F.col("f.d").alias("fd"), F.col("f.v").alias("fv"), F.col("f.w").alias("fw"), F.col("f.hs").alias("fhs")), "firsts")
     release(spark)
     back, fback = (F.shiftright(F.col(c), 4).bitwiseAND(F.lit(15)).cast("int") for c in ("w", "fw"))
     same = F.transform("hs", lambda h, i: F.coalesce(h == F.get(F.col("fhs"), i - F.col("back") + F.col("fback")), F.lit(False)))
-    met = o.join(firsts.read(), "a").where("d <> fd or w <> fw").withColumn("back", back).withColumn("fback", fback).withColumn("same", same)
-    at = (F.shiftright("w", 8).bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("back")).alias("at")
+    met = o.join(firsts.read(), "a").where("d <> fd or v <> fv or w <> fw").withColumn("back", back).withColumn("fback", fback).withColumn("same", same)
+    at = (F.shiftright("w", 8) - F.col("back")).alias("at")
     mask = F.aggregate(F.transform("same", lambda s, i: F.when(s, F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda x, y: x + y)
     rest = F.filter(F.transform("hs", lambda h, i: F.when(~F.col("same")[i], F.struct(h.alias("h"), i.alias("i")))), lambda x: x.isNotNull())
-    compared = Stored(met.select("a", "d", F.shiftright("w", 40).alias("v"), at, mask.alias("mask"), rest.alias("rest")), "compared")
+    compared = Stored(met.select("a", "d", "v", at, mask.alias("mask"), rest.alias("rest")), "compared")
     release(spark, occurrences, firsts)
 
     c = compared.read()

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,11 +59,18 @@ def decode_chunk(data: bytes) -> np.ndarray:
     """The ids of a chunk; raises ValueError if it isn't whole."""
     import zstandard
 
+    try:
+        return _decoded(data, zstandard.ZstdDecompressor().decompress)
+    except (struct.error, zstandard.ZstdError) as e:
+        raise ValueError("a chunk of token planes is damaged") from e
+
+
+def _decoded(data: bytes, unpack: Callable[[bytes], bytes]) -> np.ndarray:
     magic, form, n_planes, _, n, crc = HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a chunk of token planes")
     lengths = struct.unpack_from(f"<{n_planes}I", data, HEAD.size)
-    at, planes, unpack = HEAD.size + 4 * n_planes, [], zstandard.ZstdDecompressor().decompress
+    at, planes = HEAD.size + 4 * n_planes, []
     for length in lengths:
         planes.append(np.frombuffer(unpack(data[at : at + length]), dtype=np.uint8))
         at += length
@@ -141,6 +148,18 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def _within(start: int, stop: int):
+    """The ids of a chunk that lie in a range, and their first place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases = batch.column("base").to_pylist()
+            cut = [decode_chunk(d.as_py())[max(0, start - b) : max(0, stop - b)] for d, b in zip(batch.column("data"), bases)]
+            yield pa.RecordBatch.from_arrays([pa.array([max(start, b) for b in bases], pa.int64()), pa.array([c.astype(np.int64) for c in cut], pa.list_(pa.int64()))], names=["start", "ids"])
+
+    return run
+
+
 @dataclass
 class TokenPlanes:
     """The written files: ``chunks`` and the chunk ``index`` (part, chunk, n_ids)."""
@@ -158,6 +177,11 @@ class TokenPlanes:
         local = index.select("part", "chunk", F.coalesce(F.sum(F.col("n_ids").cast("long")).over(inside), F.lit(0)).alias("local"))
         return local.join(before, "part").select("part", "chunk", (F.col("local") + F.col("before")).alias("base"))
 
+    def ids(self, start: int, stop: int) -> DataFrame:
+        """(start, ids) of the places from ``start`` to before ``stop``, a row for each chunk that holds any; the index says which, and no other chunk is decoded."""
+        wanted = self.bases().join(self.index.read(), ["part", "chunk"]).where((F.col("base") < stop) & (F.col("base") + F.col("n_ids") > start)).select("part", "chunk", "base")
+        return self.chunks.read().select("part", "chunk", "data").join(wanted, ["part", "chunk"]).select("base", "data").mapInArrow(_within(start, stop), "start bigint, ids array<bigint>")
+
     def documents(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32, read back from the chunks."""
         chunks = self.chunks.read().join(self.bases(), ["part", "chunk"])

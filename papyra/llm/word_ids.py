@@ -1,12 +1,14 @@
 """Token ids of whole texts by a public tokenizer file, with a table of words already encoded.
 
-The tokenizer ends every pre-token at white space, so a text's ids are the ids of its space-separated words one
-after another; only words not met before go through the tokenizer. The ids are the same as those of one call over
-the whole text (``tests/llm`` compares them).
+A tokenizer whose file has the normalizer, pre-tokenizer and word ends named below ends every pre-token at white space,
+so a text's ids are the ids of its space-separated words one after another; only words not met before go through the
+tokenizer. The ids are the same as those of one call over the whole text (``tests/llm`` compares them). With any other
+file, texts go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +22,25 @@ SIMPLE_CASE = "\u0130"
 END_ID = 1
 MARK = "\x01"
 WORD_END = "</w>"
+#: The parts of a tokenizer file under which words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def word_by_word(path: str) -> bool:
+    """Whether a tokenizer file is of the kind whose words can be encoded one by one."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model, special = found.get("model") or {}, [t["content"] for t in found.get("added_tokens") or []]
+    same = (found.get("normalizer"), found.get("pre_tokenizer")) == (NORMALIZER, PRE_TOKENIZER)
+    whole = model.get("type") == "BPE" and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return same and whole and all(t.startswith("<|") and " " not in t for t in special)
 
 
 def stem(word: str) -> str:
@@ -46,6 +67,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = word_by_word(path)
         self.known: dict[str, bytes] = {"": b""}
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -96,6 +118,9 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers; null is empty."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.asarray(f.ids, dtype="<u4").tobytes() for f in found]
         split = [plain_case(t or "").replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
         if len(self.known) + len(new) > MOST_WORDS:
