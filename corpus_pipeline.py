@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the shared folder and
 reads again for the next one. All but the last return the columns of ``documents``.
+
+Odd rows, in every stage: a null or empty text is a document without words (rejected only if the classifier says so, near no other,
+packed as its end id); null lang, source and n_chars are values of their own; a null doc_id stands before all others; repeated rows are near
+duplicates, of which one stays; an empty table gives an empty table of the same columns; columns that ``documents`` doesn't have are dropped.
 """
 
 from __future__ import annotations
@@ -36,13 +40,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4096 tokens."""
-    return bin_slack.pack_documents(docs, queries.tokenizer_path())
+    """Pieces of all documents with their places in sequences of 4096 tokens; sequences follow the mix, run by run of its files."""
+    return bin_slack.pack_documents(docs, queries.tokenizer_path(), files_in_order=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixed", mixed), ("packed", packed)]
 
-#: SQL can express neither the classifier nor the tokenizer: tests compare each stage with a plain version.
+#: SQL can express neither the classifier nor the tokenizer: tests compare the other stages, and the places of all pieces, with plain versions.
 ORACLE_SQL = None
 
 
