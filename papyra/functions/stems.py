@@ -61,23 +61,26 @@ STEPS: tuple[list[tuple[str, str]], ...] = (
     [(rf"^{TWO_END.replace('[^aeiouy])', 'l)')}l$", r"\1")],
 )
 
+#: Of each step: ends without which none of its rules fits, so that most words pass a step by one look.
+ENDS = ("s$", "(?:ed|ing)$", r"\+$", "y$", f"(?:{'|'.join(x for x, _ in LONG_SUFFIXES)})$", f"(?:{'|'.join(x for x, _ in MIDDLE_SUFFIXES)})$", f"(?:{'|'.join(LAST_SUFFIXES)}|ion)$", "e$", "ll$")
+
 
 def stems(words: Column) -> Column:
     """The stems of an array of lower-case words; words of other letters pass unless they end like English ones. A step is a lambda, so what it starts from is computed once."""
 
-    def step(rules: list[tuple[str, str]]):
+    def step(rules: list[tuple[str, str]], ends: str):
         def apply(x: Column) -> Column:
             out = x["w"]
             for pattern, becomes in reversed(rules):
                 out = F.when(x["w"].rlike(pattern), F.regexp_replace(x["w"], pattern, becomes.replace(r"\1", "$1"))).otherwise(out)
-            return F.struct(x["long"].alias("long"), out.alias("w"))
+            return F.struct(x["long"].alias("long"), F.when(x["long"] & x["w"].rlike(ends), out).otherwise(x["w"]).alias("w"))
 
         return apply
 
     out = F.transform(words, lambda w: F.struct((F.length(w) > 2).alias("long"), w.alias("w")))
-    for rules in STEPS:
-        out = F.transform(out, step(rules))
-    return F.zip_with(words, out, lambda w, x: F.when(x["long"], x["w"]).otherwise(w))
+    for rules, ends in zip(STEPS, ENDS):
+        out = F.transform(out, step(rules, ends))
+    return F.transform(out, lambda x: x["w"])
 
 
 def stem(word: Column) -> Column:

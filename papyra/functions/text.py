@@ -148,9 +148,10 @@ def cited_in(c: Column) -> Column:
 
 
 def link_citations(answer: Column, ids: Column, shown: Column) -> Column:
-    """SF-26: each id of an answer, bracketed, in parentheses or bare, becomes its shown form (folded over the array)."""
+    """SF-26: each id of an answer, bracketed, in parentheses or bare, letter case aside, becomes its shown form (folded over the array)."""
+    quoted = lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}])", r"\\$1")
     pairs = F.arrays_zip(ids.alias("i"), shown.alias("s"))
-    return F.aggregate(pairs, answer, lambda a, p: F.replace(F.replace(F.replace(a, F.concat(F.lit("["), p["i"], F.lit("]")), p["s"]), F.concat(F.lit("("), p["i"], F.lit(")")), p["s"]), p["i"], p["s"]))
+    return F.aggregate(pairs, answer, lambda a, p: F.regexp_replace(a, F.concat(F.lit(r"(?iu)\["), quoted(p["i"]), F.lit(r"\]|\("), quoted(p["i"]), F.lit(r"\)|"), quoted(p["i"])), F.regexp_replace(p["s"], r"([\\$])", r"\\$1")))
 
 
 def one_line(c: Column) -> Column:

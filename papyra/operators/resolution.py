@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 from papyra.functions import scores as S
 from papyra.functions import text as T
 from papyra.operators.edits import similar_strings
+from papyra.session import kept
 
 MATCH = ("citation_id", "paper_id", "match_type", "confidence", "alternatives")
 
@@ -162,12 +163,13 @@ def by_combined(c: DataFrame, p: DataFrame, least: float = 0.6) -> DataFrame:
 
 def resolve(citations: DataFrame, papers: DataFrame, exact: bool = False) -> DataFrame:
     """JN-11: the first stage that finds a paper decides: doi, arxiv, title, author_year, combined."""
-    c, p = _prepared(citations, "citation_id", "c_"), _prepared(papers, "paper_id", "p_")
+    # both sides go through several joins: they are computed once
+    c, p = kept(_prepared(citations, "citation_id", "c_")), kept(_prepared(papers, "paper_id", "p_"))
     stages = (lambda r: by_key(r, p, "doi", 0.95), lambda r: by_key(r, p, "arxiv", 0.95), lambda r: by_title(r, p, exact=exact), lambda r: by_author_year(r, p), lambda r: by_combined(r, p))
     found: list[DataFrame] = []
     for stage in stages:
-        found.append(stage(c))
-        c = c.join(found[-1].select("citation_id"), "citation_id", "left_anti")
+        found.append(kept(stage(c)))
+        c = kept(c.join(found[-1].select("citation_id"), "citation_id", "left_anti"))
     return reduce(DataFrame.unionByName, found)
 
 

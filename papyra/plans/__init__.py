@@ -6,7 +6,7 @@ from papyra.plans.registry import QUERIES, SQL, Query
 
 
 def _load() -> None:
-    from papyra.plans import indexes, passages, ranking, records, relational, series  # noqa: F401  they register their queries
+    from papyra.plans import bibliography, indexes, passages, ranking, records, relational, series  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -33,7 +33,8 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH s AS ({SQL["section_split"]}), t AS (SELECT doc_id, section, title, len(list_filter(string_split_regex(content, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n FROM s)
 SELECT doc_id, section, title, CAST(n AS INT) AS token_count FROM t WHERE n BETWEEN 1 AND 200""")
 def hybrid_whole_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = C.semantic_chunks(section_split(spark, sf_dir), "doc_id", 200, 50, hybrid=True, overlap=20)
+    whole = F.size(F.filter(F.split("content", T.GAP), lambda w: w != ""))
+    chunks = C.semantic_chunks(section_split(spark, sf_dir).where(whole <= 200), "doc_id", 200, 50, hybrid=True, overlap=20)
     one = chunks.groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.first("title").alias("title"), F.sum("token_count").cast("int").alias("token_count"))
     return one.where("n = 1 and token_count <= 200").select("doc_id", "section", "title", "token_count")
 

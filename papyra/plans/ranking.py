@@ -376,65 +376,3 @@ def best_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, p = cited(spark, sf_dir)
     return Z.resolution_statistics(c, Z.resolve(c, p)).withColumn("avg_confidence", r("avg_confidence"))
-
-
-TEXTS = [
-    ("d1", 'Intro cites [1] and (Smith et al., 2020).\nReferences\n[1] Smith, J. "A study of graph search". In Proceedings of Data 2020. doi:10.1000/123\n[2] Brown, B. "Deep networks at scale". arXiv:2301.12345\n[3] Lee, G. "Citation counts revisited". Journal 2019. https://doi.org/10.5678/abcdef\n'),
-    ("d2", "Nothing cited here. See doi:10.1234/567890 and arXiv:cs.AI/0701123, according to Jones et al. (2019). No more."),
-    ("d3", "Plain text without a mark."),
-]
-
-
-# IR-25..28, SF-06, SF-07
-@query()
-def regex_citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.parse(X.explode_entries(rows(spark, TEXTS, "source_paper_id string, text string")))
-
-
-# IR-30
-@query(f"""WITH {values('t', TEXTS, 'source_paper_id, text')} SELECT source_paper_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{Y.DOI}', 1), lambda d: regexp_replace(d, '[.,;)]+$', '')))), ' ') AS dois,
-array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{Y.ARXIV}', 1))), ' ') AS arxiv_ids FROM t""")
-def doi_arxiv_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dois, arxiv = X.identifiers(F.col("text"))
-    return rows(spark, TEXTS, "source_paper_id string, text string").select("source_paper_id", F.array_join(dois, " ").alias("dois"), F.array_join(arxiv, " ").alias("arxiv_ids"))
-
-
-# IR-29, ST-08, WN-20
-@query()
-def intext_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.in_text(rows(spark, TEXTS, "source_paper_id string, text string"))
-
-
-ANSWERS = [(1, "As [arxiv:1706.03762] shows, and [missing:citation].", ["arxiv:1706.03762"]), (2, "No citation.", ["doi:10.1/x"]), (3, "[doi:10.1038/nature14539] [doi:10.1038/nature14539]", ["doi:10.1038/nature14539", "arxiv:1"])]
-
-
-# IR-35, SF-24, SF-25, ST-07
-@query(f"""WITH {values('a', ANSWERS, 'id, answer, available')}, u AS (SELECT id, available, list_sort(list_distinct(regexp_extract_all(answer, '\\[([A-Za-z]+:[^\\]]+)\\]', 1))) AS used FROM a)
-SELECT id, array_to_string(list_filter(used, lambda x: list_contains(available, x)), ' ') AS valid, array_to_string(list_filter(used, lambda x: NOT list_contains(available, x)), ' ') AS missing,
-CASE WHEN len(used) = 0 THEN 1.0 ELSE len(list_filter(used, lambda x: list_contains(available, x))) / len(used) END AS coverage FROM u""")
-def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = R.validate_citations(rows(spark, ANSWERS, "id int, answer string, available array<string>"))
-    return v.select("id", F.array_join("valid", " ").alias("valid"), F.array_join("missing", " ").alias("missing"), "coverage")
-
-
-CITES = [("arxiv:1706.03762", "Attention Is All", "Vaswani; Shazeer", 2017), ("doi:10.1038/nature14539", "Deep learning", "LeCun; Bengio", 2015), ("other", "Untitled", "Anon", None)]
-
-
-# IR-34, SF-24, SF-26
-@query(f"""WITH {values('c', CITES, 'cid, title, authors, year')} SELECT cid, CASE WHEN starts_with(cid, 'arxiv:') THEN 'arxiv' WHEN starts_with(cid, 'doi:') THEN 'doi' ELSE 'unknown' END AS kind,
-CASE WHEN starts_with(cid, 'arxiv:') THEN 'https://arxiv.org/abs/' || substr(cid, 7) WHEN starts_with(cid, 'doi:') THEN 'https://doi.org/' || substr(cid, 5) END AS url,
-'(' || string_split_regex(authors, '[;,]')[1] || ', ' || coalesce(CAST(year AS VARCHAR), 'n.d.') || ')' AS academic, '[' || cid || ']' AS brief FROM c""")
-def citation_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = rows(spark, CITES, "cid string, title string, authors string, year int")
-    f = lambda s: R.format_citation(F.col("title"), F.col("authors"), F.col("year"), F.col("cid"), s)
-    return c.select("cid", T.cite_type(F.col("cid")).alias("kind"), T.cite_url(F.col("cid")).alias("url"), f("academic").alias("academic"), f("brief").alias("brief"))
-
-
-NAMES = [("The Machine Learning Analysis", "Smith, J. and Jones, A."), ("Machine Learning Analysis (Extended Version)", "Brown, B.; Davis, C. et al."), ("A Study: Graphs & Trees", "Lee")]
-
-
-# SF-01, SF-08
-@query(f"""WITH {values('n', NAMES, 'title, authors')} SELECT title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '^(the|a|an) ', ''), ' *\\([^)]*\\) *$', ''), '[^\\p{{L}}\\p{{N}}_ \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS plain,
-substr(regexp_replace(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_ \\-]', '', 'g'), '[ \\-]+', '_', 'g'), 1, 50) AS slug FROM n""")
-def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, NAMES, "title string, authors string").select("title", T.normalize_title(F.col("title")).alias("plain"), T.slug(F.col("title")).alias("slug"))

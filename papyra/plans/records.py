@@ -24,63 +24,6 @@ from papyra.session import shared_folder
 from papyra.sources import feeds, sinks
 from papyra.streaming import operators as M
 
-PAPERS = [
-    ("2301.00001", "Deep Graph Search", ["Ann Lee", "Bo Fox"], "We search graphs.", ["cs.AI", "cs.IR"], "2023-01-02 00:00:00"),
-    ("2302.00002", "Counting Citations", ["Cy Dole"], "Counts of links.", ["cs.DL"], "2023-02-02 00:00:00"),
-    ("2303.00003", "Graph Ranking", ["Ann Leeson", "Di Roe"], "Ranks by links in graphs.", ["cs.IR"], "2023-03-03 00:00:00"),
-]
-PAPERS_SQL = values("p0", PAPERS, "id, title, authors, abstract, categories, d") + ", papers AS (SELECT id, title, authors, abstract, categories, CAST(d AS TIMESTAMP) AS published_date FROM p0)"
-
-
-def papers(spark: SparkSession) -> DataFrame:
-    df = rows(spark, PAPERS, "id string, title string, authors array<string>, abstract string, categories array<string>, d string")
-    return df.withColumn("published_date", F.to_timestamp("d")).drop("d")
-
-
-# SRC-02
-@query(f"WITH {PAPERS_SQL} SELECT id, title FROM papers WHERE list_contains(categories, 'cs.IR') AND published_date BETWEEN TIMESTAMP '2023-01-01' AND TIMESTAMP '2023-02-28'")
-def papers_in_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.in_category(papers(spark), "cs.IR", "2023-01-01 00:00:00", "2023-02-28 00:00:00").select("id", "title")
-
-
-# SRC-03, SRC-04, SRC-08
-@query(f"WITH {PAPERS_SQL} SELECT id, title FROM papers WHERE len(list_filter(authors, lambda a: contains(lower(a), 'ann lee'))) > 0")
-def papers_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.by_author(papers(spark), "Ann Lee").select("id", "title")
-
-
-# SRC-05
-@query(f"WITH {PAPERS_SQL} SELECT id FROM papers WHERE contains(lower(title), 'graph') AND contains(lower(abstract), 'links') AND list_contains(categories, 'cs.IR')")
-def papers_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.advanced(papers(spark), title="Graph", abstract="links", category="cs.IR").select("id")
-
-
-# SRC-06
-@query(f"WITH {values('c', sorted(feeds.CATEGORIES.items()), 'category, name')} SELECT * FROM c")
-def category_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.categories(spark)
-
-
-SCHOLAR = [("A Study of Links", "Ann Lee and Bo Fox", 2020, "V1", "http://u/1"), ("Counting", "Cy Dole", 2019, "V2", "http://u/2")]
-
-
-# SRC-07, SF-35, SF-32
-@query(f"""WITH {values('s', SCHOLAR, 'title, authors, year, venue, url')} SELECT 'scholar_' || substr(md5(title), 1, 12) AS id, title, array_to_string(string_split_regex(authors, ' and |, '), ';') AS authors, CAST(year AS INT) AS year,
-strftime(make_date(year, 1, 1), '%Y-%m-%d') AS published, md5(lower(title) || '_' || lower(string_split_regex(authors, ' and |, ')[1])) AS hash FROM s""")
-def second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = rows(spark, SCHOLAR, "title string, authors string, year int, venue string, url string").withColumn("abstract", F.lit(None).cast("string"))
-    return feeds.from_scholar(raw).select("id", "title", F.array_join("authors", ";").alias("authors"), "year", F.date_format("published_date", "yyyy-MM-dd").alias("published"), "hash")
-
-
-# SRC-01, SF-34: an entry as text
-ENTRY = "<entry><id>http://arxiv.org/abs/2301.00001v1</id><title>A  title</title><summary>Text here.</summary><published>2023-01-02T03:04:05Z</published><author><name>Ann Lee</name></author><category term=\"cs.AI\"/></entry>"
-
-
-@query("SELECT '2301.00001v1' AS id, 'A title' AS title, 'Ann Lee' AS authors, 'cs.AI' AS categories, CAST(2023 AS INT) AS year")
-def feed_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = rows(spark, [(ENTRY,)], "x string").select(F.from_xml("x", feeds.ENTRY).alias("e")).select("e.*")
-    return feeds.from_entries(e).select("id", "title", F.array_join("authors", ";").alias("authors"), F.array_join("categories", ";").alias("categories"), "year")
-
 
 # SRC-09, SRC-11, SRC-12
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE props IS NOT NULL")
@@ -98,12 +41,6 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", F.length("text").cast("long").alias("n_chars"), feeds.needs_ocr(F.col("text"), F.lit(1)).alias("needs_ocr"))
 
 
-# SRC-20, SF-33
-@query("SELECT CAST(i AS INT) AS attempt, least(pow(2, i), 60)::DOUBLE AS delay FROM range(10) t(i)")
-def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(10).select(F.col("id").cast("int").alias("attempt"), T.backoff(F.col("id")).alias("delay"))
-
-
 # SNK-20: the postings and the statistics of an index
 @query("""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY ALL""")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,15 +114,6 @@ def health_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "nation").select("n_nationkey", S.health_class(F.col("n_nationkey"), 5, 15).alias("health"))
 
 
-# SF-02, SF-03, SF-20, SF-27
-AUTHORS = [(1, "Smith, J.; Jones, A."), (2, "Brown, B. and Davis, C. et al."), (3, "Lee")]
-
-
-@query("SELECT * FROM (VALUES (1, 'smith j;jones a'), (2, 'brown b;davis c et al'), (3, 'lee')) v(id, names)")
-def author_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, AUTHORS, "id int, a string").select("id", F.array_join(T.author_names(F.col("a")), ";").alias("names"))
-
-
 # SF-04, SF-05: the first line as a title and as a name list, the text as a citation
 @query("""WITH d AS (SELECT doc_id, trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '[ \\t\\n\\r]+', ' ', 'g')) AS line, regexp_replace(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')), '[^\\p{L}\\p{N}_ \\-.:]', ' ', 'g') AS low FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(line, '^(?:title:|paper:|article:) *', '', 'i'), ' *\\([^)]*\\)$', '') AS title, regexp_replace(line, '[,. ]+$', '') AS authors,
@@ -211,15 +139,6 @@ def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "documents").select("doc_id", X.page_title(lines).alias("title"), F.array_join(X.page_authors(lines), ";").alias("authors"))
 
 
-# IR-36
-NUMBERED = [("d", "[1] First entry here\n[2] Second one [3] Third")]
-
-
-@query("SELECT * FROM (VALUES (0, 'First entry here'), (1, 'Second one'), (2, 'Third')) v(position, entry)")
-def numbered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, NUMBERED, "id string, x string").select(F.posexplode(X.numbered_entries(F.col("x"))).alias("position", "entry"))
-
-
 # GR-01, GR-03, PRJ-06
 @query(f"WITH {tables.NATION_EDGES_SQL}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT node, n_name FROM n LEFT JOIN nation ON n_nationkey = node")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
