@@ -12,9 +12,13 @@ from papyra.functions import text as T
 from papyra.operators import citations as X
 from papyra.operators import resolution as Z
 from papyra.operators import retrieval as R
-from papyra.plans.ranking import TEXTS
 
 FIELDS = "title string, authors string, year int, doi string, arxiv_id string, venue string"
+TEXT = (
+    "Intro cites [1] and (Smith et al., 2020).\nReferences\n[1] Smith, J. \"A study of graph search\". In Proceedings of Data 2020. doi:10.1000/123\n"
+    "[2] Brown, B. \"Deep networks at scale\". arXiv:2301.12345\n[3] Lee, G. \"Citation counts revisited\". Journal 2019. https://doi.org/10.5678/abcdef\n"
+)
+
 PAPERS = [
     ("w1", "Tidal Flats and Their Birds", "Okafor, P.; Lind, S.", 2011, "10.5555/tides", None, "Coast Letters"),
     ("w2", "Slow Rivers", "Moreau, C.; Iyer, T.", 2014, None, "1402.00017", "Hydrology"),
@@ -60,7 +64,7 @@ def test_authors_split_on_semicolons(spark):
 
 
 def test_entries_and_fields(spark):
-    rows = X.parse(X.explode_entries(spark.createDataFrame(TEXTS[:1], "source_paper_id string, text string"))).orderBy("position").collect()
+    rows = X.parse(X.explode_entries(spark.createDataFrame([("d1", TEXT)], "source_paper_id string, text string"))).orderBy("position").collect()
     assert [r.doi for r in rows] == ["10.1000/123", None, "10.5678/abcdef"]
     assert [r.arxiv_id for r in rows] == [None, "2301.12345", None]
     assert rows[0].title == "A study of graph search" and rows[0].year == 2020 and rows[0].authors == "Smith, J."
