@@ -7,9 +7,10 @@ phrases by merges of sorted positions: of the starts of frequent phrases those s
 another (first and last m words of m + 1 are frequent), and the word at ``start + m`` is taken from the postings. The
 length of a list is the phrase's exact frequency in the chunk.
 
-Frequencies of all chunks meet by phrase: a chunk's phrases, sorted by 64-bit key, are cut into ranges of keys, one row of packed
-keys and lengths for each range; a task that gets a range from all chunks adds up the lengths and tells each chunk
-which of its phrases are frequent. One of the chunks is asked to define each such phrase (its words and parts). Nothing
+Frequencies of all chunks meet by phrase: a chunk's phrases are cut into ranges of their hashes, one row for each range of what they are
+made of (the numbers of the phrase without its last word and of that word) and of their lengths; a task that gets a range from all chunks
+adds up the lengths, numbers the frequent phrases and tells each chunk which of its phrases they are. One of the chunks is asked to define
+each such phrase (its words and parts). Nothing
 grows with a word's frequency: a chunk sends one number for each of its phrases. Ranges are as many as chunks, about.
 
 Scores, dropped phrases and ranks are joins over the frequent phrases. A phrase of m + 1 words is known by its first and
@@ -17,7 +18,8 @@ last m words, so each level takes the frequencies of all cuts from the level bel
 a phrase shows in those of one word more, since frequencies only fall on the way to the longer one.
 
 Defined results: a null text is empty, a null lang is ``und``; repeated rows count as often as they occur; words of any
-length are whole; an empty table gives an empty table; other columns are ignored. Phrases are known by 64-bit hashes.
+length are whole; an empty table gives an empty table; other columns are ignored. Words are known by 64-bit hashes,
+phrases of a chunk too; between chunks phrases are known by exact numbers.
 """
 
 from __future__ import annotations
@@ -93,6 +95,11 @@ class Lists:
     keys: np.ndarray
     lengths: np.ndarray
     starts: np.ndarray
+    #: What the phrases of each list are made of: number of the phrase without its last word, and of that word. (A word: its hash and 0.)
+    prefix: np.ndarray | None = None
+    word: np.ndarray | None = None
+    #: All starts in order and the number of the list of each, once known.
+    placed: tuple[np.ndarray, np.ndarray] | None = None
 
     @staticmethod
     def of(keys: np.ndarray, starts: np.ndarray) -> tuple[Lists, np.ndarray]:
@@ -104,49 +111,68 @@ class Lists:
 
     def by_place(self, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ascending starts and the number of the list of each, of the chosen lists or of all."""
-        owner, starts = np.repeat(np.arange(len(self.keys)), self.lengths), self.starts
-        if chosen is not None:
-            keep = np.zeros(len(self.keys), bool)
-            keep[chosen] = True
-            owner, starts = owner[keep[owner]], starts[keep[owner]]
-        order = np.argsort(starts)
-        return starts[order], owner[order]
+        if self.placed is None:
+            owner, order = np.repeat(np.arange(len(self.keys)), self.lengths), np.argsort(self.starts)
+            self.placed = self.starts[order], owner[order]
+        starts, owner = self.placed
+        if chosen is None:
+            return starts, owner
+        keep = np.zeros(len(self.keys), bool)
+        keep[chosen] = True
+        kept = keep[owner]
+        return starts[kept], owner[kept]
 
     def firsts(self) -> np.ndarray:
         return self.starts[np.cumsum(self.lengths) - self.lengths] if len(self.keys) else self.starts[:0]
 
     def pack(self) -> bytes:
-        steps = np.diff(self.starts, prepend=np.int32(0)).astype(np.int32)
-        return pack(self.keys, self.lengths, steps)
+        """Gaps between all starts, and for each start its list, the longest lists having the smallest numbers: that packs better than list by list."""
+        starts, owner = self.by_place()
+        by = np.argsort(-self.lengths, kind="stable")
+        number = np.empty(len(by), np.int32)
+        number[by] = np.arange(len(by), dtype=np.int32)
+        return pack(self.keys[by], np.diff(starts, prepend=np.int32(0)).astype(np.int32), number[owner])
 
     @staticmethod
     def unpack(data: bytes) -> Lists:
-        keys, lengths, steps = unpack(data, np.uint64, np.int32, np.int32)
-        return Lists(keys, lengths, np.cumsum(steps, dtype=np.int32))
+        keys, gaps, owner = unpack(data, np.uint64, np.int32, np.int32)
+        by = np.argsort(keys)
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        owner, starts = number[owner], np.cumsum(gaps, dtype=np.int32)
+        lengths = np.bincount(owner, minlength=len(keys)).astype(np.int32)
+        return Lists(keys[by], lengths, starts[np.argsort(owner, kind="stable")], placed=(starts, owner))
 
 
 ROWS = pa.schema(
     [
-        ("chunk", pa.int64()), ("span", pa.int64()), ("base", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),  # phrases of a range of keys
+        ("chunk", pa.int64()), ("span", pa.int64()), ("base", pa.int32()), ("keys", pa.binary()),  # phrases of a range of keys
         ("lists", pa.binary()), ("postings", pa.binary()), ("words", pa.binary()),  # state of a chunk
         ("key", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), ("f", pa.int64()), ("lang", pa.string()), ("word", pa.string()),  # a phrase, or (without key) words of a language
     ]
 )
-SCHEMA = "chunk bigint, span bigint, base int, keys binary, counts binary, lists binary, postings binary, words binary, key bigint, prefix bigint, suffix bigint, f bigint, lang string, word string"
+SCHEMA = "chunk bigint, span bigint, base int, keys binary, lists binary, postings binary, words binary, key bigint, prefix bigint, suffix bigint, f bigint, lang string, word string"
 
 
 def _batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) if n else pa.array([], f.type) for f in ROWS], schema=ROWS)
 
 
-def _spans(chunk: int, lists: Lists, spans: int) -> pa.RecordBatch:
-    """The keys and lengths of a chunk's lists, a row for each range of keys with any."""
+def _ranges(lists: Lists, spans: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each range of keys begins, and the order of lists within: by prefix and word, which packs well."""
     edges = np.array([-(-(i << 32) // spans) for i in range(1, spans)], np.uint64) << np.uint64(32)
     at = np.concatenate([[0], np.searchsorted(lists.keys, edges), [len(lists.keys)]])
+    return at, np.lexsort((lists.word, lists.prefix, np.repeat(np.arange(spans), np.diff(at))))
+
+
+def _spans(chunk: int, lists: Lists, spans: int) -> pa.RecordBatch:
+    """What a chunk's lists are made of and their lengths, a row for each range of keys with any."""
+    at, order = _ranges(lists, spans)
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+    prefix, word, lengths = lists.prefix[order], lists.word[order], lists.lengths[order]
     return _batch(
         len(rows), chunk=pa.array([chunk] * len(rows), pa.int64()), span=pa.array([i for i, _, _ in rows], pa.int64()), base=pa.array([a for _, a, _ in rows], pa.int32()),
-        keys=pa.array([pack(lists.keys[a:b]) for _, a, b in rows], pa.binary()), counts=pa.array([pack(lists.lengths[a:b]) for _, a, b in rows], pa.binary()),
+        keys=pa.array([pack(prefix[a:b], word[a:b], lengths[a:b]) for _, a, b in rows], pa.binary()),
     )
 
 
@@ -184,6 +210,7 @@ class Chunk:
         text = b" ".join(raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist()))
         names = json.dumps(list(self.langs)).encode()
         words = pack(np.frombuffer(text, np.uint8), lang[one], np.frombuffer(names, np.uint8))
+        lists.prefix, lists.word = lists.keys, np.zeros(len(lists.keys), np.uint64)
         yield _spans(chunk, lists, spans)
         yield _batch(1, chunk=pa.array([chunk]), lists=pa.array([lists.pack()]), words=pa.array([words]))
         total = np.bincount(lang, minlength=len(self.langs))
@@ -207,33 +234,49 @@ def _words(spans: int):
     return run
 
 
+FOUND = pa.schema([("chunk", pa.int64()), ("span", pa.int64()), ("base", pa.int32()), ("found", pa.binary())])
+
+
+def _told(found: pa.Table, m: int, spans: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, frequencies to define (or 0), and numbers of a chunk's frequent phrases."""
+    parts = []
+    for span, base, data in zip(*(found.column(c).to_pylist() for c in ("span", "base", "found"))):
+        place, define, rank = unpack(data, np.int32, np.int64, np.int32)
+        parts.append((np.cumsum(place) + base, define, ((np.cumsum(rank, dtype=np.int64) * spans + span) * 8 + m).astype(np.uint64)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _frequent(least: int):
-    """Of a range of keys from all chunks: which phrases of each chunk are frequent, and the frequency of those that it is to define."""
+    """Of a range of keys from all chunks: numbers for the frequent phrases, told to each chunk that has them, and the frequency of those that it is to define.
+
+    Numbers are unique over all ranges and levels and small, so that longer phrases pack well.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk").combine_chunks()
-        keys = [unpack(x, np.uint64)[0] for x in t.column("keys").to_pylist()]
-        counts = [unpack(x, np.int32)[0] for x in t.column("counts").to_pylist()]
-        row = np.repeat(np.arange(t.num_rows), [len(k) for k in keys])
-        place = np.concatenate([np.arange(len(k)) for k in keys])
-        key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        total = np.add.reduceat(count[order], first)
+        parts = [unpack(x, np.uint64, np.uint64, np.int32) for x in t.column("keys").to_pylist()]
+        row = np.repeat(np.arange(t.num_rows), [len(x[0]) for x in parts])
+        place = np.concatenate([np.arange(len(x[0])) for x in parts])
+        prefix, word, count = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((np.arange(len(row)), word, prefix))
+        a, b = prefix[order], word[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        total = np.add.reduceat(count[order].astype(np.int64), first)
         often = total >= least
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        define = np.zeros(len(key), np.int64)
+        rank = np.cumsum(often) - 1
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
+        define, own, hit = np.zeros(len(row), np.int64), np.zeros(len(row), np.int32), np.zeros(len(row), bool)
         define[order[first[often]]] = total[often]
-        hit = np.zeros(len(key), bool)
-        hit[order] = often[group]
-        row, place, define = row[hit], place[hit].astype(np.int32), define[hit]
+        own[order], hit[order] = rank[group].astype(np.int32), often[group]
+        row, place, define, own = row[hit], place[hit].astype(np.int32), define[hit], own[hit]
         at = np.searchsorted(row, np.arange(t.num_rows + 1))
         some = [i for i in range(t.num_rows) if at[i + 1] > at[i]]
         base = np.asarray(t.column("base"))
-        return pa.table(
-            {"chunk": t.column("chunk").take(pa.array(some, pa.int64())), "found": pa.array([pack(place[at[i] : at[i + 1]] + base[i], define[at[i] : at[i + 1]]) for i in some], pa.binary())},
-            schema=pa.schema([("chunk", pa.int64()), ("found", pa.binary())]),
-        )
+        # places and ranks of a chunk both ascend: their steps are small
+        steps = lambda x: np.diff(x, prepend=np.int32(0)).astype(np.int32)
+        packed = [pack(steps(place[at[i] : at[i + 1]]), define[at[i] : at[i + 1]], steps(own[at[i] : at[i + 1]])) for i in some]
+        chosen = pa.array(some, pa.int64())
+        return pa.table([*(t.column(c).take(chosen) for c in ("chunk", "span", "base")), pa.array(packed, pa.binary())], schema=FOUND)
 
     return run
 
@@ -243,53 +286,75 @@ def _merge(sorted_places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.searchsorted(sorted_places, wanted)
 
 
+def _longer(lists: Lists, m: int, places: np.ndarray, words: np.ndarray) -> Lists:
+    """From lists of frequent phrases of m words those of one word more."""
+    starts, owner = lists.by_place()
+    go = np.flatnonzero(np.append(starts[1:] == starts[:-1] + 1, False)) if len(starts) else np.zeros(0, np.int64)  # a frequent phrase starts at the next word too
+    begin, prefix = starts[go], lists.keys[owner[go]]
+    word = words[_merge(places, begin + m)]
+    longer, order = Lists.of(extend(prefix, word), begin)
+    one = order[np.cumsum(longer.lengths) - longer.lengths]
+    longer.prefix, longer.word = prefix[one], word[one]
+    return longer
+
+
 def _level(m: int, most: int, spans: int):
-    """From level m to m + 1: the phrases that this chunk defines, and the lists of phrases with one word more."""
+    """From level m to m + 1: the phrases that this chunk defines, and what its phrases with one word more are made of.
+
+    A chunk keeps the lists of frequent phrases only, by their numbers: those of level m are made again from the frequent ones below. At level 2
+    these are the postings themselves.
+    """
 
     def run(state: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         if state.num_rows and found.num_rows:
             s = state.slice(0, 1).to_pylist()[0]
-            lists = Lists.unpack(s["lists"])
-            known, define = (np.concatenate(x) for x in zip(*(unpack(x, np.int32, np.int64) for x in found.column("found").to_pylist())))
-            starts, owner = lists.by_place(known)
+            known, define, number = _told(found, m, spans)
             if m == 1:
-                postings = Lists.of(lists.keys[owner], starts)[0]
-                places, words = starts, lists.keys[owner]
+                lists = below = Lists.unpack(s["lists"])
+                lists.prefix, lists.word = lists.keys, np.zeros(len(lists.keys), np.uint64)
             else:
                 postings = Lists.unpack(s["postings"])
                 places, at = postings.by_place()
                 words = postings.keys[at]
-            out.append(_definitions(m, s, lists, known[define > 0], define[define > 0], places, words))
-            if m < most and len(starts):
-                go = np.flatnonzero(np.append(starts[1:] == starts[:-1] + 1, False))  # a frequent phrase starts at the next word too
-                begin = starts[go]
-                longer = Lists.of(extend(lists.keys[owner[go]], words[_merge(places, begin + m)]), begin)[0]
+                below = Lists.unpack(s["lists"]) if s["lists"] else postings
+                lists = _longer(below, m - 1, places, words)
+            known = _ranges(lists, spans)[1][known]
+            out.append(_definitions(m, s, lists, below, known[define > 0], define[define > 0], number[define > 0]))
+            if m < most:
+                numbers = np.zeros(len(lists.keys), np.uint64)
+                numbers[known] = number
+                starts, owner = lists.by_place(known)
+                often = Lists.of(numbers[owner], starts)[0]
+                if m == 1:
+                    places, words = starts, numbers[owner]
+                longer = _longer(often, m, places, words)
                 if len(longer.keys):
-                    used = np.zeros(int(places[-1]) + 2, bool)
-                    for i in range(m + 1):
-                        used[begin + i] = True
+                    used, near = np.zeros(int(places[-1]) + 2, bool), np.zeros(int(places[-1]) + 2, bool)
+                    begin = longer.starts
+                    near[begin] = near[begin + 1] = True
+                    used[begin + m] = True  # all words that longer phrases may end with
+                    if m == 1:
+                        used |= near
                     rest = Lists.of(words[used[places]], places[used[places]])[0]
+                    kept = Lists.of(numbers[owner[near[starts]]], starts[near[starts]])[0]
                     out.append(_spans(s["chunk"], longer, spans))
-                    out.append(_batch(1, chunk=pa.array([s["chunk"]]), lists=pa.array([longer.pack()]), postings=pa.array([rest.pack()])))
+                    out.append(_batch(1, chunk=pa.array([s["chunk"]]), lists=pa.array([kept.pack() if m > 1 else b""]), postings=pa.array([rest.pack()])))
         return pa.Table.from_batches(out, schema=ROWS)
 
     return run
 
 
-def _definitions(m: int, s: dict, lists: Lists, own: np.ndarray, f: np.ndarray, places: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-    columns = {"key": pa.array(lists.keys[own].view(np.int64)), "f": pa.array(f)}
+def _definitions(m: int, s: dict, lists: Lists, below: Lists, own: np.ndarray, f: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    columns = {"key": pa.array(number.view(np.int64)), "f": pa.array(f)}
     if m == 1:
         text, lang, names = unpack(s["words"], np.uint8, np.int32, np.uint8)
         text, names = text.tobytes().split(b" "), json.loads(names.tobytes())
         columns |= {"word": pa.array([text[i].decode() for i in own], pa.string()), "lang": pa.array([names[lang[i]] for i in own], pa.string())}
     else:
-        first = lists.firsts()[own]
-        word = [words[_merge(places, first + i)] for i in range(m)]
-        prefix, suffix = word[0], word[1]
-        for a, b in zip(word[1:-1], word[2:]):
-            prefix, suffix = extend(prefix, a), extend(suffix, b)
-        columns |= {"prefix": pa.array(prefix.view(np.int64)), "suffix": pa.array(suffix.view(np.int64))}
+        starts, owner = below.by_place()
+        suffix = below.keys[owner[_merge(starts, lists.firsts()[own] + 1)]]
+        columns |= {"prefix": pa.array(lists.prefix[own].view(np.int64)), "suffix": pa.array(suffix.view(np.int64))}
     return _batch(len(own), **columns)
 
 
@@ -305,10 +370,13 @@ def frequent_phrases(docs: DataFrame, s: PhraseSetting = PhraseSetting()) -> tup
     for m in range(1, s.words + 1):
         if m == 1:
             totals = Stored(rows.read().where("key is null and lang is not null").groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
-        spread = rows.read().where("span is not null").select("span", "chunk", "base", "keys", "counts")
-        found = Stored(spread.groupBy("span").applyInArrow(_frequent(s.least), "chunk bigint, found binary"), f"frequent-{m}")
+        spread = rows.read().where("span is not null").select("span", "chunk", "base", "keys")
+        found = Stored(spread.groupBy("span").applyInArrow(_frequent(s.least), "chunk bigint, span bigint, base int, found binary"), f"frequent-{m}")
+        del spread
+        release(spark)
         state = rows.read().where("lists is not null").select("chunk", "lists", "postings", "words")
         after = Stored(state.groupBy("chunk").cogroup(found.read().groupBy("chunk")).applyInArrow(_level(m, s.words, spans), SCHEMA), f"phrases-{m + 1}", **few)
+        del state
         release(spark, rows, found)
         levels.append(Stored(after.read().where("key is not null").select("key", "f", "lang", "word", "prefix", "suffix"), f"level-{m}"))
         rows = after
