@@ -43,6 +43,8 @@ CHUNK_WORDS = 1 << 20
 RANGE_BYTES, LEAST_RANGES = 4 << 20, 64
 #: Rows of one language that one task ranks, about.
 RANK_ROWS = 20_000
+#: Of zstandard; what is packed here is written and shuffled, so it is worth the time.
+PACK_LEVEL = 6
 
 #: What ends a piece, and what ends a word inside of one.
 BREAK = np.zeros(256, bool)
@@ -66,7 +68,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
     head = np.array([len(planes), *map(len, planes)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=PACK_LEVEL).compress(head + b"".join(planes))
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -83,6 +85,28 @@ def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences to the value before (unsigned ones wrap); a cumulative sum gives the values again."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def pair_steps(prefix: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs in order: the steps of the first, and of the second from one pair to the next with the same first."""
+    first, second = steps(prefix), steps(word)
+    new = first != 0
+    new[:1] = True
+    return first, np.where(new, word, second)
+
+
+def pairs_of(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs again."""
+    new = first != 0
+    new[:1] = True
+    total, at = np.cumsum(second, dtype=second.dtype), np.flatnonzero(new)
+    before = total[at] - second[at]
+    return np.cumsum(first, dtype=first.dtype), total - np.repeat(before, np.diff(np.append(at, len(new))))
+
+
 def extend(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Keys of phrases with one word more."""
     return mix(keys * np.uint64(STEP) + words + np.uint64(1))
@@ -126,16 +150,17 @@ class Lists:
         return self.starts[np.cumsum(self.lengths) - self.lengths] if len(self.keys) else self.starts[:0]
 
     def pack(self) -> bytes:
-        """Gaps between all starts, and for each start its list, the longest lists having the smallest numbers: that packs better than list by list."""
+        """Steps of the keys and of all starts, and for each start its list, the longest lists having the smallest numbers: that packs better than list by list."""
         starts, owner = self.by_place()
         by = np.argsort(-self.lengths, kind="stable")
         number = np.empty(len(by), np.int32)
         number[by] = np.arange(len(by), dtype=np.int32)
-        return pack(self.keys[by], np.diff(starts, prepend=np.int32(0)).astype(np.int32), number[owner])
+        return pack(steps(self.keys[by]), steps(starts.astype(np.int32)), number[owner])
 
     @staticmethod
     def unpack(data: bytes) -> Lists:
         keys, gaps, owner = unpack(data, np.uint64, np.int32, np.int32)
+        keys = np.cumsum(keys, dtype=np.uint64)
         by = np.argsort(keys)
         number = np.empty(len(by), np.int64)
         number[by] = np.arange(len(by))
@@ -169,10 +194,11 @@ def _spans(chunk: int, lists: Lists, spans: int) -> pa.RecordBatch:
     """What a chunk's lists are made of and their lengths, a row for each range of keys with any."""
     at, order = _ranges(lists, spans)
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-    prefix, word, lengths = lists.prefix[order], lists.word[order], lists.lengths[order]
+    lengths = lists.lengths[order]
+    pairs = [pair_steps(lists.prefix[order[a:b]], lists.word[order[a:b]]) for _, a, b in rows]
     return _batch(
         len(rows), chunk=pa.array([chunk] * len(rows), pa.int64()), span=pa.array([i for i, _, _ in rows], pa.int64()), base=pa.array([a for _, a, _ in rows], pa.int32()),
-        keys=pa.array([pack(prefix[a:b], word[a:b], lengths[a:b]) for _, a, b in rows], pa.binary()),
+        keys=pa.array([pack(*pair, lengths[a:b]) for pair, (_, a, b) in zip(pairs, rows)], pa.binary()),
     )
 
 
@@ -212,6 +238,8 @@ class Chunk:
         words = pack(np.frombuffer(text, np.uint8), lang[one], np.frombuffer(names, np.uint8))
         lists.prefix, lists.word = lists.keys, np.zeros(len(lists.keys), np.uint64)
         yield _spans(chunk, lists, spans)
+        # the hashes are in the ranges now: what is told of this level goes by places in their order
+        lists = Lists(np.arange(len(lists.keys), dtype=np.uint64), lists.lengths, lists.starts)
         yield _batch(1, chunk=pa.array([chunk]), lists=pa.array([lists.pack()]), words=pa.array([words]))
         total = np.bincount(lang, minlength=len(self.langs))
         yield _batch(len(total), lang=pa.array(list(self.langs), pa.string()), f=pa.array(total, pa.int64()))
@@ -255,6 +283,7 @@ def _frequent(least: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk").combine_chunks()
         parts = [unpack(x, np.uint64, np.uint64, np.int32) for x in t.column("keys").to_pylist()]
+        parts = [(*pairs_of(first, second), count) for first, second, count in parts]
         row = np.repeat(np.arange(t.num_rows), [len(x[0]) for x in parts])
         place = np.concatenate([np.arange(len(x[0])) for x in parts])
         prefix, word, count = (np.concatenate(x) for x in zip(*parts))
@@ -273,7 +302,6 @@ def _frequent(least: int):
         some = [i for i in range(t.num_rows) if at[i + 1] > at[i]]
         base = np.asarray(t.column("base"))
         # places and ranks of a chunk both ascend: their steps are small
-        steps = lambda x: np.diff(x, prepend=np.int32(0)).astype(np.int32)
         packed = [pack(steps(place[at[i] : at[i + 1]]), define[at[i] : at[i + 1]], steps(own[at[i] : at[i + 1]])) for i in some]
         chosen = pa.array(some, pa.int64())
         return pa.table([*(t.column(c).take(chosen) for c in ("chunk", "span", "base")), pa.array(packed, pa.binary())], schema=FOUND)

@@ -79,3 +79,17 @@ def test_lists_hold_every_place():
     assert again.keys.tolist() == [3, 5, 9] and again.lengths.tolist() == [1, 3, 1] and again.starts.tolist() == [1, 0, 4, 7, 9]
     assert again.firsts().tolist() == [1, 0, 9]
     assert [x.tolist() for x in again.by_place(np.array([1, 2]))] == [[0, 4, 7, 9], [1, 1, 1, 2]]
+
+
+def test_pairs_and_lists_come_back_from_their_steps():
+    rng = np.random.default_rng(5)
+    for top in (1, 3, 1 << 63):
+        prefix, word = rng.integers(0, top, 500, dtype=np.uint64), rng.integers(0, top, 500, dtype=np.uint64)
+        order = np.lexsort((word, prefix))
+        again = P.pairs_of(*P.pair_steps(prefix[order], word[order]))
+        assert (again[0] == prefix[order]).all() and (again[1] == word[order]).all()
+        lists = P.Lists.of(prefix, np.arange(7, 507, dtype=np.int32))[0]
+        back = P.Lists.unpack(lists.pack())
+        assert all((getattr(back, n) == getattr(lists, n)).all() for n in ("keys", "lengths", "starts"))
+    none = np.zeros(0, np.uint64)
+    assert not any(len(x) for x in P.pairs_of(*P.pair_steps(none, none)))
