@@ -22,6 +22,7 @@ from papyra.plans import series  # noqa: F401  its SQL is used again
 from papyra.plans.registry import SQL, query, r, rows, values
 from papyra.session import shared_folder
 from papyra.sources import feeds, sinks
+from papyra.streaming import key_index
 from papyra.streaming import operators as M
 
 
@@ -180,6 +181,15 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
+# SM-07: keys of all events once, over two runs of the whole stream
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, stream = _folder(spark), _events(spark, sf_dir).select("user_id", "event_type", "event_id")
+    for run in ("first", "again"):
+        key_index.ingest_by_bucket(stream, f"{out}/table", f"{out}/index", ["user_id", "event_type"], f"{out}/{run}").awaitTermination()
+    return spark.read.schema("user_id bigint, event_type string, event_id bigint").parquet(f"{out}/table").select("user_id", "event_type")
+
+
 # SM-06 as a stream with state for each user: the rows of the batch query
 @query(SQL["snapshot_rates"])
 def stream_snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
