@@ -149,6 +149,20 @@ def test_each_pair_once_in_every_block(vectors, monkeypatch):
     assert sorted((r.a, r.b) for r in V.similar_pairs(df, 0.8).collect()) == want
 
 
+def test_nearest_rows_of_two_blocks_in_little_memory():
+    import tracemalloc
+
+    m = np.random.default_rng(3).normal(size=(4096, 16))
+    m[100:200] = m[0]  # ties go to the smaller id
+    tracemalloc.start()
+    q, c, s = V.best_rows(m, np.arange(4096), m, np.arange(4096), 5, "l2")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and len(q) == 5 * 4096
+    assert c[:5].tolist() == [100, 101, 102, 103, 104] and not s[:5].any()
+    assert c[5 * 150 : 5 * 150 + 5].tolist() == [0, 100, 101, 102, 103]
+
+
 def test_clusters_and_embeddings(vectors, spark):
     _, df = vectors
     assert V.kmeans(df, 4).select("cluster").distinct().count() <= 4
