@@ -167,8 +167,7 @@ def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT x AS node, x AS far FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.far = e.x),
 c AS (SELECT node, min(far) AS component FROM r GROUP BY node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c""")
 def topic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = V.similar_pairs(tables.read(spark, sf_dir, "embeddings"), 0.3).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return G.communities(pairs)
+    return G.communities(V.similar_links(tables.read(spark, sf_dir, "embeddings"), 0.3).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 # GR-21: the five nearest of every vector above a score

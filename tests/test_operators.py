@@ -163,6 +163,14 @@ def test_nearest_rows_of_two_blocks_in_little_memory():
     assert c[5 * 150 : 5 * 150 + 5].tolist() == [0, 100, 101, 102, 103]
 
 
+def test_links_have_the_components_of_all_pairs(vectors, monkeypatch):
+    m, df = vectors
+    monkeypatch.setattr(V, "BLOCK", 32)
+    both = [V.similar_pairs(df, 0.8), V.similar_links(df, 0.8)]
+    a, b = ({(r.node, r.component, r.size) for r in G.communities(x.selectExpr("a as src", "b as dst")).collect()} for x in both)
+    assert a == b and both[1].count() < both[0].count()
+
+
 def test_lsh_pairs_are_those_of_the_bucket_join(vectors, monkeypatch):
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
