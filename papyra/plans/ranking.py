@@ -175,7 +175,7 @@ def topic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS n FROM s) SELECT src, dst, round(score, 5) AS weight FROM t WHERE n <= 5 AND score > 0.3""")
 def knowledge_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = tables.read(spark, sf_dir, "embeddings")
-    return V.search(v, v, 5).where("score > 0.3").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), r("score", 5).alias("weight"))
+    return V.search(v, v, 5, least=0.3).where("score > 0.3").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), r("score", 5).alias("weight"))
 
 
 # IR-15: labels depend on the start, so rows only
