@@ -14,12 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyra.operators.vectors import BLOCK, measure
+from papyra.operators.vectors import BLOCK, HITS, best_rows, measure
 from papyra.session import shared_folder
 
-HITS = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-
-
 def _vectors(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -136,18 +133,12 @@ class ListIndex:
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         a = met.where(F.col("list").isin(wanted)).select("id", "v", "list", own(q_blocks).alias("qb"), every(c_blocks).alias("cb"))
         b = self.rows(wanted).select("id", "v", "list", own(c_blocks).alias("cb"), every(q_blocks).alias("qb"))
-        sign = -1.0 if metric == "l2" else 1.0
 
         def best(q: pa.Table, c: pa.Table) -> pa.Table:
             if not q.num_rows or not c.num_rows:
                 return HITS.empty_table()
-            s = measure(_vectors(q.column("v"), q.num_rows), _vectors(c.column("v"), c.num_rows), metric if metric == "l2" else "inner_product")
-            q_ids, c_ids = np.asarray(q.column("id")), np.asarray(c.column("id"))
-            better = np.where(c_ids[None, :] == q_ids[:, None], -np.inf, sign * s)
-            order = np.lexsort((np.broadcast_to(c_ids, s.shape), -better), axis=1)[:, :k]
-            row, col = np.repeat(np.arange(len(q_ids)), order.shape[1]), order.ravel()
-            keep = better[row, col] > -np.inf
-            return pa.table([q_ids[row[keep]], c_ids[col[keep]], s[row[keep], col[keep]]], schema=HITS)
+            found = best_rows(_vectors(q.column("v"), q.num_rows), np.asarray(q.column("id")), _vectors(c.column("v"), c.num_rows), np.asarray(c.column("id")), k, metric if metric == "l2" else "inner_product")
+            return pa.table(list(found), schema=HITS)
 
         found = a.groupBy("list", "qb", "cb").cogroup(b.groupBy("list", "qb", "cb")).applyInArrow(best, "query_id bigint, id bigint, score double")
         return ranked(found, k, metric)
