@@ -38,6 +38,8 @@ from papyra.llm.word_hashes import LOWER, Words, run_hashes
 SHAPE, META, CLASSES = 16, 64, 10
 #: Bins of hashed words and of hashed word pairs.
 BINS = 128
+#: Rows that a fit holds as doubles at a time.
+STRIP = 1024
 REPEAT = 3
 #: Words that a text's bins are diluted by, so that those of a few words say little.
 PRIOR = 1
@@ -154,17 +156,23 @@ class Logistic:
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
 
-    def _in(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
+    def _in(self, x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Scaled rows with a constant, a strip at a time."""
+        for at in range(0, len(x), STRIP):
+            cut = slice(at, at + STRIP)
+            yield cut, np.hstack([(x[cut] - self.mean) / self.scale, np.ones((len(x[cut]), 1))])
 
     def fit(self, x: np.ndarray, y: np.ndarray, ridge: float) -> Logistic:
-        x = x.astype(np.float64)
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        a, self.w = self._in(x), np.zeros(x.shape[1] + 1)
+        self.mean = x.mean(0, dtype=np.float64)
+        self.scale = np.sqrt(sum(((x[at : at + STRIP] - self.mean) ** 2).sum(0) for at in range(0, len(x), STRIP)) / len(x)) + 1e-6
+        self.w = np.zeros(x.shape[1] + 1)
         for _ in range(25):
-            p = sigmoid(a @ self.w)
-            grad = a.T @ (p - y) + ridge * len(y) * np.append(self.w[:-1], 0)
-            hess = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * len(y) * np.eye(len(self.w)) * np.append(np.ones(len(self.w) - 1), 1e-6)
+            grad = ridge * len(y) * np.append(self.w[:-1], 0)
+            hess = ridge * len(y) * np.eye(len(self.w)) * np.append(np.ones(len(self.w) - 1), 1e-6)
+            for cut, a in self._in(x):
+                p = sigmoid(a @ self.w)
+                grad += a.T @ (p - y[cut])
+                hess += (a * (p * (1 - p) + 1e-9)[:, None]).T @ a
             step = np.linalg.solve(hess, grad)
             self.w = self.w - step
             if np.abs(step).max() < 1e-6:
@@ -172,7 +180,10 @@ class Logistic:
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self._in(x.astype(np.float64)) @ self.w
+        out = np.empty(len(x))
+        for cut, a in self._in(x):
+            out[cut] = a @ self.w
+        return out
 
 
 @dataclass

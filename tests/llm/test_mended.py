@@ -110,3 +110,23 @@ def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
     order = [{r.doc_id // 300 for r in bins[s]} for s in sorted(bins)]
     assert all(max(a) <= min(b) + 0 or max(a) == min(b) for a, b in zip(order, order[1:])) and sorted(bins) == list(range(len(bins)))
     assert len(bins) <= len({r.sequence_id for r in apart}) + bin_slack.MOST_WINDOWS
+
+
+def test_fit_holds_a_strip_of_doubles():
+    """The driver fits on 20,000 rows; copies of them as doubles took it over its memory."""
+    import tracemalloc
+
+    from papyra.llm.co_training import Logistic
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20_000, 275)).astype(np.float32)
+    y = (x[:, 0] + rng.normal(size=20_000) > 0).astype(float)
+    tracemalloc.start()
+    model = Logistic().fit(x, y, 1e-3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6
+    a = np.hstack([(x - x.mean(0, dtype=float)) / (x.std(0, dtype=float) + 1e-6), np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-(a @ model.w)))
+    assert np.abs(a.T @ (p - y) + 1e-3 * len(y) * np.append(model.w[:-1], 0)).max() < 1e-3  # the gradient at the whole fit is none
+    assert model.logit(x) == pytest.approx(a @ model.w)
