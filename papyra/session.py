@@ -41,6 +41,14 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder (one of our own only where none is set)."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
 def kept(df: DataFrame, *folders: str) -> DataFrame:
     """The rows as a checkpoint, so that the folders they were read from can go; these are removed."""
     spark = df.sparkSession

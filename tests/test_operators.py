@@ -185,6 +185,18 @@ def test_lsh_pairs_are_those_of_the_bucket_join(vectors, monkeypatch):
     assert sorted((r.a, r.b) for r in found.collect()) == sorted((r.a, r.b) for r in want.collect())
 
 
+@pytest.mark.parametrize("rank", [R.bm25])
+def test_ranking_shuffles_no_terms_of_documents(spark, monkeypatch, rank):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 397}" for j in range(1, 20))) for i in range(400)], "doc_id bigint, text string").repartition(8).cache()
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 7} w3") for q in range(1, 9)], "query_id int, query string")
+    one = rank(docs, asked, 5)
+    assert "hashpartitioning(id" not in one._jdf.queryExecution().toString()
+    monkeypatch.setattr(R, "ASKED", 3)
+    monkeypatch.setattr(R, "DOCS", 50)
+    rows = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in df.collect())
+    assert rows(one) == rows(rank(docs, asked, 5)) and rows(one)
+
+
 def test_clusters_and_embeddings(vectors, spark):
     _, df = vectors
     assert V.kmeans(df, 4).select("cluster").distinct().count() <= 4
