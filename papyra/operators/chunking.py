@@ -90,6 +90,8 @@ def hashed_vectors(sentences: Sequence[str], dims: int = 64) -> np.ndarray:
     return out / np.where(length > 0, length, 1)
 
 
+#: Sections whose sentences and vectors are held at a time.
+SECTIONS = 64
 #: What a chunk below the least size costs; far above any similarity.
 SHORT = 1000.0
 
@@ -121,7 +123,7 @@ def semantic_chunks(sections: DataFrame, id_col: str, size: int = 1000, least: i
     """IR-21: rows (id, section, title, content) cut between sentences that are least alike; no chunk goes over a section.
 
     ``hybrid`` keeps a section of ``size`` tokens at most whole, and cuts a single sentence of more tokens into windows with ``overlap``. ``encode`` turns
-    a list of sentences into vectors, one call for each Arrow batch. Chunks of fewer than ``least`` tokens go, unless a section has no other. A null or
+    a list of sentences into vectors, one call for SECTIONS sections. Chunks of fewer than ``least`` tokens go, unless a section has no other. A null or
     blank content gives no chunk. ``chunk_id`` is the id, the title's slug and the number in the section.
     """
     kind = "hybrid" if hybrid else "semantic"
@@ -142,7 +144,7 @@ def semantic_chunks(sections: DataFrame, id_col: str, size: int = 1000, least: i
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SECTIONS) for whole in batches for at in range(0, whole.num_rows, SECTIONS)):
             texts = [t or "" for t in b.column("content").to_pylist()]
             parts = [[p for p in re.split(r"(?<=[.!?])[ \t\r\n]+|\n+", t) if p.strip()] for t in texts]
             vectors, at = encode([p for x in parts for p in x]), 0

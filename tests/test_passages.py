@@ -82,3 +82,14 @@ def test_components_and_points(spark):
     assert got == {1: ("first...", "", ""), 2: ("", "", "")}
     df = spark.createDataFrame([("intro\n- one\n* two\n• three\n1. four\n2. five\n3. six",)], "s string")
     assert df.select(M.key_points(df.s)).first()[0] == ["one", "two", "three", "four", "five"]
+
+
+def test_sentences_of_few_sections_at_a_time(spark):
+    from papyra.operators import chunking
+
+    def encode(sentences):
+        assert len(sentences) <= 2 * 64
+        return chunking.hashed_vectors(sentences)
+
+    rows = spark.createDataFrame([(i, 0, "t", f"one {i}. two {i}.") for i in range(500)], "doc_id bigint, section int, title string, content string").coalesce(1)
+    assert chunking.semantic_chunks(rows, "doc_id", 200, 1, encode).select("doc_id").distinct().count() == 500
