@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.session import steady
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,14 +28,14 @@ PART_EDGES_SQL = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (src, dst, weight): supplier nation to customer nation with more lines than the average pair."""
+    """Distinct (src, dst, weight): supplier nation to customer nation with more lines than the average pair. Stored, so that what is built on it joins the tables once."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
     pairs = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
     counts = pairs.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    return counts.withColumn("mean", F.avg("weight").over(Window.partitionBy())).where("weight > 1.15 * mean").drop("mean")
+    return steady(counts.withColumn("mean", F.avg("weight").over(Window.partitionBy())).where("weight > 1.15 * mean").drop("mean"))
 
 
 NATION_EDGES_SQL = """counts AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey

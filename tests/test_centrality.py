@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from papyra import tables
 from papyra.operators import graph as G
 
 
@@ -34,3 +35,9 @@ def test_sampled_betweenness(spark):
 def test_no_edges(spark):
     e = spark.createDataFrame([], "src int, dst int")
     assert G.sketched_closeness(e).count() == 0 and G.sampled_betweenness(e).count() == 0
+
+
+def test_trade_graph_is_stored(spark):
+    """What is built on the nations' graph doesn't join the order lines again."""
+    e = tables.nation_edges(spark, "/root/testdata/sf0.01")
+    assert e.inputFiles() == [] and e.count() > 0
