@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from papyra import tables
 from papyra.operators import graph as G
+from papyra.operators import levels
 
 
 def graph(spark, n: int, m: int, seed: int):
@@ -41,3 +43,11 @@ def test_trade_graph_is_stored(spark):
     """What is built on the nations' graph doesn't join the order lines again."""
     e = tables.nation_edges(spark, "/root/testdata/sf0.01")
     assert e.inputFiles() == [] and e.count() > 0
+
+
+def test_levels_in_squares(spark, monkeypatch):
+    """Three blocks of nodes with names, and seeds in two slices: a node's row travels once for each block."""
+    monkeypatch.setattr(levels, "NODES", 10)
+    e = graph(spark, 24, 60, 3).select(*[F.concat(F.lit("n"), x).alias(x) for x in ("src", "dst")])
+    exact = {r.node: r.betweenness for r in G.betweenness(e).collect()}
+    assert {r.node: r.betweenness for r in G.sampled_betweenness(e, error=0.0, batch=24).collect()} == pytest.approx(exact)
