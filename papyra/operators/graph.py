@@ -12,6 +12,10 @@ from papyra.operators.levels import Squares
 from papyra.session import shared_folder
 
 
+#: Links of a node in one row, about.
+LINKS = 1 << 16
+
+
 def _steady(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's shared folder (one of our own only where none is set)."""
     sc = df.sparkSession.sparkContext
@@ -57,10 +61,13 @@ def pagerank(edges: DataFrame, iterations: int = 10, alpha: float = 0.85, weight
 
     With a ``tolerance`` it ends once the ranks moved by less than that for a node on average, and raises if they don't within the rounds.
     """
-    e = edges.select("src", "dst", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    out = e.groupBy("src").agg(F.sum("w").alias("total"))
-    links = _steady(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    ids = _steady(nodes(edges).join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")))
+    e = _steady(edges.select("src", "dst", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")))
+    out = e.groupBy("src").agg(F.sum("w").alias("total"), F.count("*").alias("links"))
+    # a node's links of one share are a row, of ``LINKS`` links at most about, so a round sorts and sends rows of nodes
+    piece = F.pmod(F.xxhash64("dst"), 1 + F.floor(F.col("links") / LINKS))
+    links = e.join(out, "src").groupBy("src", (F.col("w") / F.col("total")).alias("share"), piece.alias("piece")).agg(F.collect_list("dst").alias("to"))
+    links = _steady(links.select("src", "share", "to"))
+    ids = _steady(nodes(e).join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")))
     n = ids.count()
     rank = ids.select("node", "dangling", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(None).cast("double").alias("before"))
     held, moved = F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)), F.sum(F.abs(F.col("rank") - F.col("before")))
@@ -71,7 +78,8 @@ def pagerank(edges: DataFrame, iterations: int = 10, alpha: float = 0.85, weight
             break
         if at == iterations:
             raise RuntimeError("ranks did not settle within the rounds")
-        got = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        sent = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").select(F.explode("to").alias("node"), (F.col("rank") * F.col("share")).alias("x"))
+        got = sent.groupBy("node").agg(F.sum("x").alias("got"))
         new = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + loose / n)
         old = rank.select("node", F.col("rank").alias("before"))
         next_ = ids.join(got, "node", "left")

@@ -94,3 +94,24 @@ def test_chain_keeps_every_way(edges, spark):
 def test_density_of_five_nodes(edges):
     s = G.graph_statistics(edges(("0", "1"), ("0", "2"), ("1", "2"), ("2", "3"), ("3", "4"))).first()
     assert (s.nodes, s.edges, s.density) == (5, 5, 0.25)
+
+
+@pytest.mark.parametrize("metric", [lambda e: G.pagerank(e, 2), G.clustering], ids=["pagerank", "clustering"])
+def test_edges_are_read_once(spark, metric):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "src long, dst long")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    assert metric(e.mapInArrow(counted, e.schema)).count() == 4 and read.value == 4
+
+
+def test_links_of_a_node_in_several_rows(spark, monkeypatch):
+    rows = [(1, i, float(1 + i % 2)) for i in range(2, 12)] + [(i, 1, 1.0) for i in range(2, 9)] + [(1, 2, 1.0)]
+    e = spark.createDataFrame(rows, "src long, dst long, weight double")
+    whole = {r.node: r["rank"] for r in G.pagerank(e, 5, weight="weight").collect()}
+    monkeypatch.setattr(G, "LINKS", 2)
+    assert {r.node: r["rank"] for r in G.pagerank(e, 5, weight="weight").collect()} == pytest.approx(whole) and sum(whole.values()) == pytest.approx(1)
