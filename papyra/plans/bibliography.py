@@ -33,7 +33,8 @@ p AS (SELECT i, w, '23' || lpad(CAST(i % 12 + 1 AS VARCHAR), 2, '0') || '.' || l
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 1)
-    b = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), words.alias("w")).where(F.size("w") >= LEAST)
+    # a filter isn't pushed below an explode, which would split the text again for each use of a word
+    b = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.explode(F.array(words)).alias("w")).where(F.size("w") >= LEAST)
     i = F.col("i")
     cap = lambda k: F.concat(F.upper(F.substring(F.get("w", F.lit(k - 1)), 1, 1)), F.substr(F.get("w", F.lit(k - 1)), F.lit(2)))
     cat = lambda k: F.get(F.array(*map(F.lit, CATS)), (k % 10).cast("int"))
@@ -87,7 +88,7 @@ def feed_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
         s("<entry><id>http://arxiv.org/abs/"), F.col("id"), s("v1</id><title>"), F.replace("title", s(" "), s("\n  ")), s("</title><summary>"), F.col("abstract"), s("</summary><published>"),
         F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), s("</published>"), names, terms, s("</entry>"),
     )
-    e = papers(spark, sf_dir).select(F.from_xml(entry, feeds.ENTRY).alias("e")).select("e.*")
+    e = papers(spark, sf_dir).select(F.explode(F.array(F.from_xml(entry, feeds.ENTRY))).alias("e")).select("e.*")  # parsed once, as above
     return feeds.from_entries(e).select("id", "title", F.array_join("authors", ";").alias("authors"), F.array_join("categories", ";").alias("categories"), "year")
 
 

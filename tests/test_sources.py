@@ -99,3 +99,14 @@ def test_logs_grow_and_stages_are_exported(spark, tmp_path):
     assert sorted(r.query for r in spark.read.parquet(f"{tmp_path}/log").collect()) == ["q0", "q1"]
     sinks.export_stages(str(tmp_path), chunks=spark.createDataFrame([(1, None)], "id int, text string"))
     assert [r.id for r in spark.read.json(f"{tmp_path}/chunks").collect()] == [1]
+
+
+def test_feed_entries_split_a_text_once(spark, capsys):
+    """The entry's conditions aren't evaluated on expressions that split the text again for each word."""
+    from papyra.plans.bibliography import feed_entry
+
+    rows = feed_entry(spark, "/root/testdata/sf0.001")
+    capsys.readouterr()
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("regexp_extract_all") == 1 and plan.count("from_xml") == 1
