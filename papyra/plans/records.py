@@ -45,7 +45,9 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # SNK-20: the postings and the statistics of an index
 @query("""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY ALL""")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "documents").select("doc_id", F.explode(T.split_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # texts are dealt by document, so the rows of their terms are counted where they are
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    return R.exploded(docs, ["doc_id"], T.split_tokens(F.coalesce("text", F.lit(""))), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 # SNK-11, SNK-19

@@ -56,3 +56,14 @@ def test_search_equals_all_scores_and_reads_less(spark, tmp_path, monkeypatch):
 def test_empty_index(spark, tmp_path):
     index = X.TextIndex.build(spark.createDataFrame([(1, None), (2, " .")], "doc_id int, text string"), f"file://{tmp_path}/e")
     assert index.search(spark.createDataFrame([(1, "graph")], "query_id bigint, query string"), 3).count() == 0
+
+
+def test_postings_are_counted_where_documents_are(spark, capsys):
+    """One exchange, of texts by document; none of the rows of their terms."""
+    from papyra.plans.records import postings
+
+    found = postings(spark, "/root/testdata/sf0.001")
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(doc_id" in plan and "doc_id#" in plan and "term" not in plan.split("Exchange")[1].splitlines()[0]
