@@ -44,7 +44,8 @@ class TextIndex:
     @staticmethod
     def build(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> TextIndex:
         """Blocks and heads of all documents; null and empty texts have no postings, ids are numbers."""
-        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.size(T.words(F.coalesce(text, F.lit("")))).alias("words"), terms(F.col(text)).alias("t"))
+        # dealt by document, so that terms are counted where they are
+        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text).repartition("id").select("id", F.size(T.words(F.coalesce(text, F.lit("")))).alias("words"), terms(F.col(text)).alias("t"))
         tf = exploded(rows, ["id", "words"], F.col("t"), "term").groupBy("id", "words", "term").agg(F.count("*").alias("tf"))
         weighed = tf.withColumn("w", F.col("tf") / (1 + F.log(F.col("words").cast("double"))))
         # length classes are quarters of an octave, so there are some hundred at most; each is cut into ranges by hash of the id
