@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from papyra import tables
 from papyra.operators import graph as G
 from papyra.operators import levels
+from papyra.session import shared_folder
 
 
 def graph(spark, n: int, m: int, seed: int):
@@ -25,6 +27,26 @@ def test_sketched_closeness(spark):
     assert all(abs(rough[k] - v) <= 3 * 3 * 0.83 / 2**3.5 * v + 1e-9 for k, v in exact.items())
 
 
+def test_sketches_in_strips_of_nodes(spark, monkeypatch):
+    """Four strips, several blocks of nodes: estimates of the same error, exact for so few nodes."""
+    monkeypatch.setattr(G, "STATE", 1 << 17)
+    monkeypatch.setattr(G, "STRIPS", 4)
+    monkeypatch.setattr(G, "BLOCK", 1 << 15)
+    e = graph(spark, 80, 160, 1)
+    exact = {r.node: r.closeness for r in G.closeness(e).collect()}
+    assert {r.node: r.closeness for r in G.sketched_closeness(e).collect()} == pytest.approx(exact)
+
+
+def test_sketches_of_finished_rounds_are_removed(spark):
+    """Only the counts stay in the shared folder, not the sketches of every round."""
+    held = lambda: sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if p.is_file())
+    e = graph(spark, 300, 900, 4)
+    e.count()
+    before = held()
+    rows = G.sketched_closeness(e).collect()
+    assert len(rows) > 250 and held() - before < 300 * 256
+
+
 def test_sampled_betweenness(spark):
     e = graph(spark, 50, 130, 2)
     exact = {r.node: r.betweenness for r in G.betweenness(e).collect()}
