@@ -188,6 +188,41 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
     return both.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] or 0.0
 
 
+#: Of the neighbour graph: rows for each centroid, regions of a row, rows of a region that are compared with each other, arbitrary links of a row, centroids at most.
+SHARE, OVERLAP, REGION, FAR, CENTROIDS = 512, 8, 8192, 2, 4096
+
+
+def regions(rows: DataFrame, n: int, metric: str) -> DataFrame:
+    """(id, v, list, part): each row in its ``OVERLAP`` nearest lists; a list of more than ``REGION`` rows is dealt into parts."""
+    lists = min(CENTROIDS, -(-n // SHARE))
+    if lists <= OVERLAP and n <= REGION:  # all rows meet
+        return rows.withColumns({"list": F.lit(0), "part": F.lit(0)})
+    fitted = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) < 16 * lists)
+    centroids = fit_centroids(fitted, lists, metric, 3)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                near = nearest(_vectors(b.column("v"), b.num_rows), centroids, metric, OVERLAP)
+                take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([c.take(take) for c in b.columns] + [pa.array(near.ravel().astype(np.int32))], names=["id", "v", "list"])
+
+    placed = rows.mapInArrow(assign, "id bigint, v array<double>, list int")
+    sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / REGION).alias("parts"))  # a row for each list
+    return placed.join(F.broadcast(sizes), "list").select("id", "v", "list", F.pmod(F.xxhash64("list", "id"), F.col("parts")).cast("int").alias("part"))
+
+
+def _region_links(degree: int, metric: str):
+    """Each row's ``degree`` nearest of a part of a region."""
+
+    def run(t: pa.Table) -> pa.Table:
+        v, ids = _vectors(t.column("v"), t.num_rows), np.asarray(t.column("id"))
+        return pa.table(list(best_rows(v, ids, v, ids, degree, metric if metric == "l2" else "inner_product")), names=["a", "b", "score"])
+
+    return run
+
+
 EDGES = "a bigint, b bigint, score double, new boolean"
 
 
@@ -232,9 +267,12 @@ class GraphIndex:
     metric: str
 
     @staticmethod
-    def build(df: DataFrame, path: str, degree: int = 32, metric: str = "cosine", rounds: int = 8, settled: float = 0.002, id_col: str = "vec_id", vector: str = "embedding") -> GraphIndex:
-        """Neighbour-graph descent: from ``degree`` arbitrary links for each node, neighbours of a node are compared with each other and everyone keeps its best.
+    def build(df: DataFrame, path: str, degree: int = 32, metric: str = "cosine", rounds: int = 0, settled: float = 0.002, id_col: str = "vec_id", vector: str = "embedding") -> GraphIndex:
+        """Each row is in its ``OVERLAP`` nearest of many regions; of all rows of its regions the ``degree`` nearest are its links, and ``FAR`` arbitrary ones.
 
+        Centroids of regions are fitted on 16 rows for each (smallest hashes of ids); every row is indexed. A region of more than ``REGION`` rows is dealt by hash into parts of that size, each
+        compared with itself, so a row meets at most OVERLAP * REGION others however many there are; recall is measured by tests.
+        With ``rounds``, neighbour-graph descent follows: neighbours of a node are compared with each other and everyone keeps its best.
         A round compares at most (2 * degree)² / 2 pairs for each node: of the links that lead to a node, those of ``degree`` smallest hashes
         take part, so a node that many others link to costs no more. Rounds end when fewer than ``settled`` of the links change.
         """
@@ -246,11 +284,9 @@ class GraphIndex:
         n = rows.count()
         tasks = max(1, n * 2 * degree // 100_000)
         better = F.asc("score") if metric == "l2" else F.desc("score")
-        # arbitrary links: all nodes in ``degree`` hash orders, each linked to the next; an order is cut into shares, whose ends are left open
-        orders = rows.select("id", F.explode(F.sequence(F.lit(1), F.lit(degree))).alias("o")).withColumn("h", F.xxhash64("o", "id"))
-        share = F.pmod(F.shiftright("h", 40), F.lit(1 + n // 50_000))
-        links = orders.withColumn("b", F.lead("id").over(Window.partitionBy("o", share).orderBy("h", "id"))).where("b is not null and b <> id").select(F.col("id").alias("a"), "b").distinct()
-        links = links.withColumn("score", F.lit(float("inf") if metric == "l2" else float("-inf"))).withColumn("new", F.lit(True)).checkpoint()
+        w = Window.partitionBy("a").orderBy(better, "b")
+        met = regions(rows, n, metric).groupBy("list", "part").applyInArrow(_region_links(degree, metric), "a bigint, b bigint, score double")
+        links = met.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= degree).drop("r").withColumn("new", F.lit(True)).checkpoint()
         for step in range(rounds):
             back = links.select(F.col("b").alias("node"), F.col("a").alias("other"), "new")
             back = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("new"), F.xxhash64(F.lit(step), "other")))).where(F.col("r") <= degree).drop("r")
@@ -260,13 +296,18 @@ class GraphIndex:
             pairs = met.groupBy(F.pmod(F.xxhash64("node"), F.lit(tasks)).alias("task")).applyInArrow(_local_pairs(metric, degree), "a bigint, b bigint, score double")
             held = links.where(F.abs("score") < float("inf")).withColumn("new", F.lit(False))
             both = held.select("a", "b", "score", "new").unionByName(pairs.withColumn("new", F.lit(True))).groupBy("a", "b").agg(F.min("score").alias("score") if metric == "l2" else F.max("score").alias("score"), F.min("new").alias("new"))
-            best = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(better, "b"))).where(F.col("r") <= degree).drop("r")
+            best = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= degree).drop("r")
             links = best.checkpoint()
             changed = links.agg(F.avg(F.col("new").cast("double"))).first()[0]
             if changed is None or changed < settled:
                 break
+        # arbitrary links: all nodes in ``FAR`` hash orders, each linked to the next; an order is cut into shares, whose ends are left open
+        orders = rows.select("id", F.explode(F.sequence(F.lit(1), F.lit(FAR))).alias("o")).withColumn("h", F.xxhash64("o", "id"))
+        share = F.pmod(F.shiftright("h", 40), F.lit(1 + n // 50_000))
+        far = orders.withColumn("b", F.lead("id").over(Window.partitionBy("o", share).orderBy("h", "id"))).where("b is not null and b <> id").select(F.col("id").alias("a"), "b")
         # links go both ways, so that nodes nobody links to are reached
-        either = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        links = links.select("a", "b").union(far)
+        either = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         either.repartition("a").sortWithinPartitions("a").write.parquet(f"{path}/links")
         spark.createDataFrame([(metric,)], "metric string").coalesce(1).write.parquet(f"{path}/kind")
         return GraphIndex.load(spark, path)

@@ -49,6 +49,25 @@ def test_graph(tmp_path, rows, metric):
     assert I.recall(index.search(asked, 20, beam=48), V.search(asked, rows, 20, metric)) >= 0.9
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_rows_meet_few_others(tmp_path, rows, metric, monkeypatch):
+    """A row meets at most OVERLAP parts of REGION rows, about, though a third of all rows are one cluster; links still find the nearest."""
+    for name, value in (("SHARE", 30), ("OVERLAP", 5), ("REGION", 100)):
+        monkeypatch.setattr(I, name, value)
+    placed = I.regions(I.prepared(rows, metric, "vec_id", "embedding"), 900, metric)
+    assert {r["count"] for r in placed.groupBy("id").count().collect()} == {5}
+    assert placed.groupBy("list", "part").count().agg(F.max("count")).first()[0] < 150
+    index = I.GraphIndex.build(rows, f"file://{tmp_path}/{uuid.uuid4().hex}", 16, metric)
+    asked = rows.where("vec_id % 20 = 0")
+    assert I.recall(index.search(asked, 20, beam=48), V.search(asked, rows, 20, metric)) >= 0.9
+
+
+def test_descent_after_regions(tmp_path, rows):
+    index = I.GraphIndex.build(rows, f"file://{tmp_path}/{uuid.uuid4().hex}", 16, rounds=2)
+    asked = rows.where("vec_id % 20 = 0")
+    assert I.recall(index.search(asked, 20, beam=48), V.search(asked, rows, 20)) >= 0.9
+
+
 def test_pairs_compared_are_few(rows):
     """Neighbours of a node are compared with each other only, and of a task's pairs each node keeps its best."""
     import pyarrow as pa
