@@ -130,3 +130,22 @@ def test_fit_holds_a_strip_of_doubles():
     p = 1 / (1 + np.exp(-(a @ model.w)))
     assert np.abs(a.T @ (p - y) + 1e-3 * len(y) * np.append(model.w[:-1], 0)).max() < 1e-3  # the gradient at the whole fit is none
     assert model.logit(x) == pytest.approx(a @ model.w)
+
+
+def test_op9_in_slices(spark, monkeypatch):
+    """Prefixes, lists, sets and comparisons of a slice at a time give the same components, and no row is lost or counted twice."""
+    from papyra.llm import prefix_join
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    whole = sorted(map(tuple, prefix_join.linked(docs).collect()))
+    made, store = {}, prefix_join.stored_in_slices
+
+    def counted(make, slices, name):
+        made[name] = slices
+        return store(make, slices, name)
+
+    monkeypatch.setattr(prefix_join, "stored_in_slices", counted)
+    for name, most in (("SLICE_ROWS", 3000), ("SLICE_TEXTS", 60), ("SLICE_SETS", 10)):
+        monkeypatch.setattr(prefix_join, name, most)
+    assert sorted(map(tuple, prefix_join.linked(docs).collect())) == whole
+    assert len({component for *_, component in whole}) < len(whole) and sorted(made) == ["links", "met", "prefixes", "sets"] and min(made.values()) > 1
