@@ -145,7 +145,7 @@ def test_op9_in_slices(spark, monkeypatch):
         return store(make, slices, name)
 
     monkeypatch.setattr(prefix_join, "stored_in_slices", counted)
-    for name, most in (("SLICE_ROWS", 3000), ("SLICE_TEXTS", 60), ("SLICE_SETS", 10)):
+    for name, most in (("SLICE_ROWS", 6000), ("SLICE_TEXTS", 100), ("SLICE_SETS", 4)):
         monkeypatch.setattr(prefix_join, name, most)
     assert sorted(map(tuple, prefix_join.linked(docs).collect())) == whole
     assert len({component for *_, component in whole}) < len(whole) and sorted(made) == ["links", "met", "prefixes", "sets"] and min(made.values()) > 1

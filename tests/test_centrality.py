@@ -73,3 +73,19 @@ def test_levels_in_squares(spark, monkeypatch):
     e = graph(spark, 24, 60, 3).select(*[F.concat(F.lit("n"), x).alias(x) for x in ("src", "dst")])
     exact = {r.node: r.betweenness for r in G.betweenness(e).collect()}
     assert {r.node: r.betweenness for r in G.sampled_betweenness(e, error=0.0, batch=24).collect()} == pytest.approx(exact)
+
+
+def test_links_are_packed_and_hopeless_batches_taken_together(spark, monkeypatch):
+    """A square's links are a row, not a row for each link and slice of seeds at every level; batches that can't meet the bound are one walk, with the looks of all."""
+    walks, walk = [], levels.Squares.dependencies
+
+    def counted(self, seeds):
+        walks.append((seeds.count(), self.links.count(), self.back.count()))
+        return walk(self, seeds)
+
+    monkeypatch.setattr(levels.Squares, "dependencies", counted)
+    monkeypatch.setattr(levels, "PAIRS", 7)
+    e = graph(spark, 50, 130, 5)
+    exact = {r.node: r.betweenness for r in G.betweenness(e).collect()}
+    every = G.sampled_betweenness(e, error=0.0, batch=10).collect()
+    assert {r.node: r.betweenness for r in every} == pytest.approx(exact) and walks == [(len(exact), 1, 1)]
