@@ -67,3 +67,15 @@ def test_postings_are_counted_where_documents_are(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(doc_id" in plan and "doc_id#" in plan and "term" not in plan.split("Exchange")[1].splitlines()[0]
+
+
+def test_words_are_stemmed_once_and_postings_made_where_documents_are(spark, tmp_path, monkeypatch):
+    """The stem of a word is that of the expressions; documents travel to their range, postings don't; repeated rows of an id are one document."""
+    words = WORDS.split() + ["", "a", "as", "ponies2", "straße", "études", "ated", "ing", "yes"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [S.stem_of(w) for w in words] == [r[0] for r in df.select(S.stem(df.w)).collect()]
+    docs = spark.createDataFrame([(1, "graphs of running"), (1, "graphs of running"), (2, "Graph, the graph"), (3, "the of"), (4, None)], "doc_id int, text string")
+    index = X.TextIndex.build(docs, f"file://{tmp_path}/{uuid.uuid4().hex}")
+    blocks = {(r.term, d): w for r in index._read(list(range(X.BUCKETS))).collect() for d, w in zip(r.ids, r.weights)}
+    want = {("graph", 1): 2 / (1 + math.log(3)), ("run", 1): 2 / (1 + math.log(3)), ("graph", 2): 2 / (1 + math.log(3))}
+    assert blocks.keys() == want.keys() and all(abs(blocks[k] - v) < 1e-12 for k, v in want.items())
